@@ -1,0 +1 @@
+"""Holds nothing: the operators of this engine are batch plans; none has event time or late data."""
