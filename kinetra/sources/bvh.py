@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,10 +142,14 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.bvh", keep: Callabl
 def parse_rows(files: DataFrame, skip_errors: bool = False) -> DataFrame:
     """``files(clip_id, value)``, a file's whole text each, to rows of ``SCHEMA``."""
 
+    numbers, words = pa.list_(pa.float64()), pa.list_(pa.string())
+    kinds = {"frame_time": pa.float64(), "n_frames": pa.int32(), "names": words, "parents": pa.list_(pa.int32()), "joint_idx": pa.list_(pa.int32()), "offsets": pa.list_(numbers), "euler_orders": words, "joint_names": words, "root": pa.list_(numbers), "joints": pa.list_(pa.list_(numbers))}
+    arrow = pa.schema([("clip_id", pa.string()), ("error", pa.string()), *kinds.items()])
+
     def run(parts):
         for part in parts:
             rows = []
-            for stem, text in zip(part["clip_id"], part["value"]):
+            for stem, text in zip(part.column("clip_id").to_pylist(), part.column("value").to_pylist()):
                 try:
                     rows.append({"clip_id": stem, "error": None, **parse(text)})
                 except (ValueError, IndexError) as e:
@@ -153,9 +157,9 @@ def parse_rows(files: DataFrame, skip_errors: bool = False) -> DataFrame:
                         raise ValueError(f"{stem}: {e}") from e
                     rows.append({"clip_id": stem, "error": str(e)})
             if rows:
-                yield pd.DataFrame(rows).reindex(columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.select("clip_id", "value").mapInArrow(run, SCHEMA)
 
 
 def require_files(clips: DataFrame, folder: str) -> None:
