@@ -1,12 +1,17 @@
 """N-gram Jaccard join by signature trees.
 
-Documents become sets of hashed k-word shingles. Equal sets collapse to one class first. Classes that
-share a token of their prefix (a pair at the threshold must) are gathered into candidate components;
-each component is joined with itself by a signature tree: nodes hold the OR of their members' token
-bitmaps and their size range, and a dual traversal drops node pairs whose largest possible overlap is
-below what the threshold asks, or which are linked already. Pairs of leaves are verified on whole sets.
-A component over ``TASK_TOKENS`` is cut into chunks by set size, and pairs of chunks whose size ranges
-can meet go to tasks of their own, so no task holds more than two chunks.
+Documents become sets of hashed k-word shingles. Equal sets collapse to one class first. Two exact filters,
+which follow from the threshold alone, then bring sets together that may link:
+
+* Of its first tokens in hash order, a set must share so many with other sets (``shared_tokens``).
+* Linked sets have few tokens apart, so among the first tokens of both in hash order some run of ``RUN``
+  tokens is the same in both (``run_keys``). Sets with an equal run form candidate components.
+
+Each component is joined with itself by a signature tree: nodes hold the OR of their members' token bitmaps
+and their size range, and a dual traversal drops node pairs whose largest possible overlap is below what the
+threshold asks, or which are linked already. Pairs of leaves are verified on whole sets. A component over
+``TASK_TOKENS`` is cut into chunks by set size, and pairs of chunks whose size ranges can meet go to tasks of
+their own, so no task holds more than two chunks.
 """
 
 from __future__ import annotations
@@ -25,10 +30,8 @@ from kinetra.llm.scratch import Scratch
 
 #: Tokens that one chunk holds; a task works on two chunks at most.
 TASK_TOKENS = 2_000_000
-#: Buckets of the table that says how common a token is; it only orders tokens.
-LEVEL_BUCKETS = 1 << 20
-#: Copies of a token before it counts as common.
-COMMON = 4
+#: Tokens of a run, for sets of ``LONG`` tokens or more; shorter sets use single tokens.
+RUN, LONG = 3, 12
 
 
 # ---- sets -------------------------------------------------------------------------------------
@@ -56,10 +59,34 @@ def needed_pair(total, percent: int):
     return (percent * total + 99 + percent) // (100 + percent)
 
 
-def prefix(tokens: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens in the global order (commonness, hash), so many that linked sets share one."""
-    take = len(tokens) - needed(len(tokens), percent) + 1
-    return tokens[np.lexsort((tokens, levels[(tokens % U(LEVEL_BUCKETS)).astype(np.int64)]))[:take]]
+def shared_tokens(n, percent: int):
+    """How many of its prefix a set of n tokens shares at least with a set that is not smaller than it."""
+    return np.maximum(1, -(-n * 3 // 50))
+
+
+def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens with the smallest hashes: all but so many that, of two linked sets, the one whose prefix ends
+    first has ``shared_tokens`` of the common tokens in it, which the other's prefix then has, too."""
+    n = len(tokens)
+    return tokens[: n - needed(n, percent) + int(shared_tokens(n, percent))]
+
+
+def run_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of runs of consecutive tokens. Linked sets have at most n (100 - p) / p tokens apart, which cut the
+    common tokens into one run more than that; so a stretch with RUN - 1 common tokens for each, and one more,
+    has a run of RUN. Sets near ``LONG`` give both kinds of keys, as their partners may have either."""
+    n = len(tokens)
+    apart = n * (100 - percent) // percent
+    out = []
+    if n >= LONG:
+        stretch = min(n, (RUN - 1) * (apart + 1) + 1 + n - needed(n, percent))
+        h = np.full(max(0, stretch - RUN + 1), U(RUN), U)
+        for i in range(RUN):
+            h = mix(h) + tokens[i : i + len(h)]
+        out.append(mix(h))
+    if needed(n, percent) < LONG:
+        out.append(mix(tokens[: apart + 1 + n - needed(n, percent)] + U(1)))
+    return np.concatenate(out)
 
 
 # ---- signature tree ---------------------------------------------------------------------------
@@ -176,52 +203,69 @@ def _profiles(docs: DataFrame, k: int, seed: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, chk long")
 
 
-def _common_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """For each bucket of tokens, log2 of how often a token of it repeats; the table has a fixed size."""
+def _prefix_keys(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
+    """``key, sid, need``; copies of a set within a batch give their keys once."""
 
     def run(batches):
         for batch in slices(batches):
-            distinct = list({s.tobytes(): s for s in row_sets(batch, k)}.values())
-            token, count = np.unique(np.concatenate(distinct), return_counts=True)
-            token, count = token[count > 1], count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.array((token % U(LEVEL_BUCKETS)).astype(np.int32)), pa.array(count, pa.int64())], ["bucket", "c"])
+            distinct = {s.tobytes(): s for s in row_sets(batch, k) if len(s)}.values()
+            keys = [prefix(s, percent) for s in distinct]
+            times = [len(x) for x in keys]
+            sids = np.repeat(np.array([set_key(s, seed)[0] for s in distinct], np.int64), times)
+            need = np.repeat(shared_tokens(needed(np.array([len(s) for s in distinct], np.int64), percent), percent), times)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *keys]).view(np.int64)), pa.array(sids), pa.array(need.astype(np.int32))], ["key", "sid", "need"])
 
-    found = docs.select("text").mapInArrow(run, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
-    table = found.select("bucket", F.log2("c").cast("byte").alias("level")).toArrow()
-    levels = np.zeros(LEVEL_BUCKETS, np.uint8)
-    levels[table["bucket"].to_numpy()] = table["level"].to_numpy()
-    return levels
+    return docs.select("text").mapInArrow(run, "key long, sid long, need int")
 
 
-def _prefix_keys(docs: DataFrame, k: int, percent: int, seed: int, levels) -> DataFrame:
+def _survivors(keys: DataFrame) -> DataFrame:
+    """``sid`` of the sets that share enough of their prefix with other sets."""
+    shared = keys.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("key")
+    mine = keys.join(shared, "key").select("sid", "key", "need").distinct()
+    return mine.groupBy("sid").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("sid")
+
+
+def _whole_sets(docs: DataFrame, reps: DataFrame, k: int, seed: int) -> DataFrame:
+    """``sid, rep, n, tokens`` of the classes in ``reps(sid, rep)``, from the text of one document each."""
+
     def run(batches):
-        order = levels.value
         for batch in slices(batches):
-            distinct = {s.tobytes(): s for s in row_sets(batch, k) if len(s)}.values()
-            keys = [prefix(s, order, percent) for s in distinct]
-            sids = np.repeat(np.array([set_key(s, seed)[0] for s in distinct], np.int64), [len(x) for x in keys])
+            sets = list(row_sets(batch, k))
+            good = np.array([set_key(s, seed)[0] for s in sets], np.int64) == batch.column("sid").to_numpy()  # not rows that repeat a doc_id
+            cols = [batch.column("sid"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["sid", "rep", "n", "tokens"]).filter(pa.array(good))
+
+    picked = docs.join(reps.select("sid", F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "text", "sid")
+    return picked.mapInArrow(run, "sid long, rep long, n long, tokens binary")
+
+
+def _run_key_rows(sets: DataFrame, percent: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            keys = [run_keys(np.frombuffer(x.as_py(), U), percent) for x in batch.column("tokens")]
+            sids = np.repeat(batch.column("sid").to_numpy(), [len(x) for x in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *keys]).view(np.int64)), pa.array(sids)], ["key", "sid"])
 
-    return docs.select("text").mapInArrow(run, "key long, sid long")
+    return sets.select("sid", "tokens").mapInArrow(run, "key long, sid long")
 
 
 def _tasks(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``nodes(sid, rep, n, comp)`` -> ``(sid, rep, comp, chunk, tasks array<string>)``."""
+    """``nodes(sid, n, comp)`` -> ``(sid, comp, chunk, tasks array<string>)``."""
     size = nodes.groupBy("comp").agg(F.sum("n").alias("total"))
     small_tasks = max(1, -(-(size.where(F.col("total") <= TASK_TOKENS).agg(F.sum("total")).first()[0] or 0) // TASK_TOKENS)) * 4
     nodes = nodes.join(size, "comp")
-    small = nodes.where(F.col("total") <= TASK_TOKENS).select("sid", "rep", "comp", F.lit(0).alias("chunk"), F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(small_tasks)).cast("string"))).alias("tasks"))
+    small = nodes.where(F.col("total") <= TASK_TOKENS).select("sid", "comp", F.lit(0).alias("chunk"), F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(small_tasks)).cast("string"))).alias("tasks"))
     big = nodes.where(F.col("total") > TASK_TOKENS)
     by_size = big.groupBy("comp", "n").agg(F.sum("n").alias("tokens"))
     upto = F.sum("tokens").over(_window("comp", "n"))
     by_size = by_size.select("comp", "n", "tokens", (upto - F.col("tokens")).alias("before"))
     unit = F.pmod(F.xxhash64("sid"), F.lit(1 << 20)) / F.lit(1 << 20)
-    big = scratch.table(big.join(by_size, ["comp", "n"]).select("sid", "rep", "comp", "n", F.floor((F.col("before") + unit * F.col("tokens")) / TASK_TOKENS).cast("int").alias("chunk")))
+    big = scratch.table(big.join(by_size, ["comp", "n"]).select("sid", "comp", "n", F.floor((F.col("before") + unit * F.col("tokens")) / TASK_TOKENS).cast("int").alias("chunk")))
     ranges = big.groupBy("comp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a, b = ranges.alias("a"), ranges.alias("b")
     pairs = a.join(b, (F.col("a.comp") == F.col("b.comp")) & (F.col("a.chunk") <= F.col("b.chunk")) & (F.col("a.high") * 100 >= F.col("b.low") * percent)).select(F.col("a.comp").alias("comp"), F.col("a.chunk").alias("i"), F.col("b.chunk").alias("j"), F.concat_ws("-", F.lit("b"), "a.comp", "a.chunk", "b.chunk").alias("task"))
     of_chunk = pairs.select("comp", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"), "task").groupBy("comp", "chunk").agg(F.collect_list("task").alias("tasks"))
-    return small.unionByName(big.join(of_chunk, ["comp", "chunk"]).select("sid", "rep", "comp", "chunk", "tasks"))
+    return small.unionByName(big.join(of_chunk, ["comp", "chunk"]).select("sid", "comp", "chunk", "tasks"))
 
 
 def _window(part: str, order: str):
@@ -230,14 +274,7 @@ def _window(part: str, order: str):
     return Window.partitionBy(part).orderBy(order)
 
 
-def _links(docs: DataFrame, tasks: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
-    def with_sets(batches):
-        for batch in slices(batches):
-            sets = list(row_sets(batch, k))
-            good = np.array([set_key(s, seed)[0] for s in sets], np.int64) == batch.column("sid").to_numpy()  # of rows that repeat a doc_id
-            cols = [batch.column(c) for c in ("sid", "comp", "chunk", "tasks")] + [pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["sid", "comp", "chunk", "tasks", "tokens"]).filter(pa.array(good))
-
+def _links(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
     def join(group: pa.Table) -> pa.Table:
         sid, comp, chunk = (group[c].to_numpy() for c in ("sid", "comp", "chunk"))
         tokens = group["tokens"]
@@ -253,9 +290,8 @@ def _links(docs: DataFrame, tasks: DataFrame, k: int, percent: int, seed: int) -
             out += [(sid[rows[i]], sid[rows[j]]) for i, j in join_sets(sets, percent, side if side.min() != side.max() else None)]
         return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
-    picked = docs.select("doc_id", "text").join(tasks.withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = picked.select("text", "sid", "comp", "chunk", "tasks").mapInArrow(with_sets, "sid long, comp long, chunk int, tasks array<string>, tokens binary")
-    return sets.select("sid", "comp", "chunk", "tokens", F.explode("tasks").alias("task")).groupBy("task").applyInArrow(join, "u long, v long")
+    rows = sets.select("sid", "tokens").join(tasks, "sid")
+    return rows.select("sid", "comp", "chunk", "tokens", F.explode("tasks").alias("task")).groupBy("task").applyInArrow(join, "u long, v long")
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -280,14 +316,16 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         scratch.drop(profiles)
         scratch.drop(reps)
     filled = docs.where(F.col("doc_id").isNotNull())
-    levels = spark.sparkContext.broadcast(_common_tokens(docs, k))
-    keys = scratch.table(_prefix_keys(filled, k, percent, seed, levels))
-    shared = keys.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead <> last").select("key", "lead")
-    edges = keys.join(shared, "key").where("sid <> lead").select(F.col("sid").alias("u"), F.col("lead").alias("v"))
-    groups = components(edges, scratch)
-    nodes = scratch.table(groups.select(F.col("node").alias("sid"), F.col("root").alias("comp")).join(reps.select("sid", "rep", "n"), "sid"))
+    keys = scratch.table(_prefix_keys(filled, k, percent, seed))
+    sets = scratch.table(_whole_sets(filled, reps.join(_survivors(keys), "sid", "left_semi"), k, seed))
     scratch.drop(keys)
-    links = components(_links(filled, _tasks(nodes, percent, scratch), k, percent, seed), scratch)
+    runs = scratch.table(_run_key_rows(sets, percent))
+    shared = runs.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead <> last").select("key", "lead")
+    edges = runs.join(shared, "key").where("sid <> lead").select(F.col("sid").alias("u"), F.col("lead").alias("v"))
+    groups = components(edges, scratch).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
+    nodes = scratch.table(groups.join(sets.select("sid", "n"), "sid"))
+    scratch.drop(runs)
+    links = components(_links(sets, _tasks(nodes, percent, scratch), percent), scratch)
     classes = reps.join(links, reps.sid == links.node, "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("rep").alias("component"))
     of_set = classes.join(smallest, "root").select("sid", "component")
