@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kinetra.llm.kernel import slices
+from kinetra.llm.scratch import bound_batches
 
 SIDE, FPS = 64, 25
 BLOCKS = (SIDE // 8) ** 2
@@ -322,6 +323,7 @@ def with_media(docs: DataFrame) -> DataFrame:
             media = [encode_avi(p, str(n).encode()) for n, p in map(padded, batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(media, pa.binary())], ["doc_id", "media"])
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
 
 

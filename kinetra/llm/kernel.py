@@ -108,7 +108,7 @@ def shingles(w: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about ``most`` bytes of text (one row at least)."""
     for batch in batches:
         n = batch.num_rows

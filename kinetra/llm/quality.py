@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinetra.llm.kernel import slices
 from kinetra.llm.linear import BITS, Ftrl, features, fit_in_one_task, labelled_rows, sigmoid, with_inputs
+from kinetra.llm.scratch import bound_batches
 
 THRESHOLD = 0.7
 
@@ -29,6 +30,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     Null and empty texts score by the constant alone. Repeated rows score alike; other columns are
     ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):

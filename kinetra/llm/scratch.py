@@ -44,11 +44,20 @@ def _forget_at_exit(spark: SparkSession, where: str) -> None:
     atexit.register(drop)
 
 
+def bound_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """Makes the session send Python workers small Arrow batches, so that very long texts can't fill a worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Parquet tables of one operator call; ``table`` writes and rereads, ``drop`` frees early."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_root(spark)}/kinetra-{name}-{uuid.uuid4().hex}"
         self.count = 0
         _forget_at_exit(spark, self.root)

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from kinetra.llm.kernel import slices
 from kinetra.llm.linear import BITS, Ftrl, features, fit_in_one_task, labelled_rows, sigmoid, with_inputs
+from kinetra.llm.scratch import bound_batches
 
 FOLDS = 3
 REJECT = 0.5
@@ -95,6 +96,7 @@ def score_toxicity(docs: DataFrame, names: list[str], weights: list[np.ndarray])
     """
     new = [f"p_{n}" for n in names]
     docs = docs.drop(*new)
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
