@@ -31,6 +31,7 @@ def paths(messages: DataFrame) -> DataFrame:
     and itself, ``up`` steps above it. A parent that the tree lacks counts as none; nodes on a cycle
     have no leaf and no path; ``node`` must be unique in its tree."""
     scratch = Scratch(messages.sparkSession, "chat")
+    messages = scratch.table(messages.select("tree", "node", "parent"))
     up = messages.where("parent is not null").select("tree", "node", F.col("parent").alias("to"))
     real = messages.select("tree", F.col("node").alias("to"))
     jumps = [scratch.table(up.join(real, ["tree", "to"], "left_semi"))]
@@ -44,9 +45,10 @@ def paths(messages: DataFrame) -> DataFrame:
         jumps.append(new)
     parents = jumps[0].select("tree", F.col("to").alias("node"))
     found = messages.select("tree", "node").join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    for k in reversed(range(len(jumps))):
-        more = found.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        found = found.unionByName(more)
+    for k in reversed(range(len(jumps))):  # each round is written, so that the plan stays as long as one round
+        before = scratch.table(found)
+        more = before.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        found = before.unionByName(more)
     return found
 
 
