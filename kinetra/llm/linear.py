@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.llm.kernel import LOWER, SPACE, U, _spans, mix, slices, span_hashes, text_buffer
+from kinetra.llm.scratch import bound_batches
 
 BITS = 20
 #: The first columns stay free for inputs that are not hashed.
@@ -115,6 +116,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, columns: list[str]) -> Dat
     """``(at, x, labels)`` of at most ``MAX_LABELLED`` labelled documents, chosen by a hash of doc_id.
 
     The sample is bounded, so its ids are broadcast and unlabelled texts do not move."""
+    bound_batches(docs.sparkSession)
     known = labels.dropna(subset=["doc_id", *columns]).dropDuplicates(["doc_id"])
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id", *columns)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -144,7 +146,8 @@ def read_rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> tuple[li
 
 
 def fit_in_one_task(rows: DataFrame, columns: list[str], train) -> list[np.ndarray]:
-    """Runs ``train(rows, labels) -> list of weight vectors`` in a task over the bounded sample."""
+    """Runs ``train(rows, labels) -> list of weight vectors`` in a task over the bounded sample, which is
+    shuffled to it, so that features are still made where the texts are."""
 
     def run(batches):
         found = list(batches)
@@ -153,4 +156,4 @@ def fit_in_one_task(rows: DataFrame, columns: list[str], train) -> list[np.ndarr
         for w in train(*read_rows(iter(found), columns)):
             yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["w"])
 
-    return [np.frombuffer(r.w, np.float32) for r in rows.coalesce(1).mapInArrow(run, "w binary").collect()]
+    return [np.frombuffer(r.w, np.float32) for r in rows.repartition(1).mapInArrow(run, "w binary").collect()]

@@ -21,8 +21,8 @@ from kinetra.llm.scratch import Scratch
 
 SEQUENCE = 1024
 END = 2
-#: Groups into which the pieces of one length are dealt to be ranked.
-RANK_GROUPS = 256
+#: Pieces of one length are dealt to groups to be ranked: at least so many groups, of about so many pieces.
+RANK_GROUPS, GROUP_PIECES = 64, 100_000
 
 
 def public_path(name: str) -> str:
@@ -156,8 +156,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None
     for row in cut_up.groupBy("length").count().collect():  # at most ``size`` rows
         counts[row["length"]] = row["count"]
     found = docs.sparkSession.sparkContext.broadcast(places(plan(counts, size)))
-    salted = cut_up.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_GROUPS)).cast("int"))
-    sizes = salted.groupBy("length", "group").agg(F.count("*").alias("n"))  # at most size * RANK_GROUPS rows
+    groups = max(RANK_GROUPS, int(counts.max()) // GROUP_PIECES)
+    salted = cut_up.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    sizes = salted.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = sizes.select("length", "group", (F.sum("n").over(Window.partitionBy("length").orderBy("group")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("own", own).join(before, ["length", "group"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("rank"))
