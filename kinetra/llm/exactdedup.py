@@ -1,7 +1,7 @@
 """Exact dedup by recipes of content-defined chunks, with DataFrame functions only.
 
-A text is cut where its content says so (after a space that follows certain letters), between a least
-and a largest chunk length. Each distinct chunk moves once, to be verified: a 64-bit hash that stands
+A text is cut where its content says so (after a space that a certain pattern of letters precedes), between a
+least and a largest chunk length. Each distinct chunk moves once, to be verified: a 64-bit hash that stands
 for one content is the chunk's identifier, and where contents collide the identifier also has the
 content's number. A document's recipe is its ordered list of identifiers; documents are compared by
 recipes, so long texts do not move.
@@ -14,9 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST, LARGEST = 512, 4096
-#: At least LEAST characters, then up to the first space after one of these letters, or LARGEST.
-CHUNK = r"(?s).{%d,%d}?(?<=[aeos])\s|.{1,%d}" % (LEAST, LARGEST - 1, LARGEST)
+LEAST, LARGEST = 64, 4096
+_ODD, _EVEN = "[acegikmoqsuwyACEGIKMOQSUWY13579]", "[^acegikmoqsuwyACEGIKMOQSUWY13579]"
+#: A chunk ends at a white space whose seven characters before have this pattern of two classes: about one
+#: place in 128, wherever the chunk began, so chunks meet again after an insert. LEAST and LARGEST bound it.
+_MARK = _ODD + _EVEN + _ODD + _ODD + _EVEN + _EVEN + _ODD
+CHUNK = rf"(?s).{{{LEAST},{LARGEST - 1}}}?\s(?<={_MARK}\s)|.{{1,{LARGEST}}}"
 
 
 def chunks(text: Column) -> Column:

@@ -45,8 +45,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, ``n_chars`` made new where there is one,
-    plus ``n_lines_removed``. No document goes, also where no line is left (its text is then empty).
+    """``docs`` with boilerplate lines taken out of ``text``, ``n_chars`` made new where a line went, plus
+    ``n_lines_removed``. No document goes, also where no line is left (its text is then empty).
 
     A line is boilerplate when its trimmed form has ``MIN_CHARS`` characters or more and stands in
     documents of ``min_sites`` distinct sources; its first place (smallest doc_id, place, null doc_id
@@ -65,7 +65,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     joined = keyed.join(places, keyed["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_version") == F.col("_v")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    columns = [text.alias("text") if c == "text" else F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*columns, F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).alias("n_lines_removed"))
 
 
@@ -75,12 +75,13 @@ def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = f"""
-WITH l AS (
-  SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL
-), t AS (SELECT *, trim(line, ' ') AS k FROM l),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM documents),
+l AS (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d WHERE text IS NOT NULL),
+t AS (SELECT *, trim(line, ' ') AS k FROM l),
 bad AS (SELECT k FROM t WHERE length(k) >= {MIN_CHARS} GROUP BY k HAVING count(DISTINCT source) >= {MIN_SITES}),
-m AS (SELECT t.*, bad.k IS NOT NULL AND row_number() OVER (PARTITION BY t.k ORDER BY t.doc_id NULLS LAST, t.pos) > 1 AS gone FROM t LEFT JOIN bad USING (k)),
-s AS (SELECT doc_id, text, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS cut, count(*) FILTER (WHERE gone) AS n FROM m GROUP BY doc_id, text)
-SELECT d.doc_id, coalesce(s.cut, d.text) AS text, d.lang, d.source, length(coalesce(s.cut, d.text))::BIGINT AS n_chars, coalesce(s.n, 0)::INT AS n_lines_removed
-FROM documents d LEFT JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.text IS NOT DISTINCT FROM s.text
+m AS (SELECT t.*, bad.k IS NOT NULL AND rank() OVER (PARTITION BY t.k ORDER BY t.doc_id NULLS LAST, t.pos) > 1 AS gone FROM t LEFT JOIN bad USING (k)),
+s AS (SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS cut, count(*) FILTER (WHERE gone) AS n FROM m GROUP BY rid)
+SELECT d.doc_id, coalesce(s.cut, d.text) AS text, d.lang, d.source,
+  CASE WHEN s.n > 0 THEN length(s.cut) ELSE d.n_chars END::BIGINT AS n_chars, coalesce(s.n, 0)::INT AS n_lines_removed
+FROM d LEFT JOIN s USING (rid)
 """
