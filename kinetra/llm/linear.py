@@ -86,15 +86,23 @@ class Ftrl:
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 3, seed: int = 7) -> np.ndarray:
+        """Epochs in random order. Small samples are learnt row by row; larger ones in batches whose gradients
+        are summed before an update, so that the number of updates stays in the same range."""
+        batch = int(np.clip(len(rows) // 500, 1, 64))
         order = np.random.default_rng(seed)
         for _ in range(epochs):
-            for i in order.permutation(len(rows)):
-                at, x = rows[i]
-                w = self.weights(at)
-                g = (sigmoid(float(w @ x)) - labels[i]) * x
-                n = self.n[at]
-                self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
-                self.n[at] = n + g * g
+            mixed = order.permutation(len(rows))
+            for own in (mixed[i : i + batch] for i in range(0, len(rows), batch)):
+                sizes = [len(rows[i][0]) for i in own]
+                at, x = np.concatenate([rows[i][0] for i in own]), np.concatenate([rows[i][1] for i in own])
+                columns, place = np.unique(at, return_inverse=True)
+                w = self.weights(columns)
+                score = np.add.reduceat(w[place] * x, np.cumsum([0, *sizes[:-1]]))
+                wrong = np.repeat(sigmoid(score) - labels[own], sizes)
+                g = np.bincount(place, wrong * x, len(columns))
+                n = self.n[columns]
+                self.z[columns] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+                self.n[columns] = n + g * g
         return self.weights().astype(np.float32)
 
 
