@@ -143,13 +143,19 @@ def rotmat_to_euler(m: Column, order: str) -> Column:
     return bind(m, out)
 
 
-def slerp(a: Column, b: Column, alpha: Column) -> Column:
-    """Shortest way between unit quaternions; straight and renormalised where they almost agree."""
+def rotmat_to_axisangle(m: Column) -> Column:
+    return quat_to_axisangle(rotmat_to_quat(m))
+
+
+def slerp(a: Column, b: Column, alpha: Column, shortest: bool = True) -> Column:
+    """The way between unit quaternions, by default the shorter; straight and renormalised where they almost agree."""
 
     def out(p: Column, q: Column) -> Column:
         dot = sum((p[i] * q[i] for i in range(1, 4)), p[0] * q[0])
-        return bind(dot, lambda d: bind(F.when(d < 0, F.transform(q, lambda v: -v)).otherwise(q), lambda r: bind(F.acos(F.least(F.abs(d), D(1))), lambda w: F.when(
-            F.abs(d) > 0.9995, normalize(map2(p, r, lambda x, y: x + alpha * (y - x)))
+        size = (lambda d: F.abs(d)) if shortest else (lambda d: d)
+        other = (lambda d: F.when(d < 0, F.transform(q, lambda v: -v)).otherwise(q)) if shortest else (lambda d: q)
+        return bind(dot, lambda d: bind(other(d), lambda r: bind(F.acos(F.greatest(F.least(size(d), D(1)), D(-1))), lambda w: F.when(
+            size(d) > 0.9995, normalize(map2(p, r, lambda x, y: x + alpha * (y - x)))
         ).otherwise(map2(p, r, lambda x, y: (F.sin((1 - alpha) * w) * x + F.sin(alpha * w) * y) / F.sin(w))))))
 
     return F.when(alpha == 0, a).when(alpha == 1, b).otherwise(bind(a, lambda p: bind(b, lambda q: out(p, q))))

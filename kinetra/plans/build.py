@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinetra.functions.rotations import convert_joints
 from kinetra.operators import audit, harmonize, skeleton, stats
 from kinetra.operators.temporal import center_root, foot_contacts, joint_velocities
-from kinetra.schema import parse_axis, require_centering, require_representation
+from kinetra.schema import check_euler_order, parse_axis, require_centering, require_representation
 from kinetra.sources import bvh, store
 
 STORED = ("euler", "quat", "6d", "axisangle")
@@ -26,11 +26,25 @@ def rest_axes(nodes: DataFrame) -> DataFrame:
     return s.select("skeleton", pick.alias("world_up"))
 
 
+def rest_forward(nodes: DataFrame) -> DataFrame:
+    """``skeleton, rest_forward``: the dominant axis of the offsets under feet and toes that is not up; null
+    where there are none (our own definition)."""
+    parents = nodes.select("skeleton", F.col("node").alias("parent"), F.col("name").alias("above"))
+    feet = nodes.join(parents, ["skeleton", "parent"]).where(F.lower("above").rlike("foot|toe|ankle"))
+    up = rest_axes(nodes).select("skeleton", F.substring("world_up", 2, 1).alias("up"))
+    s = feet.groupBy("skeleton").agg(F.struct(*(F.sum(f"off_{a}").alias(a) for a in "xyz")).alias("s")).join(up, "skeleton")
+    flat = {a: F.when(F.col("up") == a, 0.0).otherwise(F.abs(f"s.{a}")) for a in "xyz"}
+    big = F.greatest(*flat.values())
+    pick = F.coalesce(*(F.when((big > 0) & (flat[a] == big), F.concat(F.when(F.col(f"s.{a}") > 0, "+").otherwise("-"), F.lit(a))) for a in "zxy"))
+    return s.select("skeleton", pick.alias("rest_forward"))
+
+
 def preprocess(
     spark: SparkSession, folder: str, output: str, representation: str = "6d", center: bool = True, include_positions: bool = False, position_space: str = "joint",
     position_centering: str = "world", include_quaternions: bool = False, include_velocities: bool = False, include_foot_contacts: bool = False, foot_joints: list[int] | None = None,
     label: Callable[[Column], Column] | None = None, keep: Callable[[Column], Column] | None = None, pattern: str = "*.bvh", skip_errors: bool = False,
-    world_up: str = "auto", do_harmonize: bool = False, target_world_up: str | None = None, target_fps: float | None = None,
+    world_up: str = "auto", do_harmonize: bool = False, target_world_up: str | None = None, target_fps: float | None = None, target_rest_up: str | None = None,
+    target_rest_forward: str | None = None, target_euler_order: str | None = None,
 ) -> dict:
     """Builds the dataset and returns its metadata. All arguments are checked before a file is opened."""
     require_representation(representation, STORED)
@@ -40,7 +54,11 @@ def preprocess(
         raise ValueError("position_space is joint or node")
     if center and position_centering == "first" and include_positions:
         raise ValueError("positions centred on the first frame can't be centred again")
-    for a in (target_world_up, None if world_up == "auto" else world_up):
+    if target_euler_order is not None:
+        check_euler_order(target_euler_order)
+    if audit.is_parallel(target_rest_up, target_rest_forward):
+        raise ValueError("rest_forward can't lie along rest_up")
+    for a in (target_world_up, target_rest_up, target_rest_forward, None if world_up == "auto" else world_up):
         if a is not None:
             parse_axis(a)
     parsed = bvh.scan(spark, folder, pattern, keep, skip_errors)
@@ -50,12 +68,17 @@ def preprocess(
     ups = rest_axes(nodes).withColumnRenamed("skeleton", "clip_id")
     if world_up != "auto":
         ups = ups.withColumn("world_up", F.lit(world_up))
-    facts = clips.select("clip_id", "frame_time", "n_frames", "joint_names", "parents", "euler_orders").join(ups, "clip_id", "left").withColumn("fps", audit.fps_key(F.col("frame_time")))
-    dist = audit.distribution(facts, ("world_up", "fps"), stems=True)
+    ahead = rest_forward(nodes).withColumnRenamed("skeleton", "clip_id")
+    at_rest = rest_axes(nodes).select(F.col("skeleton").alias("clip_id"), F.col("world_up").alias("rest_up"))
+    facts = clips.select("clip_id", "frame_time", "n_frames", "joint_names", "parents", "euler_orders").join(ups, "clip_id", "left").join(at_rest, "clip_id", "left").join(ahead, "clip_id", "left")
+    facts = facts.withColumn("fps", audit.fps_key(F.col("frame_time")))
+    dist = audit.distribution(facts, stems=True)
     uniformity: dict = {}
     for r in dist.collect():
         uniformity.setdefault(r["axis"], {})[r["value"]] = list(r["stems"])
-    audit.warn_heterogeneous(facts, ("world_up", "fps"))
+    audit.warn_heterogeneous(facts)
+    audit.reject_degenerate_up(facts, target_rest_up)
+    audit.reject_parallel_forward(facts, target_rest_forward, target_rest_up)
     audit.check_compatible(facts, representation in ("euler", "axisangle"))
     first = facts.orderBy("clip_id").first()
     orders = list(first["euler_orders"])
@@ -70,8 +93,15 @@ def preprocess(
         frames = harmonize.to_fps(frames, float(targets["fps"]), F.col("frame_time"))
     if targets["world_up"]:
         frames = harmonize.turn_world(frames, targets["world_up"])
-    top = skeleton.topology(nodes.where(F.col("skeleton") == first["clip_id"]))
     up_axis = targets["world_up"] or first["world_up"] or "+y"
+    base = nodes.where(F.col("skeleton") == first["clip_id"])
+    for name, target in (("rest_forward", target_rest_forward), ("rest_up", target_rest_up)):
+        if target and first[name]:  # all clips share the first one's graph; the first one's rest pose is turned
+            base = harmonize.turn_rest_offsets(base, first[name], target)
+            frames = harmonize.turn_rest_rotations(frames, first[name], target)
+    top = skeleton.topology(base)
+    if target_euler_order:
+        orders = [target_euler_order] * len(orders)
     if include_positions or include_velocities or include_foot_contacts:
         frames = skeleton.refresh_positions(frames, top, "quat", joint=position_space == "joint" or include_velocities or include_foot_contacts, node=include_positions and position_space == "node", centering=position_centering, up=parse_axis(up_axis)[0])
     step = 1 / float(targets["fps"]) if targets["fps"] else float(first["frame_time"])
@@ -95,7 +125,8 @@ def preprocess(
     if position:
         block = block.unionByName(stats.position_stats(frames, position).withColumn("block", F.lit("positions")))
     clip_rows = facts.select("clip_id", "n_frames", "frame_time", "world_up", *([label(F.col("clip_id")).cast("long").alias("label")] if label else []))
-    info = skeleton.skeleton_info(nodes.where(F.col("skeleton") == first["clip_id"]), world_up=up_axis, partitions=True)
+    info = skeleton.skeleton_info(base, up_axis, target_rest_forward or first["rest_forward"], target_rest_up or first["rest_up"], partitions=True)
+    info["euler_orders"] = info["fk_topology"]["euler_orders"] = orders
     meta = {"representation": representation, "center_root": center, "position_centering": position_centering if position else None, "position_space": position_space if position else None, "include_quaternions": include_quaternions, "uniformity": uniformity, "harmonized_to": {k: v for k, v in targets.items() if v}, "skeleton_info": info, "num_clips": facts.count()}
     dataset = store.MotionDataset(frames, clip_rows, block, meta)
     (store.save_npz if store.check_suffix(output) == ".npz" else store.save)(dataset, output)

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.functions.rotations import convert_joints
+from kinetra.operators import clips as clip_tables
+from kinetra.operators import skeleton
 from kinetra.operators.packing import clip_arrays, flat_row, to_ctv, vertex_rows
 from kinetra.operators.temporal import apply_temporal, center_root, derive
 from kinetra.plans.draws import Draws
 from kinetra.plans.pipeline import Pipeline
 from kinetra.schema import DEFAULT_STREAMS, LAYOUTS, TEMPORAL, check_streams, require_centering, require_representation
+from kinetra.sources import bvh
 
 
 class MotionFeed:
@@ -83,6 +86,21 @@ class MotionFeed:
         return with_batches(self.items(epoch), draws.unit(F.lit("order")), batch_size)
 
 
+def from_files(spark, folder: str, representation: str = "6d", *, center_root: bool = True, include_positions: bool = False, position_space: str = "joint", position_centering: str = "world", label=None, pattern: str = "*.bvh", **how) -> MotionFeed:
+    """A feed straight from motion files: nothing is parsed before an epoch is read. Clips take the skeleton and
+    the orders of the first file; ``label(stem)`` is a column. Other keywords are those of ``MotionFeed``."""
+    require_representation(representation, clip_tables.EXTRACTED)
+    parsed = bvh.scan(spark, folder, pattern)
+    bvh.require_files(parsed, folder)
+    first = parsed.orderBy("clip_id").select("clip_id", "euler_orders").first()
+    frames = clip_tables.extract(bvh.frames(parsed), representation, list(first["euler_orders"]))
+    if include_positions:
+        top = skeleton.topology(bvh.skeletons(parsed.where(F.col("clip_id") == first["clip_id"])))
+        frames = skeleton.refresh_positions(frames, top, representation, joint=position_space == "joint", node=position_space == "node", centering=position_centering)
+    facts = parsed.select("clip_id", *([label(F.col("clip_id")).cast("long").alias("label")] if label else []))
+    return MotionFeed(frames, facts, center_root=center_root, position_centering=position_centering if include_positions else None, **how)
+
+
 def with_batches(items: DataFrame, order: Column, batch_size: int) -> DataFrame:
     """Adds ``batch_id`` by rank in ``order`` without bringing rows to one task: clips are dealt to batches by
     their hash range, so batches differ in size by chance; use ``collate`` per batch."""
