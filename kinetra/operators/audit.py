@@ -58,10 +58,12 @@ def incompatible(clips: DataFrame, with_orders: bool = False) -> DataFrame:
     """``clip_id, what``: clips whose joint names, parents (or, if asked, Euler orders) differ from those of
     the first clip by name. Offsets may differ."""
     checks = {"names": "joint_names", "parents": "parents", **({"euler orders": "euler_orders"} if with_orders else {})}
-    first = clips.agg(F.min_by(F.struct(*checks.values()), "clip_id").alias("f"))
-    both = clips.crossJoin(F.broadcast(first))  # one row
-    what = F.coalesce(*(F.when(~F.col(c).eqNullSafe(F.col(f"f.{c}")), F.lit(n)) for n, c in checks.items()))
-    return both.select("clip_id", what.alias("what")).where("what is not null")
+    first = clips.orderBy("clip_id").select(*checks.values()).first()
+    if first is None:
+        return clips.select("clip_id", F.lit(None).cast("string").alias("what")).limit(0)
+    same = lambda c: F.col(c).eqNullSafe(F.lit(first[c]).cast(clips.schema[c].dataType))
+    what = F.coalesce(*(F.when(~same(c), F.lit(n)) for n, c in checks.items()))
+    return clips.select("clip_id", what.alias("what")).where("what is not null")
 
 
 def check_compatible(clips: DataFrame, with_orders: bool = False) -> None:

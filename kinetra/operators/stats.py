@@ -31,14 +31,11 @@ def position_stats(frames: DataFrame, stream: str = "joint_pos") -> DataFrame:
     return channel_stats(frames, [stream])
 
 
-def _arrays(stats: DataFrame) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("dim", "mean", "std")))
-    return stats.agg(F.transform(rows, lambda r: r["mean"]).alias("_mean"), F.transform(rows, lambda r: r["std"]).alias("_std"))
-
-
 def _with_stats(packed: DataFrame, stats: DataFrame, f) -> DataFrame:
-    both = packed.crossJoin(F.broadcast(_arrays(stats)))  # one row of as many numbers as a frame has
-    return both.withColumn("data", f(F.col("data"), F.col("_mean"), F.col("_std"))).drop("_mean", "_std")
+    """Statistics have as many rows as a frame has numbers, so they become literals of the plan."""
+    rows = stats.orderBy("dim").select("mean", "std").collect()
+    mean, std = F.array(*(F.lit(r["mean"]) for r in rows)), F.array(*(F.lit(r["std"]) for r in rows))
+    return packed.withColumn("data", f(F.col("data"), mean, std))
 
 
 def normalize(packed: DataFrame, stats: DataFrame) -> DataFrame:
