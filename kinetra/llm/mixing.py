@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetra.llm.scratch import Scratch
+
 SEED = "mix-1"
 #: Target shares are present shares to this power, made to sum to 1: large sources give way to small ones.
 TEMPERATURE = 0.5
@@ -38,17 +40,20 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
     """``(source, rate)``: ``budget`` times target share over present share of the characters, at most
     ``LARGEST_RATE``. ``targets`` are weights by source (others get 0); without them, shares to the
     power ``temperature``. A null source is a source of its own; one without characters gets rate 1."""
-    size = docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("chars"))
-    total = size.agg(F.sum("chars").alias("all_chars"))
-    share = size.crossJoin(F.broadcast(total)).withColumn("share", F.col("chars") / F.nullif(F.col("all_chars"), F.lit(0.0)))  # one row
+    scratch = Scratch(docs.sparkSession, "mix")
+    size = scratch.table(docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("chars")))
+    total = size.agg(F.sum("chars")).first()[0] or 1.0
+    share = size.withColumn("share", F.col("chars") / F.lit(total))
     if targets is None:
         weight = F.pow("share", F.lit(temperature))
+    elif not targets:
+        weight = F.lit(0.0)
     else:
         weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("source")), F.lit(0.0))
     share = share.withColumn("weight", weight)
-    whole = share.agg(F.sum("weight").alias("all_weight"))
-    rate = F.lit(budget) * F.col("weight") / F.nullif(F.col("all_weight"), F.lit(0.0)) / F.nullif(F.col("share"), F.lit(0.0))
-    return share.crossJoin(F.broadcast(whole)).select("source", F.least(F.coalesce(rate, F.lit(1.0)), F.lit(LARGEST_RATE)).alias("rate"))
+    whole = share.agg(F.sum("weight")).first()[0] or 1.0
+    rate = F.lit(budget) * F.col("weight") / F.lit(whole) / F.nullif(F.col("share"), F.lit(0.0))
+    return share.select("source", F.least(F.coalesce(rate, F.lit(1.0)), F.lit(LARGEST_RATE)).alias("rate"))
 
 
 def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, seed: str = SEED, temperature: float = TEMPERATURE, budget: float = 1.0) -> DataFrame:
