@@ -125,7 +125,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, columns: list[str]) -> Dat
 
     The sample is bounded, so its ids are broadcast and unlabelled texts do not move."""
     bound_batches(docs.sparkSession)
-    known = labels.dropna(subset=["doc_id", *columns]).dropDuplicates(["doc_id"])
+    known = labels.dropna(subset=["doc_id", *columns]).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))  # one label of several
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id", *columns)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
 }
 SQL = {
+    "op2_jaccard": jaccard.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
     "op6_mix": mixing.OP6_SQL,
     "op8_exact_dedup": exactdedup.OP8_SQL,
