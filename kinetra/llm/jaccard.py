@@ -336,9 +336,11 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_one_per_class(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their class; rows without shingles stay, and
     so do rows with a null doc_id. Columns are those of ``docs``; of rows that repeat a doc_id all stay."""
-    keep = jaccard_classes(docs, k, percent).where("component_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    classes = jaccard_classes(docs, k, percent).where("doc_id is not null")
+    first = F.max(F.col("component_id") == F.col("doc_id")).alias("first")
+    gone = classes.groupBy("doc_id").agg(first).where("not first").select("doc_id")
+    # written first, so that the planner knows its size: while it is under the broadcast threshold, texts stay where they are
+    return docs.join(Scratch(docs.sparkSession, "copies").table(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
