@@ -15,7 +15,7 @@ from kinetra.llm.scratch import Scratch
 
 #: A line on this many distinct sites is boilerplate.
 MIN_SITES = 3
-#: Shorter lines (trimmed) are left alone: words and fragments meet by chance.
+#: ``OP9_SQL`` still leaves shorter lines (trimmed) alone; the operator counts every line that is not blank.
 MIN_CHARS = 20
 LG_K = 11
 #: Estimates within this share of the threshold get exact counts: about six standard errors at LG_K.
@@ -30,7 +30,7 @@ def line_key(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     at = docs.select("doc_id", F.xxhash64("text").alias("version"), "source", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return at.where(F.length(F.trim("line")) >= MIN_CHARS).select("doc_id", "version", "source", "at", line_key(F.col("line")).alias("key")).select("doc_id", "version", "source", "at", "key.a", "key.b")
+    return at.where(F.col("line").rlike(r"\S")).select("doc_id", "version", "source", "at", line_key(F.col("line")).alias("key")).select("doc_id", "version", "source", "at", "key.a", "key.b")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -48,9 +48,9 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, ``n_chars`` made new where a line went, plus
     ``n_lines_removed``. No document goes, also where no line is left (its text is then empty).
 
-    A line is boilerplate when its trimmed form has ``MIN_CHARS`` characters or more and stands in
-    documents of ``min_sites`` distinct sources; its first place (smallest doc_id, place, null doc_id
-    last) keeps it. Null text stays null. Rows that repeat a doc_id with another text are told apart
+    A line of any length that is not blank is boilerplate when its trimmed form stands in documents of
+    ``min_sites`` distinct sources; its first place (smallest doc_id, place, null doc_id last) keeps
+    it. Blank lines stay. Null text stays null. Rows that repeat a doc_id with another text are told apart
     by text; wholly repeated rows are treated alike. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
