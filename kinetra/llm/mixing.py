@@ -2,7 +2,8 @@
 
 A source's mean repetition rate is its target share of the characters over its present share. A
 document's count inverts the Poisson distribution at a uniform number hashed from the seed and its
-doc_id; the document is exploded by its count, and all copies are sorted by a hash over the cluster.
+doc_id; for a large rate it is a sum of independent counts of equal, smaller rates. The document is
+exploded by its count, and all copies are sorted by a hash over the cluster.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from kinetra.llm.scratch import Scratch
 SEED = "mix-1"
 #: Target shares are present shares to this power, made to sum to 1: large sources give way to small ones.
 TEMPERATURE = 0.5
-#: Counts end here: a Poisson count over it has a chance below 1e-30 at the largest rate allowed.
+#: One draw ends here: a Poisson count over it has a chance below 1e-30 at the largest rate of one draw.
 MOST, LARGEST_RATE = 64, 8.0
+#: Copies that one array numbers at most.
+BLOCK = 1 << 16
 _TWO52 = float(1 << 52)
 
 
@@ -36,9 +39,21 @@ def poisson_count(rate: Column, u: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(MOST)), start, step, lambda s: s["k"])
 
 
+def mix_count(rate: Column, seed: str, name: Column) -> Column:
+    """A Poisson count for any rate: the sum of as few draws as keep each one's rate at ``LARGEST_RATE``
+    or less. The only draw of a small rate is hashed from seed and name, further ones from their number, too."""
+    draws = F.ceil(rate / F.lit(LARGEST_RATE)).cast("int")
+    first, small = unit(F.lit(seed), name), rate <= LARGEST_RATE
+
+    def add(total: Column, i: Column) -> Column:
+        return total + poisson_count(rate / draws, unit(F.lit(seed), F.lit("draw"), i.cast("string"), name))
+
+    return F.when(small, poisson_count(rate, first)).otherwise(F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), add))
+
+
 def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget: float = 1.0) -> DataFrame:
-    """``(source, rate)``: ``budget`` times target share over present share of the characters, at most
-    ``LARGEST_RATE``. ``targets`` are weights by source (others get 0); without them, shares to the
+    """``(source, rate)``: ``budget`` times target share over present share of the characters, however
+    large. ``targets`` are weights by source (others get 0); without them, shares to the
     power ``temperature``. A null source is a source of its own; one without characters gets rate 1."""
     scratch = Scratch(docs.sparkSession, "mix")
     size = scratch.table(docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("chars")))
@@ -53,7 +68,7 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
     share = share.withColumn("weight", weight)
     whole = share.agg(F.sum("weight")).first()[0] or 1.0
     rate = F.lit(budget) * F.col("weight") / F.lit(whole) / F.nullif(F.col("share"), F.lit(0.0))
-    return share.select("source", F.least(F.coalesce(rate, F.lit(1.0)), F.lit(LARGEST_RATE)).alias("rate"))
+    return share.select("source", F.coalesce(rate, F.lit(1.0)).alias("rate"))
 
 
 def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, seed: str = SEED, temperature: float = TEMPERATURE, budget: float = 1.0) -> DataFrame:
@@ -66,8 +81,9 @@ def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, seed:
     rate = rates(docs, targets, temperature, budget)
     joined = docs.join(rate.select(F.col("source").alias("_s"), F.col("rate").alias("mix_rate")), docs["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    counted = joined.withColumn("mix_count", poisson_count(F.col("mix_rate"), unit(F.lit(seed), name)))
-    copies = counted.where("mix_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1)))
+    counted = joined.withColumn("mix_count", mix_count(F.col("mix_rate"), seed, name))
+    blocks = counted.where("mix_count > 0").withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1, F.lit(BLOCK))))
+    copies = blocks.withColumn("mix_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (BLOCK - 1), F.col("mix_count") - 1)))).drop("_from")
     return copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("mix_copy").cast("string")))).orderBy("mix_key")
 
 

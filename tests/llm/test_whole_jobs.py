@@ -1,9 +1,10 @@
 """Places where operators once did less than the whole job."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from kinetra.llm import linededup
+from kinetra.llm import linededup, mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,3 +36,25 @@ def test_lines_of_all_lengths_match_sql(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     short = docs.select("source", F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) between 1 and 19").groupBy(F.trim("line")).agg(F.countDistinct("source").alias("n")).where("n >= 3")
     assert not short.isEmpty()
+
+
+def test_rare_source_reaches_its_target_weight(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") % 1000 == 0, "rare").otherwise("large").alias("source"))
+    got = {r.source: r for r in mixing.poisson_mix(docs, {"rare": 0.2, "large": 0.8}).groupBy("source").agg(F.count("*").alias("n"), F.max("mix_rate").alias("rate")).collect()}
+    assert got["rare"].rate == pytest.approx(200) and got["rare"].n == pytest.approx(4000, abs=5 * 4000**0.5)
+    assert got["rare"].n / (got["rare"].n + got["large"].n) == pytest.approx(0.2, abs=0.02)
+
+
+def test_counts_of_large_rates_follow_the_distribution(spark):
+    n = 3000
+    for rate in (7.9, 8.1, 50.0, 300.0):
+        r = spark.range(n).select(mixing.mix_count(F.lit(rate), "t", F.col("id").cast("string")).alias("k")).agg(F.avg("k"), F.var_pop("k")).first()
+        assert r[0] == pytest.approx(rate, abs=5 * (rate / n) ** 0.5)
+        assert r[1] == pytest.approx(rate, rel=0.15)
+
+
+def test_copies_over_a_block_are_numbered_once(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 7)
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b" * 99, "y")], "doc_id long, text string, source string")
+    rows = mixing.poisson_mix(docs, {"x": 1, "y": 1}).where("source = 'x'").collect()
+    assert len(rows) > 7 and sorted(r.mix_copy for r in rows) == list(range(rows[0].mix_count))
