@@ -24,32 +24,43 @@ REJECT = 0.5
 CHAIN = ["marked", "severe", "toxic"]
 #: A marker stands in this many toxic rows at least, and this share of its rows is toxic.
 MARKER_ROWS, MARKER_SHARE = 4, 0.9
-TELLING_SHARE, TELLING_LIFT = 0.01, 3.0
+#: A column that a model may use stands in this many rows at least, and its likelihood ratio statistic
+#: is this large: chance passes it in five of a thousand columns, at any share of positive rows.
+TELLING_ROWS, TELLING = 4, 7.88
 
 
-def weak_categories(rows: list, toxic: np.ndarray) -> dict[str, np.ndarray]:
-    """Labels ``marked`` (toxic, with a marker) and ``severe`` (toxic, with two or more)."""
-    seen, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for (at, _), y in zip(rows, toxic):
-        seen[at] += 1
-        bad[at] += y
-    marker = (bad >= MARKER_ROWS) & (bad >= MARKER_SHARE * seen)
-    count = np.array([int(marker[at].sum()) for at, _ in rows])
-    return {"marked": (toxic == 1) & (count > 0), "severe": (toxic == 1) & (count > 1)}
-
-
-def telling(rows: list, y: np.ndarray) -> np.ndarray:
-    """Which columns a model may use: in ``TELLING_SHARE`` of the positive rows (4 at least), and
-    ``TELLING_LIFT`` times as often positive as rows are. Most n-grams of a sample are chance."""
+def counts(rows: list, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column, the rows and the positive rows it stands in."""
     seen, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for (at, _), v in zip(rows, y):
         seen[at] += 1
         bad[at] += v
-    return (bad >= max(4, TELLING_SHARE * y.sum())) & (bad * len(y) >= TELLING_LIFT * y.sum() * seen)
+    return seen, bad
+
+
+def telling(seen: np.ndarray, bad: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """Which columns tell positive rows from others, of ``n`` rows with ``positive`` positive ones: those whose
+    two-by-two table with the label is no chance. Most n-grams of a sample are chance."""
+    ok = seen >= TELLING_ROWS
+    if not 0 < positive < n:
+        return np.zeros(len(seen), bool)
+    s, b = seen[ok], bad[ok]
+    share = positive / n
+    cells = [(b, s * share), (s - b, s * (1 - share)), (positive - b, (n - s) * share), (n - positive - s + b, (n - s) * (1 - share))]
+    ok[ok] = 2 * sum(o * np.log(np.where(o > 0, o, 1) / np.where(o > 0, e, 1)) for o, e in cells) >= TELLING
+    return ok
+
+
+def weak_categories(rows: list, toxic: np.ndarray) -> dict[str, np.ndarray]:
+    """Labels ``marked`` (toxic, with a marker) and ``severe`` (toxic, with two or more)."""
+    seen, bad = counts(rows, toxic)
+    marker = telling(seen, bad, len(rows), toxic.sum()) & (bad >= MARKER_ROWS) & (bad >= MARKER_SHARE * seen)
+    count = np.array([int(marker[at].sum()) for at, _ in rows])
+    return {"marked": (toxic == 1) & (count > 0), "severe": (toxic == 1) & (count > 1)}
 
 
 def _fit(rows: list, extra: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    ok = telling(rows, y)
+    ok = telling(*counts(rows, y), len(rows), y.sum())
     cut = ((at[ok[at]], x[ok[at]]) for at, x in rows)
     return Ftrl(alpha=0.5, l1=0.5, l2=0.1).fit([with_inputs(r, [float(p[i]) for p in extra]) for i, r in enumerate(cut)], y, epochs=10)
 

@@ -1,10 +1,14 @@
 """Places where operators once did less than the whole job."""
 
+import random
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.llm import linededup, mixing
+from kinetra.llm import linear, linededup, mixing, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,3 +62,27 @@ def test_copies_over_a_block_are_numbered_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a", "x"), (2, "b" * 99, "y")], "doc_id long, text string, source string")
     rows = mixing.poisson_mix(docs, {"x": 1, "y": 1}).where("source = 'x'").collect()
     assert len(rows) > 7 and sorted(r.mix_copy for r in rows) == list(range(rows[0].mix_count))
+
+
+@pytest.mark.parametrize("percent", [10, 40, 50, 60, 90])
+def test_chain_reads_the_text_at_any_share_of_toxic_labels(percent):
+    r = random.Random(percent)
+    words, bad = [f"w{i}" for i in range(400)], ["vile", "nasty", "awful"]
+    toxic = np.array([i % 10 < percent // 10 for i in range(900)], int)
+    texts = [" ".join(r.choices(words, k=60) + (r.sample(bad, r.randint(1, 2)) if t else [])) for t in toxic]
+    rows = list(linear.features(pa.array(texts)))
+    weights = toxicity.train_chain(rows[:600], {**toxicity.weak_categories(rows[:600], toxic[:600]), "toxic": toxic[:600]}, toxicity.CHAIN)
+    wrong = 0
+    for row, t in zip(rows[600:], toxic[600:]):
+        before = []
+        for w in weights:
+            at, x = linear.with_inputs(row, before)
+            before.append(float(linear.sigmoid(float(w[at] @ x))))
+        wrong += (before[-1] >= toxicity.REJECT) != bool(t)
+    assert wrong <= 3
+
+
+def test_labels_of_one_kind_teach_no_text():
+    rows = list(linear.features(pa.array(["some words here"] * 20)))
+    for y in (np.zeros(20), np.ones(20)):
+        assert not toxicity.telling(*toxicity.counts(rows, y), 20, y.sum()).any()
