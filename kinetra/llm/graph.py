@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.llm.scratch import Scratch
+from kinetra.llm.skew import join_groups
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -18,10 +19,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = mark(held)
     while now[0]:
         both = held.unionByName(held.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
-        large = both.where(v > u).join(low, "u").select(v.alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"), F.sum((v > u).cast("long")).alias("rows"))
+        large = join_groups(both.where(v > u), low, ["u"], "rows", now[0], ["v"]).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
+        small = join_groups(large, low, ["u"], "rows", now[0], ["v"]).where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         new = scratch.table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         scratch.drop(held)
         held, before = new, now

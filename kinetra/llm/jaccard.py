@@ -4,34 +4,40 @@ Documents become sets of hashed k-word shingles. Equal sets collapse to one clas
 which follow from the threshold alone, then bring sets together that may link:
 
 * Of its first tokens in hash order, a set must share so many with other sets (``shared_tokens``).
-* Linked sets have few tokens apart, so among the first tokens of both in hash order some run of ``RUN``
+* Linked sets have few tokens apart, so among the first tokens of both in hash order some run of a few
   tokens is the same in both (``run_keys``). Sets with an equal run form candidate components.
 
+A task joins its own rows on such keys before they are shuffled, and sends each key once for them all, so that a
+key has as many shuffled rows as there are tasks' chunks, however many sets have it.
+
 Each component is joined with itself by a signature tree: nodes hold the OR of their members' token bitmaps
 and their size range, and a dual traversal drops node pairs whose largest possible overlap is below what the
 threshold asks, or which are linked already. Pairs of leaves are verified on whole sets. A component over
-``TASK_TOKENS`` is cut into chunks by set size, and pairs of chunks whose size ranges can meet go to tasks of
-their own, so no task holds more than two chunks.
+``TASK_TOKENS`` is cut into chunks by set size. Chunks are joined with themselves, then with their neighbours
+in size, then with all others that their size ranges let link and that are not one linked part with them; each
+pair is a task of its own, so no task holds more than two chunks.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.llm.graph import components
 from kinetra.llm.kernel import U, mix, shingles, slices, words
 from kinetra.llm.scratch import Scratch
+from kinetra.llm.skew import join_groups
 
 #: Tokens that one chunk holds; a task works on two chunks at most.
-TASK_TOKENS = 2_000_000
-#: Tokens of a run, for sets of ``LONG`` tokens or more; shorter sets use single tokens.
-RUN, LONG = 3, 12
+TASK_TOKENS = 500_000
+#: Keys that a task joins among themselves before it sends them on.
+CHUNK_KEYS = 1_000_000
 
 
 # ---- sets -------------------------------------------------------------------------------------
@@ -60,8 +66,8 @@ def needed_pair(total, percent: int):
 
 
 def shared_tokens(n, percent: int):
-    """How many of its prefix a set of n tokens shares at least with a set that is not smaller than it."""
-    return np.maximum(1, -(-n * 3 // 50))
+    """How many of its prefix a set of n tokens shares at least with a set whose prefix ends no earlier."""
+    return np.minimum(np.maximum(1, -(-n * 3 // 50)), needed(n, percent))
 
 
 def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -71,21 +77,45 @@ def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
     return tokens[: n - needed(n, percent) + int(shared_tokens(n, percent))]
 
 
+def most_apart(n, percent: int):
+    """Tokens at most that stand in only one of two linked sets, the smaller of which has n."""
+    return n * (100 - percent) // percent
+
+
+@cache
+def run_rule(percent: int) -> tuple[int, int | None]:
+    """(run, long): linked sets, the smaller of ``long`` tokens or more, share a run of ``run``.
+
+    The common tokens, in order, are cut into one run more than there are tokens apart; so ``run - 1`` common
+    tokens for each, and one more, have a run of that length. There must be so many: ``long`` is the size from
+    which all sets have them. None: runs of two or more are sure for no size, so single tokens serve all sets."""
+    sizes = np.arange(1, 4097)
+    for run in (6, 5, 4, 3, 2):
+        if (run - 1) * (100 - percent) / percent + (100 - percent) / 100 > 0.75:
+            continue  # nearly the whole set would be sent
+        short = sizes[needed(sizes, percent) < (run - 1) * (most_apart(sizes, percent) + 1) + 1]
+        if not len(short):
+            return run, 1
+        if short[-1] < 64:
+            return run, int(short[-1]) + 1
+    return 1, None
+
+
 def run_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of runs of consecutive tokens. Linked sets have at most n (100 - p) / p tokens apart, which cut the
-    common tokens into one run more than that; so a stretch with RUN - 1 common tokens for each, and one more,
-    has a run of RUN. Sets near ``LONG`` give both kinds of keys, as their partners may have either."""
+    """Hashes of the runs, among the first tokens, of which linked sets share one. The smaller set of a pair decides
+    between runs and single tokens, so a set gives both where smaller partners decide otherwise."""
     n = len(tokens)
-    apart = n * (100 - percent) // percent
+    run, long = run_rule(percent)
+    spare = n - needed(n, percent)
     out = []
-    if n >= LONG:
-        stretch = min(n, (RUN - 1) * (apart + 1) + 1 + n - needed(n, percent))
-        h = np.full(max(0, stretch - RUN + 1), U(RUN), U)
-        for i in range(RUN):
+    if long is not None and n >= long:
+        stretch = min(n, (run - 1) * (most_apart(n, percent) + 1) + 1 + spare)
+        h = np.full(max(0, stretch - run + 1), U(run), U)
+        for i in range(run):
             h = mix(h) + tokens[i : i + len(h)]
         out.append(mix(h))
-    if needed(n, percent) < LONG:
-        out.append(mix(tokens[: apart + 1 + n - needed(n, percent)] + U(1)))
+    if long is None or needed(n, percent) < long:
+        out.append(mix(tokens[: 1 + spare] + U(1)))
     return np.concatenate(out)
 
 
@@ -100,7 +130,9 @@ class SignatureTree:
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sets = sets
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        bits = 1 << int(np.clip(16 * self.sizes.max(initial=1), 512, 1 << 17)).bit_length() - 1
+        # sixteen bits a token of the largest set, but no more in all than 64 bits a token of all sets
+        width = min(16 * int(self.sizes.max(initial=1)), 64 * int(self.sizes.sum()) // max(1, len(sets)))
+        bits = 1 << int(np.clip(width, 512, 1 << 17)).bit_length() - 1
         maps = np.zeros((len(sets), bits // 64), U)
         for i, s in enumerate(sets):
             where = s & U(bits - 1)
@@ -132,23 +164,53 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def join_sets(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that connect all that links connect (a spanning forest). With ``side``, pairs of
-    the same side are known already: only pairs of different sides are looked at."""
+class Parts:
+    """Disjoint sets of numbers, by union with path halving."""
+
+    def __init__(self, labels: np.ndarray) -> None:
+        """Numbers with equal labels are together from the start."""
+        _, first, inverse = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[inverse]
+
+    def find(self, a: int) -> int:
+        up = self.up
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+
+    def flat(self) -> np.ndarray:
+        """The least number of each number's part."""
+        while not np.array_equal(up := self.up[self.up], self.up):
+            self.up = up
+        return self.up
+
+
+def join_sets(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, parts: np.ndarray | None = None, forest: bool = True) -> list[tuple[int, int]]:
+    """Links (i, j) that connect all that links connect (a spanning forest), or, with ``forest`` off, all links. With
+    ``side``, pairs of the same side are known already: only pairs of different sides are looked at. ``parts``
+    are labels of parts that are known to be linked."""
     if len(sets) < 2:
         return []
     order = sorted(range(len(sets)), key=lambda i: (sets[i][0] if len(sets[i]) else U(0), len(sets[i])))
     tree = SignatureTree([sets[i] for i in order])
-    root = np.arange(len(order))
+    linked_parts = Parts(np.arange(len(order)) if parts is None else np.asarray(parts)[order])
     links: list[tuple[int, int]] = []
     sides = None if side is None else np.asarray(side)[order]
 
     def join(a: int, b: int) -> None:
-        if root[a] != root[b] and linked(tree.sets[a], tree.sets[b], percent):
+        if forest and linked_parts.find(a) == linked_parts.find(b):
+            return
+        if (sides is None or sides[a] != sides[b]) and linked(tree.sets[a], tree.sets[b], percent):
             links.append((order[a], order[b]))
-            root[root == max(root[a], root[b])] = min(root[a], root[b])
+            if forest:
+                linked_parts.join(a, b)
 
-    if sides is None:  # neighbours in the order: most copies are linked before the traversal
+    if forest:  # neighbours in the order: most copies are linked before the traversal
         for a in range(len(order) - 1):
             join(a, a + 1)
 
@@ -163,10 +225,9 @@ def join_sets(sets: list[np.ndarray], percent: int, side: np.ndarray | None = No
         """Pairs of nodes of one level, a <= b, in blocks: depth first, so few pairs wait at once."""
         for i in range(0, len(a), 4096):
             x, y = a[i : i + 4096], b[i : i + 4096]
-            low, high = uniform(level, root)
-            keep = (low[x] != low[y]) | (low[x] != high[x]) | (low[y] != high[y])
-            if sides is not None:
-                low, high = uniform(level, sides)
+            keep = np.ones(len(x), bool)
+            for value in ([linked_parts.flat()] if forest else []) + ([] if sides is None else [sides]):
+                low, high = uniform(level, value)
                 keep &= (low[x] != low[y]) | (low[x] != high[x]) | (low[y] != high[y])
             x, y = x[keep], y[keep]
             ok = tree.possible(level, x, y, percent)
@@ -179,11 +240,8 @@ def join_sets(sets: list[np.ndarray], percent: int, side: np.ndarray | None = No
                 good = (cx < n) & (cy < n) & ((cx < cy) if level == 1 else (cx <= cy))
                 walk(level - 1, cx[good], cy[good])
             else:
-                while len(x):
-                    join(x[0], y[0])
-                    keep = root[x] != root[y]
-                    keep[0] = False
-                    x, y = x[keep], y[keep]
+                for p, q in zip(x.tolist(), y.tolist()):
+                    join(p, q)
 
     top = len(tree.levels) - 1
     walk(top, np.zeros(1, np.int64), np.zeros(1, np.int64))
@@ -193,36 +251,73 @@ def join_sets(sets: list[np.ndarray], percent: int, side: np.ndarray | None = No
 # ---- distributed join -------------------------------------------------------------------------
 
 
-def _profiles(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    def run(batches):
-        for batch in slices(batches):
-            rows = [(len(s), *set_key(s, seed)) for s in row_sets(batch, k)]
-            n, sid, check = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64())], ["doc_id", "n", "sid", "chk"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, chk long")
-
-
-def _prefix_keys(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
-    """``key, sid, need``; copies of a set within a batch give their keys once."""
+def _longs(values: list[np.ndarray]) -> pa.Array:
+    """list<int64>, one for each array."""
+    flat = np.concatenate([np.zeros(0, U), *values]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
+
+
+def _leads(keys: list[np.ndarray], sids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the keys of several sets end to end: their sets' places, the keys, how many of the sets have the key, and
+    the place of the one with the least sid."""
+    own = np.repeat(np.arange(len(keys)), np.array([len(x) for x in keys], np.int64))
+    flat = np.concatenate([np.zeros(0, U), *keys])
+    order = np.lexsort((np.array(sids, np.int64)[own], flat))
+    start = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]])) if len(flat) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([start, [len(flat)]])).astype(np.int64)
+    count, lead = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+    count[order], lead[order] = np.repeat(size, size), np.repeat(own[order][start], size)
+    return own, flat, count, lead
+
+
+def _read_sets(docs: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
+    """A row per document: ``doc_id, n, sid, chk, need, sure, ask, tell``. The first row of a set in a task's chunk has
+    its prefix: ``sure`` keys are shared with sets of the chunk; ``tell`` are those of them that it sends
+    on for all; ``ask`` are keys that no other set of the chunk has."""
+
+    def flush(rows: list[tuple], keys: dict[int, np.ndarray]) -> pa.RecordBatch:
+        sids = list(keys)
+        own, flat, count, lead = _leads(list(keys.values()), sids)
+        ask, tell = count == 1, (count > 1) & (lead == own)
+        sure = np.bincount(own[count > 1], minlength=len(sids))
+        cut = lambda which: np.split(flat[which], np.searchsorted(own[which], np.arange(1, len(sids)))) if sids else []
+        of = {s: (int(x), a, t) for s, x, a, t in zip(sids, sure, cut(ask), cut(tell))}
+        none = (0, np.zeros(0, U), np.zeros(0, U))
+        found = [of.pop(r[2], none) for r in rows]
+        doc, n, sid, chk, need = zip(*rows)
+        cols = [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(chk, pa.int64()), pa.array(need, pa.int32()), pa.array([x for x, _, _ in found], pa.int32()), _longs([a for _, a, _ in found]), _longs([t for _, _, t in found])]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "sid", "chk", "need", "sure", "ask", "tell"])
 
     def run(batches):
+        rows, keys, held = [], {}, 0
         for batch in slices(batches):
-            distinct = {s.tobytes(): s for s in row_sets(batch, k) if len(s)}.values()
-            keys = [prefix(s, percent) for s in distinct]
-            times = [len(x) for x in keys]
-            sids = np.repeat(np.array([set_key(s, seed)[0] for s in distinct], np.int64), times)
-            need = np.repeat(shared_tokens(needed(np.array([len(s) for s in distinct], np.int64), percent), percent), times)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *keys]).view(np.int64)), pa.array(sids), pa.array(need.astype(np.int32))], ["key", "sid", "need"])
-
-    return docs.select("text").mapInArrow(run, "key long, sid long, need int")
-
-
-def _survivors(keys: DataFrame) -> DataFrame:
-    """``sid`` of the sets that share enough of their prefix with other sets."""
-    shared = keys.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("key")
-    mine = keys.join(shared, "key").select("sid", "key", "need").distinct()
-    return mine.groupBy("sid").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("sid")
+            for doc, s in zip(batch.column("doc_id").to_pylist(), row_sets(batch, k)):
+                n = len(s)
+                sid, chk = set_key(s, seed) if n else (int(mix(np.array([doc or 0], np.int64).view(U))[0].view(np.int64)), 0)  # no set: any number
+                if n and doc is not None and sid not in keys:
+                    keys[sid] = prefix(s, percent).copy()
+                    held += len(keys[sid])
+                rows.append((doc, n, sid, chk, int(shared_tokens(needed(n, percent), percent))))
+            if held >= CHUNK_KEYS or len(rows) >= 1 << 16:
+                yield flush(rows, keys)
+                rows, keys, held = [], {}, 0
+        if rows:
+            yield flush(rows, keys)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, chk long, need int, sure int, ask array<bigint>, tell array<bigint>")
+
+
+def _survivors(seen: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of ``reps`` of sets that share enough of their prefix with other sets (keys that copies in several
+    chunks ask for count again, which keeps a set too many at most)."""
+    asked = seen.select(F.explode("ask").alias("key"), "sid")
+    told = seen.select(F.explode("tell").alias("key"), F.lit(None).cast("long").alias("sid"))
+    of_key = Window.partitionBy("key")
+    known = asked.unionByName(told).select("sid", F.min("sid").over(of_key).alias("a"), F.max("sid").over(of_key).alias("b"), F.max(F.col("sid").isNull()).over(of_key).alias("told"))
+    shared = known.where("sid is not null and (told or a <> b)").groupBy("sid").agg(F.count("*").cast("int").alias("got"))
+    got = shared.select("sid", "got", F.lit(0).alias("sure")).unionByName(seen.where("sure > 0").select("sid", F.lit(0).alias("got"), "sure"))
+    got = got.groupBy("sid").agg((F.sum("got") + F.max("sure")).alias("got"))
+    return got.join(reps, "sid").where("got >= need").select("sid", "rep", "n")
 
 
 def _whole_sets(docs: DataFrame, reps: DataFrame, k: int, seed: int) -> DataFrame:
@@ -239,59 +334,117 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, k: int, seed: int) -> DataFram
     return picked.mapInArrow(run, "sid long, rep long, n long, tokens binary")
 
 
-def _run_key_rows(sets: DataFrame, percent: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            keys = [run_keys(np.frombuffer(x.as_py(), U), percent) for x in batch.column("tokens")]
-            sids = np.repeat(batch.column("sid").to_numpy(), [len(x) for x in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *keys]).view(np.int64)), pa.array(sids)], ["key", "sid"])
-
-    return sets.select("sid", "tokens").mapInArrow(run, "key long, sid long")
+def _run_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """``key, u, v``: within a task's chunk a set u is joined to the least one v of each of its runs (key null); that one
+    alone is sent on with the run (v null)."""
 
+    def flush(keys: dict[int, np.ndarray]) -> pa.RecordBatch:
+        sids = np.array(list(keys), np.int64)
+        own, flat, _, lead = _leads(list(keys.values()), list(keys))
+        first = own == lead
+        near = np.stack([own[~first], lead[~first]])
+        near = np.unique(near, axis=1) if near.size else near
+        key = pa.concat_arrays([pa.array(flat[first].view(np.int64)), pa.nulls(near.shape[1], pa.int64())])
+        return pa.RecordBatch.from_arrays([key, pa.array(np.concatenate([sids[own[first]], sids[near[0]]])), pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(sids[near[1]])])], ["key", "u", "v"])
 
-def _tasks(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """``nodes(sid, n, comp)`` -> ``(sid, comp, chunk, tasks array<string>)``."""
-    size = nodes.groupBy("comp").agg(F.sum("n").alias("total"))
+    def run(batches):
+        keys, held = {}, 0
+        for batch in batches:
+            for sid, tokens in zip(batch.column("sid").to_pylist(), batch.column("tokens")):
+                keys[sid] = np.unique(run_keys(np.frombuffer(tokens.as_py(), U), percent))
+                held += len(keys[sid])
+                if held >= CHUNK_KEYS:
+                    yield flush(keys)
+                    keys, held = {}, 0
+        if keys:
+            yield flush(keys)
+
+    return sets.select("sid", "tokens").mapInArrow(run, "key long, u long, v long")
+
+
+def _chunks(nodes: DataFrame) -> DataFrame:
+    """``nodes(sid, n, comp)`` -> ``sid, comp, n, chunk, task``: components of up to ``TASK_TOKENS`` share tasks and
+    have no chunk; larger ones are cut into chunks by size, each a task of its own."""
+    size = nodes.groupBy("comp").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
     small_tasks = max(1, -(-(size.where(F.col("total") <= TASK_TOKENS).agg(F.sum("total")).first()[0] or 0) // TASK_TOKENS)) * 4
-    nodes = nodes.join(size, "comp")
-    small = nodes.where(F.col("total") <= TASK_TOKENS).select("sid", "comp", F.lit(0).alias("chunk"), F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(small_tasks)).cast("string"))).alias("tasks"))
+    nodes = join_groups(nodes, size, ["comp"], "members", nodes.count(), ["sid"])
+    shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(small_tasks)).cast("string"))
+    small = nodes.where(F.col("total") <= TASK_TOKENS).select("sid", "comp", "n", F.lit(None).cast("int").alias("chunk"), shared.alias("task"))
     big = nodes.where(F.col("total") > TASK_TOKENS)
-    by_size = big.groupBy("comp", "n").agg(F.sum("n").alias("tokens"))
-    upto = F.sum("tokens").over(_window("comp", "n"))
-    by_size = by_size.select("comp", "n", "tokens", (upto - F.col("tokens")).alias("before"))
+    by_size = big.groupBy("comp", "n").agg(F.sum("n").alias("tokens"), F.count("*").alias("members"))
+    before = F.sum("tokens").over(Window.partitionBy("comp").orderBy("n")) - F.col("tokens")
+    by_size = by_size.select("comp", "n", "tokens", "members", before.alias("before"))
     unit = F.pmod(F.xxhash64("sid"), F.lit(1 << 20)) / F.lit(1 << 20)
-    big = scratch.table(big.join(by_size, ["comp", "n"]).select("sid", "comp", "n", F.floor((F.col("before") + unit * F.col("tokens")) / TASK_TOKENS).cast("int").alias("chunk")))
-    ranges = big.groupBy("comp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    a, b = ranges.alias("a"), ranges.alias("b")
-    pairs = a.join(b, (F.col("a.comp") == F.col("b.comp")) & (F.col("a.chunk") <= F.col("b.chunk")) & (F.col("a.high") * 100 >= F.col("b.low") * percent)).select(F.col("a.comp").alias("comp"), F.col("a.chunk").alias("i"), F.col("b.chunk").alias("j"), F.concat_ws("-", F.lit("b"), "a.comp", "a.chunk", "b.chunk").alias("task"))
-    of_chunk = pairs.select("comp", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"), "task").groupBy("comp", "chunk").agg(F.collect_list("task").alias("tasks"))
-    return small.unionByName(big.join(of_chunk, ["comp", "chunk"]).select("sid", "comp", "chunk", "tasks"))
+    big = join_groups(big.select("sid", "comp", "n"), by_size, ["comp", "n"], "members", nodes.count(), ["sid"])
+    big = big.select("sid", "comp", "n", F.floor((F.col("before") + unit * F.col("tokens")) / TASK_TOKENS).cast("int").alias("chunk"))
+    return small.unionByName(big.withColumn("task", F.concat_ws("-", F.lit("b"), "comp", "chunk")))
 
 
-def _window(part: str, order: str):
-    from pyspark.sql import Window
+def _links(sets: DataFrame, placed: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """``u, v``: links found by the tasks of ``placed(sid, comp, chunk, part, task)``; two chunks of a task are two sides."""
 
-    return Window.partitionBy(part).orderBy(order)
-
-
-def _links(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
     def join(group: pa.Table) -> pa.Table:
-        sid, comp, chunk = (group[c].to_numpy() for c in ("sid", "comp", "chunk"))
+        sid, comp, part = (group[c].to_numpy() for c in ("sid", "comp", "part"))
+        chunk = group["chunk"].fill_null(0).to_numpy()
         tokens = group["tokens"]
         out: list[tuple[int, int]] = []
         order = np.argsort(comp, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+        for rows in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
             first: dict[int, int] = {}
-            for i in part:
+            for i in rows:
                 first.setdefault(int(sid[i]), int(i))  # repeated rows give a set twice
-            rows = list(first.values())
-            sets = [np.frombuffer(tokens[i].as_py(), U) for i in rows]
-            side = chunk[rows]
-            out += [(sid[rows[i]], sid[rows[j]]) for i, j in join_sets(sets, percent, side if side.min() != side.max() else None)]
+            own = list(first.values())
+            side = chunk[own]
+            found = join_sets([np.frombuffer(tokens[i].as_py(), U) for i in own], percent, side if side.min() != side.max() else None, part[own], forest)
+            out += [(sid[own[i]], sid[own[j]]) for i, j in found]
         return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
-    rows = sets.select("sid", "tokens").join(tasks, "sid")
-    return rows.select("sid", "comp", "chunk", "tokens", F.explode("tasks").alias("task")).groupBy("task").applyInArrow(join, "u long, v long")
+    rows = sets.select("sid", "tokens").join(placed.select("sid", "comp", "chunk", "part", "task"), "sid")
+    return rows.groupBy("task").applyInArrow(join, "u long, v long")
+
+
+def _all_links(sets: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, forest: bool = True) -> DataFrame:
+    """Links within the components of ``nodes(sid, n, comp)``: a spanning forest, or all."""
+    placed = scratch.table(_chunks(nodes))
+    links = scratch.table(_links(sets, placed.withColumn("part", F.col("sid")), percent, forest))
+    big = placed.where("chunk is not null")
+    if big.isEmpty():
+        return links
+    near, far = F.col("j") == F.col("i") + 1, F.col("j") > F.col("i") + 1
+    for which in (near, far):
+        parts = components(links, scratch) if forest else links.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
+        known = scratch.table(big.join(parts, F.col("sid") == F.col("node"), "left").select("sid", "comp", "n", "chunk", F.coalesce("root", "sid").alias("part")))
+        node = known.groupBy("comp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("p"), F.max("part").alias("q"))
+        a, b = (node.select("comp", *(F.col(c).alias(f"{c}{x}") for c in ("low", "high", "p", "q")), F.col("chunk").alias(x)) for x in "ij")
+        linked_already = (F.col("pi") == F.col("qi")) & (F.col("pj") == F.col("qj")) & (F.col("pi") == F.col("pj"))
+        pairs = scratch.table(a.join(b, "comp").where(which & (F.col("highi") * 100 >= F.col("lowj") * percent) & (~linked_already if forest else F.lit(True))).select("comp", "i", "j"))
+        if pairs.isEmpty():
+            continue
+        chunk_tasks = pairs.select("comp", F.explode(F.array("i", "j")).alias("chunk"), F.concat_ws("-", F.lit("p"), "comp", "i", "j").alias("task"))
+        new = _links(sets, known.join(chunk_tasks, ["comp", "chunk"]), percent, forest)
+        links = scratch.table(links.unionByName(new))
+    return links
+
+
+def _candidates(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``profiles(doc_id, n, sid)``, ``reps(sid, rep, n, copies)``, ``sets(sid, rep, n, tokens)``, ``nodes(sid, n, comp)``."""
+    docs = docs.select("doc_id", "text")
+    for seed in range(16):  # a fingerprint that two sets share (never seen) is tried again with another key
+        seen = scratch.table(_read_sets(docs, k, percent, seed))
+        reps = seen.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("need").alias("need"), F.count("*").alias("copies"), F.min("chk").alias("c1"), F.max("chk").alias("c2"))
+        reps = scratch.table(reps)
+        if reps.where("c1 <> c2").isEmpty():
+            break
+        scratch.drop(seen, reps)
+    chosen = scratch.table(_survivors(seen, reps))
+    profiles = scratch.table(seen.select("doc_id", "n", "sid"))
+    scratch.drop(seen)
+    sets = scratch.table(_whole_sets(docs.where(F.col("doc_id").isNotNull()), chosen, k, seed))
+    runs = scratch.table(_run_rows(sets, percent))
+    far = runs.where("key is not null").select("u", F.min("u").over(Window.partitionBy("key")).alias("v")).where("u <> v")
+    groups = components(far.unionByName(runs.where("key is null").select("u", "v")), scratch).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
+    scratch.drop(runs)
+    return profiles, reps, sets, scratch.table(groups.join(sets.select("sid", "n").distinct(), "sid"))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -300,37 +453,38 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Words are runs of bytes other than space and 0x09 to 0x0D, with A-Z lowered. A text's set has its
     distinct k-word shingles; a shorter text has its whole sequence as one; null, empty and blank texts
     have no shingles and link with nothing (component_id is their own doc_id). Two sets link when
-    100 * intersection >= percent * union; component_id is the smallest doc_id reachable by links.
-    Rows with a null doc_id take part in counts only: they link with nothing and component_id is null.
-    Repeated rows each give a row; other columns are ignored; an empty table gives an empty result.
+    100 * intersection >= percent * union (and they intersect); component_id is the smallest doc_id reachable by
+    links. Rows with a null doc_id take part in counts only: they link with nothing and component_id is null.
+    Repeated rows each give a row; rows that repeat a doc_id with other texts are sets of their own under
+    that id; other columns are ignored; an empty table gives an empty result. ``percent`` is from 1 to 100.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    docs = docs.select("doc_id", "text")
-    for seed in range(16):  # a fingerprint that two sets share (never seen) is tried again with another key
-        profiles = scratch.table(_profiles(docs, k, seed))
-        reps = profiles.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("chk").alias("c1"), F.max("chk").alias("c2"))
-        reps = scratch.table(reps)
-        if not reps.where("c1 <> c2").limit(1).count():
-            break
-        scratch.drop(profiles)
-        scratch.drop(reps)
-    filled = docs.where(F.col("doc_id").isNotNull())
-    keys = scratch.table(_prefix_keys(filled, k, percent, seed))
-    sets = scratch.table(_whole_sets(filled, reps.join(_survivors(keys), "sid", "left_semi"), k, seed))
-    scratch.drop(keys)
-    runs = scratch.table(_run_key_rows(sets, percent))
-    shared = runs.groupBy("key").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead <> last").select("key", "lead")
-    edges = runs.join(shared, "key").where("sid <> lead").select(F.col("sid").alias("u"), F.col("lead").alias("v"))
-    groups = components(edges, scratch).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
-    nodes = scratch.table(groups.join(sets.select("sid", "n"), "sid"))
-    scratch.drop(runs)
-    links = components(_links(sets, _tasks(nodes, percent, scratch), percent), scratch)
-    classes = reps.join(links, reps.sid == links.node, "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("rep").alias("component"))
-    of_set = classes.join(smallest, "root").select("sid", "component")
+    _check(k, percent)
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    profiles, reps, sets, nodes = _candidates(docs, k, percent, scratch)
+    links = components(_all_links(sets, nodes, percent, scratch), scratch)
+    scratch.drop(sets, nodes)
+    classes = scratch.table(reps.join(links, reps.sid == links.node, "left").select("sid", "rep", "copies", F.coalesce("root", "sid").alias("root")))
+    smallest = classes.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("members"))
+    of_set = join_groups(classes, smallest, ["root"], "members", classes.count(), ["sid"]).select("sid", "component", "copies")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return profiles.join(of_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return join_groups(profiles, scratch.table(of_set), ["sid"], "copies", profiles.count(), ["doc_id"]).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """All links between different sets, as ``a, b``: the smallest doc_ids of the two sets' documents, a < b. Documents
+    with equal sets are one class (see ``jaccard_classes``) and are not expanded. Odd rows are treated as there."""
+    _check(k, percent)
+    scratch = Scratch(docs.sparkSession, "links")
+    _, reps, sets, nodes = _candidates(docs, k, percent, scratch)
+    links = _all_links(sets, nodes, percent, scratch, forest=False)
+    u, v = (reps.select(F.col("sid").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "uv")
+    both = links.join(u, "u").join(v, "v")
+    return both.select(F.least("rep_u", "rep_v").alias("a"), F.greatest("rep_u", "rep_v").alias("b"))
+
+
+def _check(k: int, percent: int) -> None:
+    if k < 1 or not 1 <= percent <= 100:
+        raise ValueError("shingles have one word or more, and the similarity is 1 to 100 percent")
 
 
 def keep_one_per_class(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,11 +13,15 @@ _own_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (local tests)."""
+    """The cluster's ``spark.checkpoint.dir`` with its scheme, so that Spark and ``pyarrow.fs`` mean one place by it;
+    a folder of our own only where it is unset and all tasks run in this process (local tests)."""
     global _own_root
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        fs, path = _path(spark, found)
+        return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = "file://" + tempfile.mkdtemp(prefix="kinetra-")
         _forget_at_exit(spark, _own_root)
@@ -52,6 +57,21 @@ def bound_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) ->
             spark.conf.set(key, str(most))
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end_here(spark: SparkSession):
+    """While a table is written, whose plan is not run again, its shuffle files go with the execution."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Parquet tables of one operator call; ``table`` writes and rereads, ``drop`` frees early."""
 
@@ -68,10 +88,12 @@ class Scratch:
 
     def table(self, df: DataFrame) -> DataFrame:
         where = self.folder()
-        df.write.parquet(where)
+        with shuffles_end_here(self.spark):
+            df.write.parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._kinetra_path = where
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        remove(self.spark, df._kinetra_path)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            remove(self.spark, df._kinetra_path)

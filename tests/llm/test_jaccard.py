@@ -85,6 +85,51 @@ def test_filters_lose_no_link(percent):
     assert found > 100
 
 
+def interleaved(percent, n):
+    """Two linked sets whose tokens apart, in hash order, stand as evenly among the common ones as they can."""
+    both = J.needed(n, percent)
+    while 100 * both < percent * (2 * n - both):
+        both += 1
+    order, x, y = 0, [], []
+    for i in range(both):
+        order += 1
+        x.append(order), y.append(order)
+        if i < n - both:
+            x.append(order + 1), y.append(order + 2)
+            order += 2
+    return (np.array(s, np.uint64) for s in (x, y))
+
+
+@pytest.mark.parametrize("percent", [1, 5, 20, 50, 60, 70, 73, 75, 80, 85, 90, 95, 99])
+def test_filters_hold_for_evenly_spread_tokens(percent):
+    for n in range(1, 400):
+        x, y = interleaved(percent, n)
+        for a, b in ((x, y), (x, y[: max(1, J.needed(n, percent))])):
+            if J.linked(a, b, percent):
+                assert len(np.intersect1d(J.run_keys(a, percent), J.run_keys(b, percent)))
+                common = len(np.intersect1d(J.prefix(a, percent), J.prefix(b, percent)))
+                assert all(common >= J.shared_tokens(J.needed(len(s), percent), percent) for s in (a, b))
+
+
+def test_maps_of_a_tree_are_bounded_by_its_tokens():
+    sets = [np.arange(i, i + 15, dtype=np.uint64) for i in range(20_000)] + [np.arange(20_000, dtype=np.uint64)]
+    assert J.SignatureTree(sets).levels[0][0].nbytes <= 9 * sum(map(len, sets))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_all_links(percent):
+    sets = random_sets(7, 120)
+    want = {(j, i) for i in range(120) for j in range(i) if J.linked(sets[i], sets[j], percent)}
+    assert {tuple(sorted(p)) for p in J.join_sets(sets, percent, forest=False)} == want
+    side = np.arange(120) % 2
+    assert {tuple(sorted(p)) for p in J.join_sets(sets, percent, side, forest=False)} == {p for p in want if side[p[0]] != side[p[1]]}
+
+
+def test_known_parts_are_not_linked_again():
+    sets = random_sets(3, 80)
+    assert J.join_sets(sets, 80, parts=np.zeros(80, int)) == []
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_tree_connects_what_links_connect(percent):
     for seed in range(20):
@@ -118,15 +163,32 @@ def test_two_sides_find_the_links_between_them():
     assert links and all(side[a] != side[b] for a, b in links)
 
 
-@pytest.mark.parametrize("k,percent,task_tokens", [(3, 90, 2_000_000), (5, 80, 2_000_000), (3, 90, 300)])
-def test_classes_match_all_pairs(spark, monkeypatch, k, percent, task_tokens):
+@pytest.mark.parametrize("k,percent,task_tokens,chunk_keys", [(3, 90, 500_000, 1_000_000), (5, 80, 500_000, 40), (3, 90, 300, 40), (4, 60, 300, 500)])
+def test_classes_match_all_pairs(spark, monkeypatch, k, percent, task_tokens, chunk_keys):
     monkeypatch.setattr(J, "TASK_TOKENS", task_tokens)
+    monkeypatch.setattr(J, "CHUNK_KEYS", chunk_keys)
     rows = near_copies(k)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n_shingles string").repartition(5)
     got = sorted(map(tuple, J.jaccard_classes(docs, k, percent).collect()))
     assert got == sorted(brute(rows, k, percent))
 
 
+@pytest.mark.parametrize("task_tokens", [500_000, 300])
+def test_links_match_all_pairs(spark, monkeypatch, task_tokens):
+    monkeypatch.setattr(J, "TASK_TOKENS", task_tokens)
+    rows = near_copies(11, groups=6)
+    least = {}
+    for d, t in rows:
+        if s := frozenset(shingle_set(t, 3)):
+            least[s] = min(d, least.get(s, d))
+    want = {tuple(sorted((a, b))) for x, a in least.items() for y, b in least.items() if a < b and 100 * len(x & y) >= 80 * len(x | y)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in J.jaccard_links(docs, 3, 80).collect()]
+    assert len(want) > 30 and set(got) == want and len(got) == len(want)
+    with pytest.raises(ValueError):
+        J.jaccard_links(docs, 3, 0)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a b c d e f"), (3, "a b c d e f"), (4, "A B C D E F"), (None, "a b c d e f"), (5, "x" * 200_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
