@@ -9,6 +9,7 @@ finds its place by its rank among the pieces of its length, which is counted in
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -21,6 +22,8 @@ from kinetra.llm.scratch import Scratch
 
 SEQUENCE = 1024
 END = 2
+#: Runs of white space from this length are left to ``tokenizers``.
+LONG_SPACE = 1000
 #: Pieces of one length are dealt to groups to be ranked: at least so many groups, of about so many pieces.
 RANK_GROUPS, GROUP_PIECES = 64, 100_000
 
@@ -34,7 +37,8 @@ def public_path(name: str) -> str:
 def encoder(tokenizer: str, ranks: str):
     """text -> ids of the ``tokenizers`` file. Its byte-level pieces are merged by ``tiktoken`` over the
     same vocabulary as ranks, which gives the same ids several times faster; a text that has one of the
-    file's added tokens goes through ``tokenizers`` itself."""
+    file's added tokens, or white space so long that the pattern's look-ahead would have to go back over it, goes
+    through ``tokenizers`` itself."""
     import base64
 
     import public_tokenizers
@@ -46,8 +50,10 @@ def encoder(tokenizer: str, ranks: str):
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    wide = re.compile(rf"\s{{{LONG_SPACE}}}")
+
     def encode(text: str) -> list[int]:
-        if any(a in text for a in added):
+        if any(a in text for a in added) or wide.search(text):
             return model.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
