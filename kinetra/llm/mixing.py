@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.llm.scratch import Scratch
+from kinetra.llm.skew import join_groups, numbered
 
 SEED = "mix-1"
 #: Target shares are present shares to this power, made to sum to 1: large sources give way to small ones.
@@ -20,6 +21,8 @@ TEMPERATURE = 0.5
 MOST, LARGEST_RATE = 64, 8.0
 #: Copies that one array numbers at most.
 BLOCK = 1 << 16
+#: Columns that a mix adds.
+ADDED = ("mix_rate", "mix_count", "mix_copy", "mix_key")
 _TWO52 = float(1 << 52)
 
 
@@ -52,11 +55,11 @@ def mix_count(rate: Column, seed: str, name: Column) -> Column:
 
 
 def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget: float = 1.0) -> DataFrame:
-    """``(source, rate)``: ``budget`` times target share over present share of the characters, however
-    large. ``targets`` are weights by source (others get 0); without them, shares to the
+    """``(source, rate, n)``: ``budget`` times target share over present share of the characters, however
+    large, and the number of documents. ``targets`` are weights by source (others get 0); without them, shares to the
     power ``temperature``. A null source is a source of its own; one without characters gets rate 1."""
     scratch = Scratch(docs.sparkSession, "mix")
-    size = scratch.table(docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("chars")))
+    size = scratch.table(docs.groupBy("source").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("chars"), F.count("*").alias("n")))
     total = size.agg(F.sum("chars")).first()[0] or 1.0
     share = size.withColumn("share", F.col("chars") / F.lit(total))
     if targets is None:
@@ -68,23 +71,36 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
     share = share.withColumn("weight", weight)
     whole = share.agg(F.sum("weight")).first()[0] or 1.0
     rate = F.lit(budget) * F.col("weight") / F.lit(whole) / F.nullif(F.col("share"), F.lit(0.0))
-    return share.select("source", F.coalesce(rate, F.lit(1.0)).alias("rate"))
+    return share.select("source", F.coalesce(rate, F.lit(1.0)).alias("rate"), "n")
 
 
 def poisson_mix(docs: DataFrame, targets: dict[str, float] | None = None, seed: str = SEED, temperature: float = TEMPERATURE, budget: float = 1.0) -> DataFrame:
     """The rows of ``docs`` repeated by their counts, plus ``mix_rate, mix_count, mix_copy`` (from 0) and
-    ``mix_key``, in the order of ``mix_key`` over the whole result.
+    ``mix_key``, which replace columns of these names, in the order of ``mix_key`` over the whole result.
 
     A document whose count is 0 has no row. Rows that repeat a doc_id get equal counts; a null doc_id
-    hashes as empty. Null text has no characters. An empty table gives an empty result.
+    hashes as empty. Null text has no characters. Other columns are kept, whatever their names. An empty table
+    gives an empty result.
     """
-    rate = rates(docs, targets, temperature, budget)
-    joined = docs.join(rate.select(F.col("source").alias("_s"), F.col("rate").alias("mix_rate")), docs["source"].eqNullSafe(F.col("_s")), "left").drop("_s")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    counted = joined.withColumn("mix_count", mix_count(F.col("mix_rate"), seed, name))
-    blocks = counted.where("mix_count > 0").withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1, F.lit(BLOCK))))
-    copies = blocks.withColumn("mix_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (BLOCK - 1), F.col("mix_count") - 1)))).drop("_from")
-    return copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("mix_copy").cast("string")))).orderBy("mix_key")
+    rate = rates(docs, targets, temperature, budget).select(F.struct("source").alias("of"), F.col("rate").alias("mix_rate"), "n")
+    held, new = numbered(docs)
+    name = F.coalesce(F.col(new["doc_id"]).cast("string"), F.lit("")).alias("name")
+    rows = held.select("*", name, F.struct(F.col(new["source"]).alias("source")).alias("of"))  # a struct, so that a null source is a key
+    rows = join_groups(rows, rate, ["of"], "n", rate.agg(F.sum("n")).first()[0] or 0, ["name"])
+    counted = rows.withColumn("mix_count", mix_count(F.col("mix_rate"), seed, F.col("name"))).where("mix_count > 0")
+    blocks = counted.withColumn("begin", F.explode(F.sequence(F.lit(0), F.col("mix_count") - 1, F.lit(BLOCK))))
+    copies = blocks.withColumn("mix_copy", F.explode(F.sequence("begin", F.least(F.col("begin") + (BLOCK - 1), F.col("mix_count") - 1))))
+    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "name", F.col("mix_copy").cast("string"))))
+    kept = [F.col(n).alias(c) for c, n in new.items() if c.lower() not in ADDED]
+    return in_key_order(keyed.select(*held.columns, *ADDED)).select(*kept, *ADDED)
+
+
+def in_key_order(keyed: DataFrame) -> DataFrame:
+    """Rows in the order of ``mix_key`` over all partitions. An md5 is uniform, so the bounds of the partitions are
+    fixed shares of its first 32 bits, and no scan is spent on finding them."""
+    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") * F.lit(n)
+    return keyed.repartitionById(n, F.shiftright(share, 32).cast("int")).sortWithinPartitions("mix_key")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -97,18 +113,22 @@ def op6_mix(spark, sf_dir: str) -> DataFrame:
     return poisson_mix(docs).withColumn("mix_rate", F.round("mix_rate", 9))
 
 
+_NAME = "coalesce(doc_id::VARCHAR, '')"
+_UNIT = f"('0x' || substr(md5({{}}), 1, 13))::UBIGINT::DOUBLE / {1 << 52}.0"
 OP6_SQL = f"""
 WITH RECURSIVE size AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS chars FROM documents GROUP BY source),
 share AS (SELECT source, chars / nullif((SELECT sum(chars) FROM size), 0) AS share FROM size),
-rates AS (SELECT source, least(coalesce(pow(share, {TEMPERATURE}) / nullif((SELECT sum(pow(share, {TEMPERATURE})) FROM share), 0) / nullif(share, 0), 1.0), {LARGEST_RATE}) AS rate FROM share),
-steps AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
-  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM steps WHERE k < {MOST - 1}),
-table_of AS (SELECT source, rate, list(c) AS cdf FROM steps GROUP BY source, rate),
-u AS (SELECT d.*, t.rate, t.cdf, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE / {1 << 52}.0 AS u
+rates AS (SELECT source, coalesce(pow(share, {TEMPERATURE}) / nullif((SELECT sum(pow(share, {TEMPERATURE})) FROM share), 0) / nullif(share, 0), 1.0) AS rate FROM share),
+draws AS (SELECT source, rate, greatest(1, ceil(rate / {LARGEST_RATE}))::INT AS draws, rate / greatest(1, ceil(rate / {LARGEST_RATE})) AS r FROM rates),
+steps AS (SELECT source, rate, draws, r, 0 AS k, exp(-r) AS p, exp(-r) AS c FROM draws
+  UNION ALL SELECT source, rate, draws, r, k + 1, p * r / (k + 1), c + p * r / (k + 1) FROM steps WHERE k < {MOST - 1}),
+table_of AS (SELECT source, rate, draws, list(c ORDER BY k) AS cdf FROM steps GROUP BY source, rate, draws),
+u AS (SELECT d.*, t.rate, t.draws, t.cdf, CASE WHEN t.draws = 1 THEN [{_UNIT.format(f"'{SEED}:' || {_NAME}")}]
+    ELSE list_transform(range(1, t.draws + 1), lambda i: {_UNIT.format(f"'{SEED}:draw:' || i || ':' || {_NAME}")}) END AS us
   FROM documents d JOIN table_of t ON d.source IS NOT DISTINCT FROM t.source),
-counted AS (SELECT *, len(list_filter(cdf, lambda x: x <= u)) AS mix_count FROM u),
-copies AS (SELECT *, unnest(range(mix_count)) AS c FROM counted WHERE mix_count > 0)
+counted AS (SELECT *, list_sum(list_transform(us, lambda u: len(list_filter(cdf, lambda x: x <= u)))) AS mix_count FROM u),
+copies AS (SELECT *, unnest(range(mix_count::BIGINT)) AS c FROM counted WHERE mix_count > 0)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS mix_rate, mix_count::INT AS mix_count, c::INT AS mix_copy,
-  md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, '') || ':' || c) AS mix_key
+  md5('{SEED}:order:' || {_NAME} || ':' || c) AS mix_key
 FROM copies ORDER BY mix_key
 """
