@@ -14,6 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetra.llm.scratch import Scratch
+from kinetra.llm.skew import join_groups
+
 LEAST, LARGEST = 64, 4096
 _ODD, _EVEN = "[acegikmoqsuwyACEGIKMOQSUWY13579]", "[^acegikmoqsuwyACEGIKMOQSUWY13579]"
 #: A chunk ends at a white space whose seven characters before have this pattern of two classes: about one
@@ -62,10 +65,13 @@ def exact_groups(docs: DataFrame, key: Callable[[Column], Column] = F.xxhash64)
     Rows that repeat the kept doc_id are all marked kept. Other columns are ignored; an empty table
     gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession, "recipes")
     listed = recipes(docs.select("doc_id", "text"), key).select("doc_id", "recipe", F.sha2("text", 256).alias("text_sha256"))
     groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = listed.join(groups, "recipe")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = scratch.table(groups.where("group_size > 1"))  # a text that stands alone needs no partner
+    out = join_groups(listed, groups, ["recipe"], "group_size", groups.agg(F.sum("group_size")).first()[0] or 0, ["doc_id"])
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
