@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.llm.scratch import Scratch
+from kinetra.llm.skew import join_groups
 
 SPLIT_BYTES = 16 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -115,13 +116,20 @@ def range_records(file, size: int, start: int, end: int) -> Iterator[tuple[int,
 
 def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
     """``pages(page_id, url, html)`` plus ``sha1``, ``record_type`` and ``refers_to``: of records with equal
-    payloads of ``least`` bytes or more, the smallest page_id is the response and others revisit it."""
+    payloads of ``least`` bytes or more, the smallest page_id is the response and others revisit it.
+
+    Revisits are found on digests alone and written; pages meet that list by page_id, so that no payload moves by
+    a digest that many pages have."""
+    scratch = Scratch(pages.sparkSession, "types")
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    long = F.octet_length("html") >= least
-    first = p.where(long).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    joined = p.join(first, "sha1", "left")
-    revisit = F.col("first").isNotNull() & long & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "html", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    names = p.where(F.octet_length("html") >= least).select("page_id", "sha1")
+    groups = scratch.table(names.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"))
+    known = join_groups(names, groups, ["sha1"], "n", groups.agg(F.sum("n")).first()[0] or 0, ["page_id"])
+    known = known.where(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = scratch.table(known.select(F.struct("page_id", "sha1").alias("of"), "first").distinct())
+    joined = p.withColumn("key", F.struct("page_id", "sha1")).join(revisits, F.col("key") == F.col("of"), "left")
+    revisit = F.col("first").isNotNull()
+    return joined.select("page_id", "url", "html", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("first").alias("refers_to"))
 
 
 def write_warc(typed: DataFrame, folder: str) -> DataFrame:
