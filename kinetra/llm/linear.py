@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.llm.kernel import LOWER, SPACE, U, _spans, mix, slices, span_hashes, text_buffer
-from kinetra.llm.scratch import bound_batches
+from kinetra.llm.scratch import Scratch, bound_batches
 
 BITS = 20
 #: The first columns stay free for inputs that are not hashed.
@@ -121,47 +121,50 @@ def with_inputs(row: tuple[np.ndarray, np.ndarray], extra: list[float]) -> tuple
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """``(at, x, labels)`` of at most ``MAX_LABELLED`` labelled documents, chosen by a hash of doc_id.
-
-    The sample is bounded, so its ids are broadcast and unlabelled texts do not move."""
-    bound_batches(docs.sparkSession)
-    known = labels.dropna(subset=["doc_id", *columns]).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))  # one label of several
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).select("doc_id", *columns)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    """``(doc_id, at, x, labels)`` of the labelled documents that come first by a hash of doc_id: at most
+    ``MAX_LABELLED`` of them, and with their features at most ``MAX_FEATURES`` (but the first one always).
+
+    Labels of documents that ``docs`` lacks don't count. Of several labels of a document the largest counts, and
+    labels with a null are left out. The sample is bounded, so its ids are broadcast and unlabelled texts do not move.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    scratch = Scratch(spark, "labels")
+    known = labels.dropna(subset=["doc_id", *columns]).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
+    place = F.xxhash64("doc_id").alias("place")
+    chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").select(place, "doc_id", *columns).orderBy("place", "doc_id").limit(MAX_LABELLED)
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "doc_id", "text", *columns)
 
     def run(batches):
         for batch in slices(batches):
             rows = list(features(batch.column("text")))
-            cols = [batch.column("doc_id"), pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary()), *(batch.column(c).cast(pa.int32()) for c in columns)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "at", "x", *columns])
-
-    return picked.mapInArrow(run, "doc_id long, at binary, x binary, " + ", ".join(f"{c} int" for c in columns))
-
+            cols = [batch.column("place"), batch.column("doc_id"), pa.array([len(a) for a, _ in rows], pa.int64()), pa.array([a.tobytes() for a, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary()), *(batch.column(c).cast(pa.int32()) for c in columns)]
+            yield pa.RecordBatch.from_arrays(cols, ["place", "doc_id", "size", "at", "x", *columns])
 
-def read_rows(batches: Iterator[pa.RecordBatch], columns: list[str]) -> tuple[list, dict[str, np.ndarray]]:
-    """The sample's rows by doc_id and their labels, up to ``MAX_FEATURES`` features."""
-    table = pa.Table.from_batches(list(batches))
-    order = np.argsort(table["doc_id"].to_numpy(), kind="stable") if table.num_rows else np.zeros(0, np.int64)
-    rows, taken, total = [], [], 0
-    for i in order:
-        at = np.frombuffer(table["at"][i].as_py(), np.int32)
-        total += len(at)
-        if total > MAX_FEATURES and rows:
-            break
-        rows.append((at, np.frombuffer(table["x"][i].as_py(), np.float32)))
-        taken.append(i)
-    return rows, {c: table[c].to_numpy()[taken] if rows else np.zeros(0, int) for c in columns}
+    made = scratch.table(picked.mapInArrow(run, "place long, doc_id long, size long, at binary, x binary, " + ", ".join(f"{c} int" for c in columns)))
+    sizes = made.groupBy("place", "doc_id").agg(F.sum("size").alias("size")).orderBy("place", "doc_id").collect()  # at most MAX_LABELLED
+    upto = np.cumsum([r["size"] for r in sizes]) <= MAX_FEATURES
+    if len(sizes) and not upto.all():
+        last = sizes[max(0, int(np.argmin(upto)) - 1)]
+        made = made.where((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("doc_id") <= last["doc_id"])))
+    return made.select("doc_id", "at", "x", *columns)
 
 
 def fit_in_one_task(rows: DataFrame, columns: list[str], train) -> list[np.ndarray]:
-    """Runs ``train(rows, labels) -> list of weight vectors`` in a task over the bounded sample, which is
-    shuffled to it, so that features are still made where the texts are."""
+    """Runs ``train(rows, labels) -> list of weight vectors`` in a task over the bounded sample, in the order of doc_id.
+    Features were made where the texts are; only they are shuffled to the task."""
 
     def run(batches):
-        found = list(batches)
+        found = []
+        for batch in batches:
+            known = zip(*(batch.column(c).to_pylist() for c in columns))
+            for doc, at, x, y in zip(batch.column("doc_id").to_pylist(), batch.column("at"), batch.column("x"), known):
+                found.append((doc, np.frombuffer(at.as_py(), np.int32), np.frombuffer(x.as_py(), np.float32), y))
         if not found:
             return
-        for w in train(*read_rows(iter(found), columns)):
+        found.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # rows that repeat a doc_id in an order of their own
+        labels = dict(zip(columns, np.array([r[3] for r in found]).T))
+        for w in train([(at, x) for _, at, x, _ in found], labels):
             yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary())], ["w"])
 
     return [np.frombuffer(r.w, np.float32) for r in rows.repartition(1).mapInArrow(run, "w binary").collect()]

@@ -15,7 +15,10 @@ THRESHOLD = 0.7
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, column: str = "quality") -> np.ndarray:
-    """Weights from the labelled rows (at most ``linear.MAX_LABELLED``); without any, all zeros."""
+    """Weights from the labelled rows (at most ``linear.MAX_LABELLED``); without any, all zeros.
+
+    ``docs(doc_id, text, ...)``, ``labels(doc_id, column, ...)``. Null and empty texts have no features. Rows that repeat
+    a labelled doc_id are learnt from each; for labels see ``linear.labelled_rows``. Other columns are ignored."""
 
     def train(rows, known):
         yield Ftrl().fit([with_inputs(r, []) for r in rows], known[column].astype(float))

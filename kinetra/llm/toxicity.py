@@ -87,7 +87,10 @@ def train_chain(rows: list, labels: dict[str, np.ndarray], chain: list[str], fol
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, chain: list[str] | None = None) -> tuple[list[str], list[np.ndarray]]:
     """The chain and its weights. With ``chain``, labels has a 0/1 column for each category; without,
-    it has ``toxic`` and the earlier categories are weak ones. Without labelled rows nothing is toxic."""
+    it has ``toxic`` and the earlier categories are weak ones. Without labelled rows nothing is toxic.
+
+    Null and empty texts have no features. Rows that repeat a labelled doc_id are learnt from each; for labels
+    see ``linear.labelled_rows``. Other columns are ignored."""
     columns = chain or ["toxic"]
 
     def train(rows, known):
