@@ -316,7 +316,10 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def with_media(docs: DataFrame) -> DataFrame:
-    """``doc_id, media``: each text (null: empty) as UTF-8, padded with 0 to a positive multiple of 64, in an AVI."""
+    """``doc_id, media``: each text (null: empty) as UTF-8, padded with 0 to a positive multiple of 64, in an AVI.
+
+    Every row of ``docs(doc_id, text, ...)`` gives a row, also one with a null or repeated doc_id; equal texts give equal
+    files. Other columns are ignored; an empty table gives an empty result."""
 
     def run(batches):
         for batch in slices(batches, most=1 << 20):
@@ -330,7 +333,9 @@ def with_media(docs: DataFrame) -> DataFrame:
 def clip_rows(media: DataFrame) -> DataFrame:
     """``media(doc_id, media)`` -> a row per shot: ``doc_id, clip, first_frame, frames, start_s, end_s, error``.
 
-    Null media has no rows; a file that can't be read gives one row with ``error`` and nulls else.
+    Null media has no rows; a file that can't be read gives one row with ``error`` and nulls else; one without
+    frames has no rows. Null and repeated doc_ids are kept as they are. Other columns are ignored; an empty table
+    gives an empty result.
     """
 
     def run(batches):
@@ -344,7 +349,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
                 except (ValueError, IndexError, KeyError, struct.error) as e:
                     out.append((doc, None, None, None, None, None, str(e)))
                     continue
-                out += [(doc, k, a, b - a, a * rate, b * rate, None) for k, (a, b) in enumerate(shots(hist))]
+                out += [(doc, *clip, None) for clip in timed(rate, hist)]
             if out:
                 cols = list(zip(*out))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
@@ -353,6 +358,14 @@ def clip_rows(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, first_frame long, frames long, start_s double, end_s double, error string")
 
 
+CLIPS = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
+def timed(rate: float, histograms: np.ndarray) -> list[tuple[int, int, int, float, float]]:
+    """``clip, first_frame, frames, start_s, end_s`` of each shot."""
+    return [(k, a, b - a, a * rate, b * rate) for k, (a, b) in enumerate(shots(histograms))]
+
+
 def _digest(media: bytes) -> tuple:
     rate, comment, stored, hist = decode_avi(media)
     sha, total, tail = hashlib.sha256(), 0, b""
@@ -360,14 +373,15 @@ def _digest(media: bytes) -> tuple:
         sha.update(part)
         total += len(part)
         tail = (tail + part)[-64:]
-    clips = ",".join(f"{a * rate:.2f}-{b * rate:.2f}" for a, b in shots(hist))
-    feature = f"frames={len(stored)};clips={clips};histogram={','.join(map(str, hist.sum(0)))}"
-    return int(comment), total, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
+    clips = timed(rate, hist)
+    feature = f"frames={len(stored)};clips={','.join(f'{a:.2f}-{b:.2f}' for *_, a, b in clips)};histogram={','.join(map(str, hist.sum(0)))}"
+    return int(comment), total, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, [dict(zip((f.name for f in CLIPS.value_type), c)) for c in clips]
 
 
 def op3_avi(spark, sf_dir: str) -> DataFrame:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """The contract's columns, and ``clips``: the timed clip rows of the document's media."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), CLIPS]
 
     def run(batches):
         for batch in slices(batches, "media", 4 << 20):
@@ -375,4 +389,5 @@ def op3_avi(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     media = with_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    clips = "array<struct<clip: int, first_frame: bigint, frames: bigint, start_s: double, end_s: double>>"
+    return media.mapInArrow(run, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips {clips}")
