@@ -57,10 +57,12 @@ def format_threads(messages: DataFrame) -> DataFrame:
 
     ``messages(tree, node, parent, role, text, score)``; null text and role count as empty, null score
     as 0. ``rank`` counts from 1 by score, then by leaf. ``loss_spans`` are (start, length) in code
-    points of ``formatted``, one for each assistant turn, in order. An empty table gives an empty
-    result; other columns are ignored.
+    points of ``formatted``, one for each assistant turn, in order. Of rows that repeat a (tree, node) the
+    smallest by parent, role, text and score counts, nulls first. Rows with a null node
+    are left out. A null tree is a tree of its own. An empty table gives an empty result; other columns are ignored.
     """
     m = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    m = m.where("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "node", "m.*")
     m = m.withColumn("tree", F.struct(F.col("tree").isNull().alias("none"), F.coalesce("tree", F.lit(0).cast(m.schema["tree"].dataType)).alias("id")))  # a null tree is a tree of its own
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE))
     turn = m.join(paths(m.select("tree", "node", "parent")), ["tree", "node"]).select("tree", "leaf", "up", "score", (F.col("role") == "assistant").alias("learn"), head.alias("head"), escape(F.col("text")).alias("body"))
