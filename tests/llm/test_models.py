@@ -320,6 +320,32 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in C.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in kept[4])
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Stages against plain versions on nulls, empties, repeated rows, clashing names; then on an empty table."""
+    import corpus_pipeline as C
+
+    shared = "a line that stands on very many of the sites"
+    rows = [(i, f"own words of number {i} and some more of {i * 7}\n{shared}", "en", f"s{i % 4}", 9) for i in range(30)]
+    rows += [(None, "a text without an id", None, None, None), (40, None, None, None, None), (41, "", "en", "s1", 0), (42, "  \n ", "en", "s1", 4), (3, rows[3][1], "en", "s3", 9), (43, "x" * 300_000, "en", None, 1), (44, rows[5][1] + " and", "en", "s9", 9)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("row", "gone", "mix_rate", "n_lines_removed", "p_toxic", "component_id", "length")})
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(C.STAGES)
+    kept = stage["toxicity"](spark, docs, str(tmp_path))
+    assert kept.columns == C.COLUMNS and kept.count() == len(rows)  # nothing is labelled toxic
+    lines = stage["line dedup"](spark, docs, str(tmp_path)).collect()
+    want = sorted((str(d), None if t is None else t if d in (0,) else "\n".join(x for x in t.split("\n") if x != shared)) for d, t, *_ in rows if d != 44)
+    assert sorted((str(r.doc_id), r.text) for r in lines if r.doc_id != 44) == want
+    assert sum(shared in (r.text or "") for r in lines) <= 2  # its first place, and 44 where " and" makes it another line
+    single = stage["n-gram Jaccard join"](spark, docs, str(tmp_path))
+    assert single.columns == C.COLUMNS and sorted((str(r.doc_id) for r in single.collect())) == sorted(str(d) for d, *_ in rows if d != 44)
+    mixed = stage["mixing sources to target weights"](spark, docs, str(tmp_path))
+    assert mixed.columns == C.COLUMNS and {r.doc_id for r in mixed.collect()} <= {d for d, *_ in rows}
+    packed = stage["best-fit packing"](spark, docs, str(tmp_path)).collect()
+    assert len({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in packed}) == len(packed) and sum(r.piece == 0 for r in packed) == len(rows)
+    for name, f in C.STAGES:
+        assert f(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 @pytest.mark.parametrize("name", ["op1_quality", "op3_avi", "op7_pack"])
 def test_queries_cover_their_tables(spark, name):
     from kinetra.llm import queries

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kinetra.llm import chat, exactdedup, linededup, mixing, queries
+from kinetra.llm import chat, exactdedup, linededup, mixing, queries, skew
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,6 +36,9 @@ def test_matches_sql(spark, db, name):
 ODD = [(1, "same text", "en", "a", 9), (1, "same text", "en", "a", 9), (7, "same text", "en", "b", 9), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "same text", "en", "c", 9), (4, "x" * 100_000, "en", "b", 1), (5, "x" * 99_999 + "y", "en", "b", 1)]
 
 
+CLASHES = ("recipe", "row", "key", "of", "gone", "_gone", "_doc", "_v", "_version", "version", "at", "a", "b", "n", "_hot", "_cold", "_deal", "_any", "n_lines_removed", "mix_rate", "_s", "name", "begin", "rate", "keep_id", "group_size")
+
+
 def view(con, rows):
     con.execute("CREATE OR REPLACE TABLE documents(doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
     if rows:
@@ -46,11 +49,15 @@ def view(con, rows):
 def test_documents_with_odd_rows(spark, rows):
     con = duckdb.connect()
     view(con, rows)
-    docs = spark.createDataFrame(rows, DOCS).withColumn("recipe", F.lit("clash"))
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in CLASHES})
     same(exactdedup.exact_groups(docs), con, exactdedup.OP8_SQL)
-    same(linededup.drop_boilerplate(docs.drop("recipe")), con, linededup.OP9_SQL)
-    same(mixing.poisson_mix(docs.drop("recipe")).withColumn("mix_rate", F.round("mix_rate", 9)), con, mixing.OP6_SQL)
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    cut = linededup.drop_boilerplate(docs)
+    same(cut.select("doc_id", "text", "lang", "source", "n_chars", "n_lines_removed"), con, linededup.OP9_SQL)
+    assert cut.columns == [c for c in docs.columns if c != "n_lines_removed"] + ["n_lines_removed"] and {r.gone for r in cut.collect()} <= {"clash"}
+    mixed = mixing.poisson_mix(docs)
+    same(mixed.select("doc_id", "text", "lang", "source", "n_chars", F.round("mix_rate", 9).alias("mix_rate"), "mix_count", "mix_copy", "mix_key"), con, mixing.OP6_SQL)
+    assert mixed.columns == [c for c in docs.columns if c != "mix_rate"] + list(mixing.ADDED)
+    assert mixing.mixed_documents(docs.drop("mix_rate")).columns == docs.drop("mix_rate").columns
 
 
 def test_recipes_of_colliding_hashes_stay_apart(spark):
@@ -98,6 +105,37 @@ def test_target_weights(spark):
     assert "large" not in {r.source for r in mixing.poisson_mix(docs, {"small": 1}).collect()}
 
 
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_hot_keys_are_joined_alike(spark, monkeypatch, hot):
+    """However many keys count as hot, results are those of SQL."""
+    monkeypatch.setattr(skew, "HOT", hot)
+    r = random.Random(4)
+    rows = [(i, f"the passage that many carry\nown {r.randrange(30)}\nfoot {i % 7}", "en", f"s{i % 9}" if i % 3 else "hot", 20) for i in range(120)] + ODD
+    rows += [(200 + i, "one text of many", "en", "hot" if i else None, 5) for i in range(40)]
+    con = duckdb.connect()
+    view(con, rows)
+    docs = spark.createDataFrame(rows, DOCS)
+    same(exactdedup.exact_groups(docs), con, exactdedup.OP8_SQL)
+    same(linededup.drop_boilerplate(docs), con, linededup.OP9_SQL)
+    same(mixing.poisson_mix(docs).withColumn("mix_rate", F.round("mix_rate", 9)), con, mixing.OP6_SQL)
+
+
+def test_mix_is_in_key_order_over_partitions(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.lit("s").alias("source"))
+    parts = mixing.poisson_mix(docs).select("mix_key").rdd.glom().map(lambda rows: [r.mix_key for r in rows]).collect()
+    keys = [k for p in parts for k in p]
+    assert keys == sorted(keys) and len(keys) > 2500 and min(map(len, parts)) > 400
+
+
+def test_mix_sql_at_large_rates(spark):
+    rows = [(i, "x" * (4000 if i else 10), None, "large" if i else "rare", 1) for i in range(60)]
+    con = duckdb.connect()
+    view(con, rows)
+    got = mixing.poisson_mix(spark.createDataFrame(rows, DOCS)).withColumn("mix_rate", F.round("mix_rate", 9))
+    assert got.agg(F.max("mix_rate")).first()[0] > 100
+    same(got, con, mixing.OP6_SQL)
+
+
 def tree_paths(messages):
     children, roots = {}, []
     ids = {(t, n) for t, n, *_ in messages}
@@ -135,3 +173,7 @@ def test_reply_trees(spark):
         assert r.score == sum(m[5] or 0 for m in path) and r.n_turns == len(path)
     assert {(r.leaf, r["rank"]) for r in got if r.tree == 1} == {(3, 1), (5, 2)}
     assert chat.format_threads(df.where("false")).count() == 0
+    twice = chat.format_threads(df.unionByName(df.limit(5)).withColumn("leaf", F.lit("clash")))
+    assert sorted(r.formatted for r in twice.collect()) == sorted(r.formatted for r in got)
+    odd = spark.createDataFrame([(1, None, None, "user", "a", 1.0), (1, 1, None, "user", "b", 1.0), (1, 1, None, "assistant", "c", 1.0)], df.schema)
+    assert [t.text for r in chat.parsed(chat.format_threads(odd)).collect() for t in r.turns] == ["c"]
