@@ -62,7 +62,8 @@ def to_matrix(x: np.ndarray, representation: str, orders=None) -> np.ndarray:
 def forward_kinematics(root: np.ndarray, local: np.ndarray, offsets: np.ndarray, parent: np.ndarray, joint: np.ndarray) -> np.ndarray:
     """Node positions (F, N, 3) from root positions (F, 3) and local matrices (F, J, 3, 3).
 
-    Parents come before children; ``joint[n]`` is -1 at end sites; the root stands at ``root``.
+    Parents come before children; ``joint[n]`` is -1 at end sites; the root stands at ``root``; ``offsets`` are
+    (N, 3), or (F, N, 3) where frames belong to different skeletons.
     """
     n = len(parent)
     where = np.zeros((len(root), n, 3))
@@ -73,6 +74,6 @@ def forward_kinematics(root: np.ndarray, local: np.ndarray, offsets: np.ndarray,
             where[:, i], turn[:, i] = root, own
         else:
             p = parent[i]
-            where[:, i] = where[:, p] + turn[:, p] @ offsets[i]
+            where[:, i] = where[:, p] + (turn[:, p] @ offsets[..., i, :, None])[..., 0]
             turn[:, i] = turn[:, p] @ own
     return where

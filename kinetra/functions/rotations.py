@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinetra.schema import check_euler_order, require_representation
+from kinetra.schema import EULER_ORDERS, check_euler_order, require_representation
 
 D = lambda x: F.lit(float(x))
 
@@ -197,19 +197,20 @@ def _no_order():
 
 
 def convert_joints(joints: Column, source: str, target: str, orders=None) -> Column:
-    """All joints of a frame. Euler orders are one string for all joints, or a list with one for each."""
+    """All joints of a frame. Euler orders are one string for all joints, a list with one for each, or a column of such
+    lists, where rows differ."""
     if "euler" not in (source, target) or source == target:
         return F.transform(joints, lambda x: convert(x, source, target))
     if orders is None:
         raise ValueError("Euler angles need their orders")
-    if isinstance(orders, str) or len(set(orders)) == 1:
+    if not isinstance(orders, Column) and (isinstance(orders, str) or len(set(orders)) == 1):
         one = orders if isinstance(orders, str) else orders[0]
         return F.transform(joints, lambda x: convert(x, source, target, one))
-    pick = F.array(*(F.lit(o) for o in orders))
+    pick, known = (orders, EULER_ORDERS) if isinstance(orders, Column) else (F.array(*(F.lit(o) for o in orders)), sorted(set(orders)))
 
     def by_order(x: Column, i: Column) -> Column:
         out = None
-        for o in sorted(set(orders)):
+        for o in known:
             value = convert(x, source, target, o)
             out = F.when(pick[i] == o, value) if out is None else out.when(pick[i] == o, value)
         return out

@@ -28,12 +28,14 @@ def _values(clips: DataFrame, axes) -> DataFrame:
     return clips.select("clip_id", F.explode(F.array(*pairs)).alias("p")).select("clip_id", "p.axis", "p.value")
 
 
-def distribution(clips: DataFrame, axes=AXES, stems: bool = False) -> DataFrame:
-    """``axis, value, n`` in one pass over the clips; with ``stems``, their names in order (a list as long as n)."""
-    counts = [F.count("*").alias("n")]
-    if stems:
-        counts.append(F.array_sort(F.collect_list("clip_id")).alias("stems"))
-    return _values(clips, axes).groupBy("axis", "value").agg(*counts)
+def values(clips: DataFrame, axes=AXES) -> DataFrame:
+    """``clip_id, axis, value``: which clip has which value, as a table, since it grows with the clips."""
+    return _values(clips, axes)
+
+
+def distribution(clips: DataFrame, axes=AXES) -> DataFrame:
+    """``axis, value, n`` in one pass over the clips."""
+    return _values(clips, axes).groupBy("axis", "value").agg(F.count("*").alias("n"))
 
 
 def majority(dist: DataFrame) -> DataFrame:
@@ -77,15 +79,31 @@ def is_parallel(a: str | None, b: str | None) -> bool:
     return a is not None and b is not None and parse_axis(a)[0] == parse_axis(b)[0]
 
 
-def harmonize_targets(majorities: dict[str, str], explicit: dict[str, str | None]) -> dict[str, str]:
-    """Explicit targets, else majorities. A rest_forward along the up axis is left out when it was not asked for."""
-    out = {a: explicit.get(a) or majorities.get(a) for a in (*AXES, "euler_order")}
-    out = {k: v for k, v in out.items() if v}
-    if is_parallel(out.get("rest_forward"), out.get("world_up")):
-        if explicit.get("rest_forward"):
-            raise ValueError("rest_forward can't lie along world_up")
-        del out["rest_forward"]
-    return out
+def harmonize_targets(dist: dict[str, dict[str, int]], explicit: dict[str, object], *, mismatch: bool = False, order: str | None = None) -> dict[str, object]:
+    """What every clip is brought to. Explicit targets win; else the majority of an axis on which clips differ.
+
+    ``dist`` has the counts by axis and value. The rest pose's up axis is filled only where some clip's is not its world
+    up (``mismatch``). Forward axes along the world up that clips will have are left out; if none is left, the axis
+    stays as it is, with a warning; an explicit one along it is refused. ``order`` is the Euler order to fill in."""
+    best = lambda counts: max(((n, v) for v, n in counts.items() if v != UNKNOWN), default=(0, None))[1]
+    out = {a: explicit.get(a) for a in (*AXES, "euler_order")}
+    for a in ("fps", "world_up"):
+        if out[a] is None and len(dist.get(a, {})) > 1:
+            out[a] = best(dist[a])
+    if out["rest_up"] is None and mismatch:
+        out["rest_up"] = best(dist.get("rest_up", {}))
+    up = out["world_up"] or best(dist.get("world_up", {}))
+    ahead = dist.get("rest_forward", {})
+    if explicit.get("rest_forward"):
+        if is_parallel(explicit["rest_forward"], up):
+            raise ValueError(f"rest_forward {explicit['rest_forward']} lies along the world up of all clips, {up}")
+    elif len(ahead) > 1:
+        left = {v: n for v, n in ahead.items() if v != UNKNOWN and not is_parallel(v, up)}
+        out["rest_forward"] = best(left)
+        if not left:
+            warnings.warn(f"all forward axes ({', '.join(sorted(ahead))}) lie along {up}: they stay as they are", stacklevel=2)
+    out["euler_order"] = out["euler_order"] or order
+    return {a: float(v) if a == "fps" else v for a, v in out.items() if v}
 
 
 def reject_parallel_forward(clips: DataFrame, target_forward: str | None, target_up: str | None) -> None:

@@ -57,8 +57,9 @@ def rotate_vertical(frames: DataFrame, *, angle, up_axis: str, representation: s
             q = R.axis_quat(axis, F.atan2("_s", "_c"))
             first = lambda x: R.from_quat(R.quat_multiply(q, R.to_quat(x, representation, order)), representation, order)
         bad = F.raise_error(F.lit("a clip without joints has no root joint to turn"))
-        rest = F.slice("joint_rot", 2, F.greatest(F.size("joint_rot") - 1, F.lit(0)))
-        new["joint_rot"] = F.when(F.size("joint_rot") == 0, bad).otherwise(F.concat(F.array(first(F.col("joint_rot")[0])), rest))
+        # bound, so that rotations which an earlier step works out are worked out once
+        whole = lambda rot: F.when(F.size(rot) == 0, bad).otherwise(F.concat(F.array(R.bind(rot[0], first)), F.slice(rot, 2, F.greatest(F.size(rot) - 1, F.lit(0)))))
+        new["joint_rot"] = R.bind(F.col("joint_rot"), whole)
     return held.withColumns(new).drop("_c", "_s")
 
 
@@ -70,7 +71,7 @@ def swap(data: Column, pairs: list[tuple[int, int]]) -> Column:
     for a, b in pairs:
         order[a], order[b] = order.get(b, b), order.get(a, a)
     table = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    return F.transform(F.sequence(F.lit(0), F.size(data) - 1), lambda i: data[F.coalesce(F.element_at(table, i), i)])
+    return R.bind(data, lambda d: F.transform(F.sequence(F.lit(0), F.size(d) - 1), lambda i: d[F.coalesce(F.element_at(table, i), i)]))
 
 
 def mirror(frames: DataFrame, *, lateral_axis: str, lr_joint_pairs=None, lr_node_pairs=None, representation: str | None = None, euler_orders=None) -> DataFrame:

@@ -92,7 +92,7 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
 
 def extract(frames: DataFrame, representation: str, euler_orders, quats: bool = False) -> DataFrame:
     """Euler clips of motion files in another representation, with ``joint_quats`` beside if asked. Both come
-    from one quaternion per joint, made once."""
+    from one quaternion per joint, made once. Orders may be a column with each row's own."""
     require_representation(representation, EXTRACTED)
     held = frames.withColumn("_q", convert_joints(F.col("joint_rot"), "euler", "quat", euler_orders))
     out = held if representation == "euler" else held.withColumn("joint_rot", convert_joints(F.col("_q"), "quat", representation, euler_orders))

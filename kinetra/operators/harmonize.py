@@ -69,18 +69,31 @@ def turn_rest_offsets(nodes: DataFrame, source: str, target: str) -> DataFrame:
     return held.withColumns({f"off_{a}": F.col("_p")[i] for i, a in enumerate("xyz")}).drop("_p")
 
 
-def turn_rest_rotations(frames: DataFrame, source: str, target: str) -> DataFrame:
-    """Quaternions under the turned rest pose: the root's R becomes R Q', others Q R Q'."""
-    q = _matrix_quat(axis_turn(source, target))
-    q, back = F.array(*map(R.D, q)), F.array(*map(R.D, [q[0], -q[1], -q[2], -q[3]]))
-    return frames.withColumn("joint_rot", F.transform("joint_rot", lambda x, j: F.when(j == 0, R.quat_multiply(x, back)).otherwise(R.quat_multiply(R.quat_multiply(q, x), back))))
+def turn_offsets(offsets: Column, source: Column, target: str) -> Column:
+    """array<array<double>> of bone offsets, turned from each row's own axis; null axes leave them as they are."""
+    return F.coalesce(_by_axis(source, target, lambda m: F.transform(offsets, lambda p: R.apply_matrix(m, p))), offsets)
+
+
+def turn_rest_rotations(frames: DataFrame, source: str | Column, target: str) -> DataFrame:
+    """Quaternions under the turned rest pose: the root's R becomes R Q', others Q R Q'. The source axis may be a
+    column; where it is null, rotations stay."""
+    if isinstance(source, Column):
+        q = F.coalesce(_by_axis(source, target, lambda m: F.array(*map(R.D, _matrix_quat(m)))), F.array(*map(R.D, (1, 0, 0, 0))))
+    else:
+        q = F.array(*map(R.D, _matrix_quat(axis_turn(source, target))))
+    held = frames.withColumn("_turn", q).withColumn("_back", F.array(F.col("_turn")[0], *(-F.col("_turn")[i] for i in (1, 2, 3))))
+    turned = F.transform("joint_rot", lambda x, j: F.when(j == 0, R.quat_multiply(x, F.col("_back"))).otherwise(R.quat_multiply(R.quat_multiply(F.col("_turn"), x), F.col("_back"))))
+    return held.withColumn("joint_rot", turned).drop("_turn", "_back")
+
+
+def target_frames(n: Column, frame_time: Column, target_fps: float) -> Column:
+    """As many frames as fit the clip's duration at the target rate."""
+    return F.when(n < 2, n).otherwise(F.greatest(F.lit(2), F.rint((n - 1) * frame_time * target_fps).cast("long") + 1))
 
 
 def to_fps(frames: DataFrame, target_fps: float, frame_time: Column) -> DataFrame:
     """Quaternion clips resampled to a frame rate: as many frames as fit the clip's duration."""
-    n = F.count("*").over(clip_window())
-    target = F.when(n < 2, n).otherwise(F.greatest(F.lit(2), F.rint((n - 1) * frame_time * target_fps).cast("long") + 1))
-    return resample(frames, target, "quat" if "joint_rot" in frames.columns else None)
+    return resample(frames, target_frames(F.count("*").over(clip_window()), frame_time, target_fps), "quat" if "joint_rot" in frames.columns else None)
 
 
 def to_euler_order(frames: DataFrame, source_orders, target: str) -> DataFrame:

@@ -179,9 +179,23 @@ def lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n), inner)
 
 
-def refresh_positions(frames: DataFrame, top: Topology, representation: str, *, joint: bool = True, node: bool = False, centering: str = "world", up: int = 1, first_root=None) -> DataFrame:
+def own_matrices(angles: np.ndarray, orders: list[list[str]]) -> np.ndarray:
+    """Euler angles (rows, J, 3) of rows with orders of their own -> (rows, J, 3, 3)."""
+    out = np.empty((*angles.shape, 3))
+    kinds: dict[tuple, list[int]] = {}
+    for i, o in enumerate(orders):
+        kinds.setdefault(tuple(o), []).append(i)
+    for o, at in kinds.items():
+        out[at] = to_matrix(angles[at], "euler", o)
+    return out
+
+
+def refresh_positions(frames: DataFrame, top: Topology, representation: str, *, joint: bool = True, node: bool = False, centering: str = "world", up: int | str = 1, first_root=None, own_offsets: str | None = None, own_orders: str | None = None) -> DataFrame:
     """Makes joint_pos and/or node_pos anew from rotations: (frames of a batch) x joints at once.
 
+    ``own_offsets`` and ``own_orders`` name columns with each row's own bone offsets and Euler orders, which then
+    count instead of those of ``top``; ``up`` may name a column with each row's up axis (0 to 2).
+
     ``world`` stands at the root's path, ``skeleton`` at the origin; ``first`` is ``world`` less the first
     frame's root in the two axes that are not up, which ``first_root`` (a column) holds.
     """
@@ -202,11 +216,11 @@ def refresh_positions(frames: DataFrame, top: Topology, representation: str, *,
             root = cube(pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32)), b.column("root_pos")), 3)[:, 0]
             rot = b.column("joint_rot")
             width = {"euler": 3, "quat": 4, "6d": 6, "axisangle": 3, "rotmat": 9}[representation]
-            local = to_matrix(cube(rot, width), representation, top.euler_orders)
-            where = forward_kinematics(np.zeros_like(root) if centering == "skeleton" else root, local, offsets, parent, joint_of)
+            local = own_matrices(cube(rot, width), b.column(own_orders).to_pylist()) if own_orders and representation == "euler" else to_matrix(cube(rot, width), representation, top.euler_orders)
+            where = forward_kinematics(np.zeros_like(root) if centering == "skeleton" else root, local, cube(b.column(own_offsets), 3) if own_offsets else offsets, parent, joint_of)
             if centering == "first":
                 shift = cube(pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32)), b.column("_first")), 3)[:, 0].copy()
-                shift[:, up] = 0
+                shift[np.arange(len(shift)), b.column(up).to_numpy() if isinstance(up, str) else up] = 0
                 where = where - shift[:, None]
             made = {"joint_pos": lambda: lists(where[:, at]), "node_pos": lambda: lists(where)}
             keep = [c for c in b.schema.names if c != "_first"]

@@ -92,8 +92,9 @@ def materialize(frames: DataFrame, streams, centering: str | None = "world", cen
     return derive(base, streams).select("clip_id", "t", *streams)
 
 
-def joint_velocities(frames: DataFrame, frame_time: float, stream: str = "joint_pos") -> DataFrame:
-    """Adds ``velocities``: central differences over time, one-sided at the ends, 0 for a lone frame."""
+def joint_velocities(frames: DataFrame, frame_time: float | Column, stream: str = "joint_pos") -> DataFrame:
+    """Adds ``velocities``: central differences over time, one-sided at the ends, 0 for a lone frame. ``frame_time`` may
+    be a column, constant in a clip."""
     n = F.count("*").over(clip_window())
     before, after = F.coalesce(F.lag(stream).over(in_order()), F.col(stream)), F.coalesce(F.lead(stream).over(in_order()), F.col(stream))
     steps = F.when((F.col("t") == 0) | (F.col("t") == n - 1), F.lit(1.0)).otherwise(F.lit(2.0))
@@ -101,14 +102,18 @@ def joint_velocities(frames: DataFrame, frame_time: float, stream: str = "joint_
     return held.withColumn("velocities", zip_stream(stream, F.col("_b"), F.col("_a"), lambda b, a: (b - a) / F.col("_s"))).drop("_a", "_b", "_s")
 
 
-def foot_contacts(frames: DataFrame, feet: list[int], up: int, max_height: float, max_speed: float) -> DataFrame:
-    """Adds ``foot_contacts array<int>``: 1 where a foot is low over the clip's lowest foot and slow between frames."""
-    heights = F.array(*(F.col("joint_pos")[j][up] for j in feet))
+def foot_contacts(frames: DataFrame, feet: list[int], up: int | Column, max_height: float | Column, max_speed: float | Column) -> DataFrame:
+    """Adds ``foot_contacts array<int>``: 1 where a foot is low over the clip's lowest foot and slow between frames. The
+    up axis (0 to 2) and the limits may be columns, constant in a clip."""
+    if not feet:
+        return frames.withColumn("foot_contacts", F.array().cast("array<int>"))
+    height = lambda j: F.get(F.col("joint_pos")[j], up if isinstance(up, Column) else F.lit(up))
+    heights = F.array(*(height(j) for j in feet))
     floor = F.min(F.array_min(heights)).over(clip_window())
     before = F.coalesce(F.lag("joint_pos").over(in_order()), F.col("joint_pos"))
     held = frames.withColumns({"_floor": floor, "_before": before})
     step = lambda j: F.sqrt(sum((F.pow(F.col("joint_pos")[j][i] - F.col("_before")[j][i], F.lit(2.0)) for i in range(3)), F.lit(0.0)))
-    one = lambda j: ((F.col("joint_pos")[j][up] - F.col("_floor") <= max_height) & (step(j) <= max_speed)).cast("int")
+    one = lambda j: ((height(j) - F.col("_floor") <= max_height) & (step(j) <= max_speed)).cast("int")
     return held.withColumn("foot_contacts", F.array(*(one(j) for j in feet))).drop("_floor", "_before")
 
 
@@ -183,8 +188,9 @@ def resample(frames: DataFrame, target: Column, rotations: str | None = None, ga
 # ---- uniform temporal sampling ----------------------------------------------------------------
 
 
-def temporal_indices(clips: DataFrame, length: int, mode: str = "train", draw: Callable[[Column], Column] | None = None, start_draw: Column | None = None) -> DataFrame:
-    """``clips(clip_id, n_frames, ...)`` -> rows ``clip_id, i, idx`` of ``length`` sampled frames.
+def temporal_indices(clips: DataFrame, length: int, mode: str = "train", draw: Callable[[Column], Column] | None = None, start_draw: Column | None = None, with_counts: bool = False) -> DataFrame:
+    """``clips(clip_id, n_frames, ...)`` -> rows ``clip_id, i, idx`` of ``length`` sampled frames (and ``n_frames``, which
+    spares ``sample_frames`` from counting again).
 
     Long clips (2 lengths or more) take one frame of each of ``length`` segments; clips between one and
     two lengths take a run with gaps put in; short clips a run from a random start (from 0 in test mode),
@@ -207,15 +213,30 @@ def temporal_indices(clips: DataFrame, length: int, mode: str = "train", draw: C
     gaps = F.transform(F.slice(order, 1, F.greatest(n - size, F.lit(0)).cast("int")), lambda s: s["k"])
     dense = F.transform(i, lambda k: k + F.size(F.filter(gaps, lambda g: g <= k)))
     chosen = F.when(n < size, short.cast("array<bigint>")).when(n < 2 * size, dense.cast("array<bigint>")).otherwise(long.cast("array<bigint>"))
-    return clips.where("n_frames > 0").select("clip_id", F.posexplode(chosen).alias("i", "idx"))
+    return clips.where("n_frames > 0").select("clip_id", *(["n_frames"] if with_counts else []), F.posexplode(chosen).alias("i", "idx"))
+
+
+def temporal_samples(clips: DataFrame, length: int, num_samples: int = 1, mode: str = "train", key: Column | None = None) -> DataFrame:
+    """``num_samples`` independent draws of ``temporal_indices``, told apart by ``sample`` (from 0). In test mode they are
+    different from each other, and the same in every call."""
+    if num_samples < 1:
+        raise ValueError("at least one sample is asked for")
+    who = [F.lit("sample"), key if key is not None else F.lit(0), F.col("clip_id")] if mode == "train" else [F.lit("test")]
+    out = None
+    for k in range(num_samples):
+        one = temporal_indices(clips, length, mode, lambda i: unit_hash(*who, F.lit(k), i)).withColumn("sample", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def sample_frames(frames: DataFrame, indices: DataFrame) -> DataFrame:
-    """Frames at ``idx`` modulo the clip's length, in the order of ``i`` (which becomes ``t``)."""
-    held = frames.withColumns({"_n": F.count("*").over(clip_window()), "_t": F.col("t")}).drop("t")
-    clips = frame_counts(frames)
-    at = indices.join(clips, "clip_id").select("clip_id", F.col("i").cast("int").alias("t"), F.pmod("idx", F.col("n_frames")).cast("int").alias("_t"))
-    return held.drop("_n").join(at, ["clip_id", "_t"]).drop("_t")
+    """Frames at ``idx`` modulo the clip's length, in the order of ``i`` (which becomes ``t``). A column ``sample`` of the
+    indices, which tells several draws apart, is kept."""
+    keep = [c for c in ("sample",) if c in indices.columns]
+    if "n_frames" not in indices.columns:
+        indices = indices.join(frame_counts(frames), "clip_id")
+    at = indices.select("clip_id", *keep, F.col("i").cast("int").alias("_i"), F.pmod("idx", F.col("n_frames")).cast("int").alias("t"))
+    return frames.join(at, ["clip_id", "t"]).withColumn("t", F.col("_i")).drop("_i")
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -223,8 +244,14 @@ def unit_hash(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def apply_temporal(frames: DataFrame, length: int | None, how: str = "pad", seed: Column | None = None) -> DataFrame:
-    """One rule for all streams of a clip, with ``length`` the number of valid frames."""
+def portable_hash(*parts: Column) -> Column:
+    """A uniform number in [0, 1) of 52 bits, from the md5 of the parts joined by colons: other engines give the same."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def apply_temporal(frames: DataFrame, length: int | None, how: str = "pad", draw: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One rule for all streams of a clip, with ``length`` the number of valid frames. ``draw(i)`` is the uniform number
+    by which ``resample`` picks frame i (see ``temporal_indices``)."""
     if how not in ("pad", "crop", "resample", "resample_deterministic"):
         raise ValueError(f"unknown temporal rule {how!r}")
     if length is None:
@@ -235,8 +262,7 @@ def apply_temporal(frames: DataFrame, length: int | None, how: str = "pad", seed
         return standardize(frames, length, how)
     clips = frame_counts(frames)
     if how == "resample":
-        key = seed if seed is not None else F.lit(0)
-        picks = temporal_indices(clips, length, "train", lambda i: unit_hash(key, F.col("clip_id"), i))
+        picks = temporal_indices(clips, length, "train", draw or (lambda i: unit_hash(F.lit(0), F.col("clip_id"), i)), with_counts=True)
     else:
-        picks = temporal_indices(clips, length, "test")
+        picks = temporal_indices(clips, length, "test", with_counts=True)
     return sample_frames(frames, picks).withColumn("length", F.lit(length))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,27 +18,83 @@ from kinetra.sources import bvh, store
 STORED = ("euler", "quat", "6d", "axisangle")
 
 
-def rest_axes(nodes: DataFrame) -> DataFrame:
-    """``skeleton, world_up``: the dominant axis of the way from the root to the farthest node at rest that is
-    called head, or else the highest; null where offsets are all 0 (our own definition)."""
-    total = F.struct(*(F.sum(F.when(skeleton.has_word(F.col("name"), skeleton.TORSO_WORDS + skeleton.HEAD_WORDS), F.col(f"off_{a}")).otherwise(0.0)).alias(a) for a in "xyz"))
-    s = nodes.where("parent is not null").groupBy("skeleton").agg(total.alias("s"))
-    big = F.greatest(*(F.abs(f"s.{a}") for a in "xyz"))
-    pick = F.coalesce(*(F.when((big > 0) & (F.abs(f"s.{a}") == big), F.concat(F.when(F.col(f"s.{a}") > 0, "+").otherwise("-"), F.lit(a))) for a in "yzx"))
-    return s.select("skeleton", pick.alias("world_up"))
+def _dominant(vector: list[Column], order: str) -> Column:
+    """The signed axis of the largest number, null where all are 0; of equals, the first in ``order``."""
+    big = F.greatest(*(F.abs(v) for v in vector))
+    of = dict(zip("xyz", vector))
+    return F.coalesce(*(F.when((big > 0) & (F.abs(of[a]) == big), F.when(of[a] > 0, f"+{a}").otherwise(f"-{a}")) for a in order))
 
 
-def rest_forward(nodes: DataFrame) -> DataFrame:
-    """``skeleton, rest_forward``: the dominant axis of the offsets under feet and toes that is not up; null
-    where there are none (our own definition)."""
-    parents = nodes.select("skeleton", F.col("node").alias("parent"), F.col("name").alias("above"))
-    feet = nodes.join(parents, ["skeleton", "parent"]).where(F.lower("above").rlike("foot|toe|ankle"))
-    up = rest_axes(nodes).select("skeleton", F.substring("world_up", 2, 1).alias("up"))
-    s = feet.groupBy("skeleton").agg(F.struct(*(F.sum(f"off_{a}").alias(a) for a in "xyz")).alias("s")).join(up, "skeleton")
-    flat = {a: F.when(F.col("up") == a, 0.0).otherwise(F.abs(f"s.{a}")) for a in "xyz"}
-    big = F.greatest(*flat.values())
-    pick = F.coalesce(*(F.when((big > 0) & (flat[a] == big), F.concat(F.when(F.col(f"s.{a}") > 0, "+").otherwise("-"), F.lit(a))) for a in "zxy"))
-    return s.select("skeleton", pick.alias("rest_forward"))
+def _total(nodes: Column) -> list[Column]:
+    """The sum of the nodes' offsets."""
+    return [F.aggregate(F.transform(nodes, lambda n: n["offsets"][i]), F.lit(0.0), lambda a, b: a + b) for i in range(3)]
+
+
+def with_axes(clips: DataFrame, world_up: str = "auto") -> DataFrame:
+    """Rows of motion files with ``world_up, rest_up, rest_forward``, worked out within each row (our own definitions).
+
+    ``rest_up`` is the dominant axis of summed torso and head offsets, ``rest_forward`` that of the offsets under feet and
+    toes that is not up; both are null where nothing can be measured. ``world_up`` is ``rest_up`` unless given."""
+    nodes = F.arrays_zip("names", "parents", "offsets")
+    inner = F.filter(nodes, lambda n: (n["parents"] >= 0) & skeleton.has_word(n["names"], skeleton.TORSO_WORDS + skeleton.HEAD_WORDS))
+    above = lambda n: F.lower(F.element_at("names", F.greatest(n["parents"], F.lit(0)) + 1))
+    toes = F.filter(nodes, lambda n: (n["parents"] >= 0) & above(n).rlike("foot|toe|ankle"))
+    held = clips.withColumn("_inner", F.array(*_total(inner))).withColumn("_toes", F.array(*_total(toes)))
+    held = held.withColumn("rest_up", _dominant([F.col("_inner")[i] for i in range(3)], "yzx"))
+    level = [F.when(F.substring("rest_up", 2, 1) == a, 0.0).otherwise(F.col("_toes")[i]) for i, a in enumerate("xyz")]
+    up = F.col("rest_up") if world_up == "auto" else F.lit(world_up)
+    return held.withColumns({"rest_forward": _dominant(level, "zxy"), "world_up": up}).drop("_inner", "_toes")
+
+
+def axis_number(axis: Column) -> Column:
+    """0 to 2 of a signed axis; y where it is null."""
+    return F.coalesce(*(F.when(F.substring(axis, 2, 1) == a, i) for i, a in enumerate("xyz")), F.lit(1))
+
+
+def stages_of(facts: DataFrame, targets: dict[str, object], retarget: bool) -> DataFrame:
+    """``clip_id, stages``: what a build changes in each clip."""
+    tests = {"resample": F.col("fps") != audit.fps_key(F.lit(1 / targets["fps"])) if "fps" in targets else None}
+    tests |= {a: F.col(a) != targets[a] if a in targets else None for a in ("world_up", "rest_forward", "rest_up")}
+    tests["euler_order"] = F.exists("euler_orders", lambda o: o != targets["euler_order"]) if "euler_order" in targets else None
+    tests["retarget"] = F.lit(True) if retarget else None
+    found = [F.when(c, n) for n, c in tests.items() if c is not None]
+    stages = F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<string>")
+    return facts.select("clip_id", stages.alias("stages"))
+
+
+def clip_streams(clips: DataFrame, representation: str, *, targets: dict[str, object] | None = None, top: skeleton.Topology | None = None, bones: Column | None = None, positions=(), centering: str = "world", quaternions: bool = False, velocities: bool = False, feet: list[int] | None = None) -> DataFrame:
+    """Frame rows of files (``with_axes``) in a representation, brought to ``targets``, with positions (``joint``, ``node``),
+    velocities and foot contacts made by forward kinematics over the graph of ``top``, if asked for.
+
+    All that differs between clips comes from the clip's own row: Euler orders, bone offsets (or ``bones``), axes and
+    frame time."""
+    targets = targets or {}
+    fps = targets.get("fps")
+    frames = bvh.frames(clips, "euler_orders", "frame_time", "world_up", "rest_up", "rest_forward")
+    frames = frames.withColumn("joint_rot", convert_joints(F.col("joint_rot"), "euler", "quat", F.col("euler_orders")))
+    if fps:
+        frames = harmonize.to_fps(frames, fps, F.col("frame_time")).withColumn("frame_time", F.lit(1 / fps))
+    if "world_up" in targets:
+        frames = harmonize.turn_world(frames, targets["world_up"])
+    for name in ("rest_forward", "rest_up"):
+        if name in targets:
+            frames = harmonize.turn_rest_rotations(frames, F.col(name), targets[name])
+    joints = velocities or feet is not None
+    if positions or joints:
+        own = clips.select("clip_id", (F.col("offsets") if bones is None else bones).alias("bones"))
+        frames = frames.join(own, "clip_id").withColumn("up", axis_number(F.col("world_up")))
+        frames = skeleton.refresh_positions(frames, top, "quat", joint="joint" in positions or joints, node="node" in positions, centering=centering, up="up", own_offsets="bones")
+    if velocities:
+        frames = joint_velocities(frames, F.col("frame_time"))
+    if feet is not None:
+        longest = F.array_max(F.transform(F.flatten("bones"), lambda x: F.abs(x)))
+        frames = frames.withColumn("scale", F.when(longest > 0, longest).otherwise(1.0))
+        frames = foot_contacts(frames, feet, F.col("up"), 0.25 * F.col("scale"), 0.05 * F.col("scale"))
+    if quaternions and representation != "quat":
+        frames = frames.withColumn("joint_quats", F.col("joint_rot"))
+    frames = frames.withColumn("joint_rot", convert_joints(F.col("joint_rot"), "quat", representation, targets.get("euler_order") or F.col("euler_orders")))
+    made = [*(f"{p}_pos" for p in positions), *(["joint_quats"] if "joint_quats" in frames.columns else []), *(["velocities"] if velocities else []), *(["foot_contacts"] if feet is not None else [])]
+    return frames.select("clip_id", "t", "root_pos", "joint_rot", *made)
 
 
 def preprocess(
@@ -44,11 +102,17 @@ def preprocess(
     position_centering: str = "world", include_quaternions: bool = False, include_velocities: bool = False, include_foot_contacts: bool = False, foot_joints: list[int] | None = None,
     label: Callable[[Column], Column] | None = None, keep: Callable[[Column], Column] | None = None, pattern: str = "*.bvh", skip_errors: bool = False,
     world_up: str = "auto", do_harmonize: bool = False, target_world_up: str | None = None, target_fps: float | None = None, target_rest_up: str | None = None,
-    target_rest_forward: str | None = None, target_euler_order: str | None = None,
+    target_rest_forward: str | None = None, target_euler_order: str | None = None, retarget: bool = False,
 ) -> dict:
-    """Builds the dataset and returns its metadata. All arguments are checked before a file is opened."""
+    """Builds the dataset and returns its metadata. All arguments are checked before a file is opened.
+
+    Every clip keeps its own Euler orders, bone offsets, rest axes and frame time through all steps, so that a clip's
+    rows are the same alone and in company. ``do_harmonize`` fills targets from majorities where clips differ; given
+    targets apply without it, too, in the order frame rate, world up, rest forward, rest up. ``retarget`` gives every clip
+    the first one's bone offsets; clips of another hierarchy are then refused by name.
+    """
     require_representation(representation, STORED)
-    store.check_suffix(output)
+    kind = store.check_suffix(output)
     require_centering(position_centering)
     if position_space not in ("joint", "node"):
         raise ValueError("position_space is joint or node")
@@ -61,73 +125,67 @@ def preprocess(
     for a in (target_world_up, target_rest_up, target_rest_forward, None if world_up == "auto" else world_up):
         if a is not None:
             parse_axis(a)
-    parsed = bvh.scan(spark, folder, pattern, keep, skip_errors)
+    parsed = bvh.scan(spark, folder, pattern, keep, skip_errors).persist(StorageLevel.DISK_ONLY)  # files are parsed once
+    try:
+        return _build(parsed, folder, output, kind, representation, center, include_positions, position_space, position_centering, include_quaternions, include_velocities, include_foot_contacts, foot_joints, label, skip_errors, world_up, do_harmonize, {"world_up": target_world_up, "fps": target_fps, "rest_up": target_rest_up, "rest_forward": target_rest_forward, "euler_order": target_euler_order}, retarget)
+    finally:
+        parsed.unpersist()
+
+
+def _build(parsed, folder, output, kind, representation, center, include_positions, position_space, position_centering, include_quaternions, include_velocities, include_foot_contacts, foot_joints, label, skip_errors, world_up, do_harmonize, explicit, retarget) -> dict:
     bvh.require_files(parsed, folder)
-    clips = bvh.good(parsed)
-    nodes = bvh.skeletons(clips)
-    ups = rest_axes(nodes).withColumnRenamed("skeleton", "clip_id")
-    if world_up != "auto":
-        ups = ups.withColumn("world_up", F.lit(world_up))
-    ahead = rest_forward(nodes).withColumnRenamed("skeleton", "clip_id")
-    at_rest = rest_axes(nodes).select(F.col("skeleton").alias("clip_id"), F.col("world_up").alias("rest_up"))
-    facts = clips.select("clip_id", "frame_time", "n_frames", "joint_names", "parents", "euler_orders").join(ups, "clip_id", "left").join(at_rest, "clip_id", "left").join(ahead, "clip_id", "left")
-    facts = facts.withColumn("fps", audit.fps_key(F.col("frame_time")))
-    dist = audit.distribution(facts, stems=True)
-    uniformity: dict = {}
-    for r in dist.collect():
-        uniformity.setdefault(r["axis"], {})[r["value"]] = list(r["stems"])
+    if skip_errors:
+        bvh.warn_skipped(parsed)
+    clips = with_axes(bvh.good(parsed), world_up)
+    facts = clips.drop("root", "joints", "error").withColumn("fps", audit.fps_key(F.col("frame_time")))
+    dist: dict[str, dict[str, int]] = {}
+    for r in audit.distribution(facts).collect():
+        dist.setdefault(r["axis"], {})[r["value"]] = r["n"]
     audit.warn_heterogeneous(facts)
-    audit.reject_degenerate_up(facts, target_rest_up)
-    audit.reject_parallel_forward(facts, target_rest_forward, target_rest_up)
-    audit.check_compatible(facts, representation in ("euler", "axisangle"))
     first = facts.orderBy("clip_id").first()
-    orders = list(first["euler_orders"])
-    targets = {"world_up": target_world_up, "fps": target_fps}
+    ordered = representation in ("euler", "axisangle")
+    targets = {a: float(v) if a == "fps" else v for a, v in explicit.items() if v}
     if do_harmonize:
-        best = {r["axis"]: r["value"] for r in audit.majority(dist.select("axis", "value", "n")).collect()}
-        targets = {"world_up": target_world_up or best.get("world_up"), "fps": target_fps or (float(best["fps"]) if "fps" in best else None)}
-    frames = bvh.frames(clips)
-    frames = frames.withColumn("joint_rot", convert_joints(F.col("joint_rot"), "euler", "quat", orders))
-    frames = frames.join(facts.select("clip_id", "frame_time", "world_up"), "clip_id")
-    if targets["fps"]:
-        frames = harmonize.to_fps(frames, float(targets["fps"]), F.col("frame_time"))
-    if targets["world_up"]:
-        frames = harmonize.turn_world(frames, targets["world_up"])
-    up_axis = targets["world_up"] or first["world_up"] or "+y"
-    base = nodes.where(F.col("skeleton") == first["clip_id"])
-    for name, target in (("rest_forward", target_rest_forward), ("rest_up", target_rest_up)):
-        if target and first[name]:  # all clips share the first one's graph; the first one's rest pose is turned
-            base = harmonize.turn_rest_offsets(base, first[name], target)
-            frames = harmonize.turn_rest_rotations(frames, first[name], target)
-    top = skeleton.topology(base)
-    if target_euler_order:
-        orders = [target_euler_order] * len(orders)
-    if include_positions or include_velocities or include_foot_contacts:
-        frames = skeleton.refresh_positions(frames, top, "quat", joint=position_space == "joint" or include_velocities or include_foot_contacts, node=include_positions and position_space == "node", centering=position_centering, up=parse_axis(up_axis)[0])
-    step = 1 / float(targets["fps"]) if targets["fps"] else float(first["frame_time"])
-    if include_velocities:
-        frames = joint_velocities(frames, step)
-    if include_foot_contacts:
-        feet = foot_joints
-        if feet is None:
-            feet = [i for i, n in enumerate(first["joint_names"]) if any(w in n.lower() for w in ("foot", "toe", "ankle"))]
-        scale = max((abs(x) for o in top.offsets for x in o), default=1.0) or 1.0
-        frames = foot_contacts(frames, feet, parse_axis(up_axis)[0], 0.25 * scale, 0.05 * scale)
-    if include_quaternions and representation != "quat":
-        frames = frames.withColumn("joint_quats", F.col("joint_rot"))
-    frames = frames.withColumn("joint_rot", convert_joints(F.col("joint_rot"), "quat", representation, orders))
+        order = audit.euler_order_majority(facts).first() if ordered else None
+        mixed = order is not None and not facts.where(F.exists("euler_orders", lambda o: o != order["value"])).isEmpty()
+        targets = audit.harmonize_targets(dist, explicit, mismatch=not facts.where("rest_up <> world_up").isEmpty(), order=order["value"] if mixed else None)
+    audit.reject_degenerate_up(facts, targets.get("rest_up"))
+    audit.reject_parallel_forward(facts, targets.get("rest_forward"), targets.get("world_up"))
+    if retarget:
+        bad = audit.incompatible(facts).orderBy("clip_id").limit(5).collect()
+        if bad:
+            raise ValueError(f"clips can't take the skeleton of {first['clip_id']}: " + "; ".join(f"{r['clip_id']} has other {r['what']}" for r in bad))
+    audit.check_compatible(facts, ordered and "euler_order" not in targets)
+
+    fps = targets.get("fps")
+    bones = F.lit(first["offsets"]).cast("array<array<double>>") if retarget else F.col("offsets")
+    for name in ("rest_forward", "rest_up"):
+        if name in targets:
+            bones = harmonize.turn_offsets(bones, F.lit(first[name]).cast("string") if retarget else F.col(name), targets[name])
+    base = clips.where(F.col("clip_id") == first["clip_id"])
+    nodes = bvh.skeletons(base).cache()
+    top = skeleton.topology(nodes)
+    top = replace(top, offsets=[list(x) for x in base.select(bones.alias("bones")).first()["bones"]])
+    feet = foot_joints
+    if include_foot_contacts and feet is None:
+        feet = [i for i, n in enumerate(first["joint_names"]) if any(w in n.lower() for w in ("foot", "toe", "ankle"))]
     position = f"{position_space}_pos" if include_positions else None
-    kept = ["clip_id", "t", "root_pos", "joint_rot", *([position] if position else []), *(c for c in ("joint_quats", "velocities", "foot_contacts") if c in frames.columns)]
-    frames = frames.select(kept)
+    frames = clip_streams(clips, representation, targets=targets, top=top, bones=bones, positions=[position_space] if position else [], centering=position_centering, quaternions=include_quaternions, velocities=include_velocities, feet=feet if include_foot_contacts else None)
     if center:
         frames = center_root(frames, position_centering if position else None)
+    if kind not in store.ARCHIVES:
+        frames = store.save_frames(frames, output)  # statistics read what is written
     block = stats.normalization_stats(frames).withColumn("block", F.lit("features"))
     if position:
         block = block.unionByName(stats.position_stats(frames, position).withColumn("block", F.lit("positions")))
-    clip_rows = facts.select("clip_id", "n_frames", "frame_time", "world_up", *([label(F.col("clip_id")).cast("long").alias("label")] if label else []))
-    info = skeleton.skeleton_info(base, up_axis, target_rest_forward or first["rest_forward"], target_rest_up or first["rest_up"], partitions=True)
-    info["euler_orders"] = info["fk_topology"]["euler_orders"] = orders
-    meta = {"representation": representation, "center_root": center, "position_centering": position_centering if position else None, "position_space": position_space if position else None, "include_quaternions": include_quaternions, "uniformity": uniformity, "harmonized_to": {k: v for k, v in targets.items() if v}, "skeleton_info": info, "num_clips": facts.count()}
-    dataset = store.MotionDataset(frames, clip_rows, block, meta)
-    (store.save_npz if store.check_suffix(output) == ".npz" else store.save)(dataset, output)
+    n = harmonize.target_frames(F.col("n_frames"), F.col("frame_time"), fps).cast("int") if fps else F.col("n_frames")
+    clip_rows = facts.select("clip_id", n.alias("n_frames"), (F.lit(1 / fps) if fps else F.col("frame_time")).alias("frame_time"), (F.lit(targets["world_up"]) if "world_up" in targets else F.col("world_up")).alias("world_up"), *([label(F.col("clip_id")).cast("long").alias("label")] if label else []))
+    info = skeleton.skeleton_info(nodes, targets.get("world_up") or first["world_up"] or "+y", targets.get("rest_forward") or first["rest_forward"], targets.get("rest_up") or first["rest_up"], partitions=True)
+    nodes.unpersist()
+    info["euler_orders"] = info["fk_topology"]["euler_orders"] = [targets["euler_order"]] * len(top.euler_orders) if "euler_order" in targets else top.euler_orders
+    info["fk_topology"]["offsets"] = top.offsets
+    counts = {r["stage"]: r["n"] for r in audit.stage_counts(stages_of(facts, targets, retarget)).collect()}
+    trail = {"retarget": retarget, "reference": first["clip_id"] if retarget else None, "stage_counts": counts}
+    meta = {"representation": representation, "center_root": center, "position_centering": position_centering if position else None, "position_space": position_space if position else None, "include_quaternions": include_quaternions, "uniformity": dist, "harmonized_to": targets, "harmonizing": trail, "skeleton_info": info, "num_clips": facts.count(), "has_audit": True}
+    store.save(store.MotionDataset(frames, clip_rows, block, meta, audit.values(facts)), output, frames=False)
     return meta

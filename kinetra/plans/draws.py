@@ -13,19 +13,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.operators.temporal import unit_hash
+from kinetra.operators.temporal import portable_hash, unit_hash
 
 
 class Draws:
-    """Columns of random numbers for one step of one epoch; ``clip_id`` and ``t`` are taken from the row."""
+    """Columns of random numbers for one step of one epoch; ``clip_id`` and ``t`` are taken from the row. ``portable``
+    numbers are hashed by md5, so that other engines can repeat them, at some cost."""
 
-    def __init__(self, seed: int | None, epoch: int = 0, step: int = 0) -> None:
+    def __init__(self, seed: int | None, epoch: int = 0, step: int = 0, portable: bool = False) -> None:
         if seed is None:
             raise ValueError("draws need a seed")
         self.key = [F.lit(int(seed)), F.lit(int(epoch)), F.lit(int(step))]
+        self.hash = portable_hash if portable else unit_hash
 
     def unit(self, *place: Column) -> Column:
-        return unit_hash(*self.key, F.col("clip_id").cast("string"), *place)
+        return self.hash(*self.key, F.col("clip_id").cast("string"), *place)
 
     def gate(self, prob: float) -> Column:
         return self.unit(F.lit("gate")) < prob
@@ -40,6 +42,10 @@ class Draws:
         a, b = self.unit(F.lit("a"), *place), self.unit(F.lit("b"), *place)
         return F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * math.pi * b)
 
+    def pick(self, i: Column) -> Column:
+        """One uniform per place of a sampled clip."""
+        return self.unit(F.lit("pick"), i.cast("long"))
+
     def frame(self) -> Column:
         """One uniform per frame."""
         return self.unit(F.lit("frame"), F.col("t").cast("long"))

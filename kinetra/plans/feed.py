@@ -8,18 +8,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinetra.functions.rotations import convert_joints
 from kinetra.operators import clips as clip_tables
 from kinetra.operators import skeleton
 from kinetra.operators.packing import clip_arrays, flat_row, to_ctv, vertex_rows
 from kinetra.operators.temporal import apply_temporal, center_root, derive
+from kinetra.plans.build import axis_number, with_axes
 from kinetra.plans.draws import Draws
 from kinetra.plans.pipeline import Pipeline
 from kinetra.schema import DEFAULT_STREAMS, LAYOUTS, TEMPORAL, check_streams, require_centering, require_representation
 from kinetra.sources import bvh
 
 
+#: Items that are ranked in one group, about.
+GROUP = 100_000
+
+
 class MotionFeed:
     """Items of a table of clips, as a function of the epoch.
 
@@ -28,7 +34,7 @@ class MotionFeed:
     of length, so that a difference is always one of neighbouring frames.
     """
 
-    def __init__(self, frames: DataFrame, clips: DataFrame | None = None, *, target_length: int | None = None, augmentation: Pipeline | None = None, seed: int | None = None, center_root: bool = False, temporal: str = "pad", layout: str = "flat", streams=DEFAULT_STREAMS, position_centering: str | None = None, source_repr: str | None = None, target_repr: str | None = None, euler_orders=None) -> None:
+    def __init__(self, frames: DataFrame, clips: DataFrame | None = None, *, target_length: int | None = None, augmentation: Pipeline | None = None, seed: int | None = None, center_root: bool = False, temporal: str = "pad", layout: str = "flat", streams=DEFAULT_STREAMS, position_centering: str | None = None, source_repr: str | None = None, target_repr: str | None = None, euler_orders=None, portable: bool = False) -> None:
         if layout not in LAYOUTS:
             raise ValueError(f"unknown layout {layout!r}")
         if temporal not in TEMPORAL:
@@ -51,7 +57,7 @@ class MotionFeed:
         self.frames, self.clips = frames, clips
         self.length, self.augmentation, self.seed, self.center = target_length, augmentation, seed, center_root
         self.temporal, self.layout, self.streams, self.centering = temporal, layout, list(streams), position_centering
-        self.source, self.target, self.orders = source_repr, target_repr, euler_orders
+        self.source, self.target, self.orders, self.portable = source_repr, target_repr, euler_orders, portable
         self.representation = target_repr or (augmentation.told if augmentation else None) or source_repr or "6d"
 
     def items(self, epoch: int = 0) -> DataFrame:
@@ -63,10 +69,10 @@ class MotionFeed:
         if self.source and self.source != self.target:
             f = f.withColumn("joint_rot", convert_joints(F.col("joint_rot"), self.source, self.target, self.orders))
         if self.augmentation is not None:
-            f = self.augmentation.apply(f, self.seed, epoch, self.centering)
+            f = self.augmentation.apply(f, self.seed, epoch, self.centering, self.portable)
         f = derive(f, self.streams).select("clip_id", "t", *self.streams)
-        key = F.lit(0) if self.seed is None else F.xxhash64(F.lit(self.seed), F.lit(epoch))
-        f = apply_temporal(f, self.length, self.temporal, key)
+        picks = None if self.seed is None else Draws(self.seed, epoch, -2, self.portable).pick
+        f = apply_temporal(f, self.length, self.temporal, picks)
         data = flat_row(self.streams) if self.layout == "flat" else vertex_rows(self.streams, self.representation)
         items = clip_arrays(f.select("clip_id", "t", "length", data.alias("data")), "length")
         if self.layout == "ctv":
@@ -78,34 +84,50 @@ class MotionFeed:
         """The draws of every clip in an epoch; without a seed there is nothing to repeat."""
         if self.augmentation is None or self.seed is None:
             raise ValueError("draws can be told again only for a seeded feed with augmentation")
-        return self.augmentation.explain(self.frames.select("clip_id").distinct(), self.seed, epoch)
+        return self.augmentation.explain(self.frames.select("clip_id").distinct(), self.seed, epoch, self.portable)
 
     def shuffled(self, epoch: int, batch_size: int) -> DataFrame:
         """Items with ``batch_id``: clips in an order drawn anew for each epoch."""
-        draws = Draws(self.seed or 0, epoch, -1)
-        return with_batches(self.items(epoch), draws.unit(F.lit("order")), batch_size)
+        draws = Draws(self.seed or 0, epoch, -1, self.portable)
+        order = draws.unit(F.lit("order"))
+        clips = with_batches(self.frames.select("clip_id").distinct(), order, batch_size)  # ranked before items are made
+        return self.items(epoch).join(clips, "clip_id")
 
 
-def from_files(spark, folder: str, representation: str = "6d", *, center_root: bool = True, include_positions: bool = False, position_space: str = "joint", position_centering: str = "world", label=None, pattern: str = "*.bvh", **how) -> MotionFeed:
-    """A feed straight from motion files: nothing is parsed before an epoch is read. Clips take the skeleton and
-    the orders of the first file; ``label(stem)`` is a column. Other keywords are those of ``MotionFeed``."""
+def from_files(spark, folder: str, representation: str = "6d", *, center_root: bool = True, include_positions: bool = False, position_space: str = "joint", position_centering: str = "world", label=None, pattern: str = "*.bvh", world_up: str = "auto", **how) -> MotionFeed:
+    """A feed straight from motion files: nothing is parsed before an epoch is read. Each clip keeps its own skeleton, up
+    axis and Euler orders; ``label(stem)`` is a column. Other keywords are those of ``MotionFeed``."""
     require_representation(representation, clip_tables.EXTRACTED)
-    parsed = bvh.scan(spark, folder, pattern)
+    parsed = with_axes(bvh.scan(spark, folder, pattern), world_up)
     bvh.require_files(parsed, folder)
-    first = parsed.orderBy("clip_id").select("clip_id", "euler_orders").first()
-    frames = clip_tables.extract(bvh.frames(parsed), representation, list(first["euler_orders"]))
+    held = bvh.frames(parsed, "euler_orders", *(["offsets", "world_up"] if include_positions else []))
+    frames = clip_tables.extract(held, representation, F.col("euler_orders"))
     if include_positions:
-        top = skeleton.topology(bvh.skeletons(parsed.where(F.col("clip_id") == first["clip_id"])))
-        frames = skeleton.refresh_positions(frames, top, representation, joint=position_space == "joint", node=position_space == "node", centering=position_centering)
+        first = parsed.orderBy("clip_id").select("clip_id").first()["clip_id"]
+        top = skeleton.topology(bvh.skeletons(parsed.where(F.col("clip_id") == first)))
+        frames = frames.withColumn("up", axis_number(F.col("world_up")))
+        frames = skeleton.refresh_positions(frames, top, representation, joint=position_space == "joint", node=position_space == "node", centering=position_centering, up="up", own_offsets="offsets", own_orders="euler_orders")
+    frames = frames.drop("euler_orders", "offsets", "world_up", "up")
     facts = parsed.select("clip_id", *([label(F.col("clip_id")).cast("long").alias("label")] if label else []))
     return MotionFeed(frames, facts, center_root=center_root, position_centering=position_centering if include_positions else None, **how)
 
 
 def with_batches(items: DataFrame, order: Column, batch_size: int) -> DataFrame:
-    """Adds ``batch_id`` by rank in ``order`` without bringing rows to one task: clips are dealt to batches by
-    their hash range, so batches differ in size by chance; use ``collate`` per batch."""
-    n = F.greatest(F.lit(1), F.ceil(F.lit(items.count()) / batch_size))
-    return items.withColumn("batch_id", F.floor(order * n).cast("long"))
+    """Adds ``batch_id``: the items ranked by ``order`` (a number in [0, 1)), then by clip_id, ``batch_size`` to a batch,
+    the last one with what is left.
+
+    Ranks are counted in groups of equal ranges of ``order``, of about ``GROUP`` items each, and the groups before are
+    added from their counts, so no task has all items. Only clip_id and order take part in ranking."""
+    if batch_size < 1:
+        raise ValueError("a batch has one item or more")
+    keyed = items.select("clip_id", order.alias("_order"))
+    groups = max(1, keyed.count() // GROUP)
+    keyed = keyed.withColumn("_group", F.least(F.floor(F.col("_order") * groups), F.lit(groups - 1)).cast("int"))
+    sizes = keyed.groupBy("_group").agg(F.count("*").alias("_n"))
+    before = sizes.select("_group", (F.sum("_n").over(Window.orderBy("_group")) - F.col("_n")).alias("_before"))  # one row per group
+    own = F.row_number().over(Window.partitionBy("_group").orderBy("_order", "clip_id")) - 1
+    ranked = keyed.withColumn("_own", own).join(before, "_group").select("clip_id", F.floor((F.col("_own") + F.col("_before")) / batch_size).cast("long").alias("batch_id"))
+    return items.join(ranked, "clip_id")
 
 
 def all_or_none(items: DataFrame, column: str) -> None:
@@ -157,6 +179,15 @@ def normalize_index(index: int, size: int) -> int:
     return index % size
 
 
-def batches(items: DataFrame) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of the items, partition by partition, for a trainer."""
-    yield from items.toArrow().to_batches()
+def batches(items: DataFrame, rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of the items for a trainer, of ``rows`` rows or fewer. The driver holds one partition at a time, and
+    asks for the next one ahead."""
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in items.schema.fields])
+    held: list[dict] = []
+    for r in items.toLocalIterator(prefetchPartitions=True):
+        held.append(r.asDict(recursive=True))
+        if len(held) == rows:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)

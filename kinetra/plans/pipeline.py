@@ -128,8 +128,9 @@ class Pipeline:
             if s.fn is augment.mirror and s.kwargs.get("lr_joint_pairs") is None and have & {"joint_rot", "joint_pos"}:
                 raise ValueError("mirror needs lr_joint_pairs for joint streams")
 
-    def apply(self, frames: DataFrame, seed: int | None, epoch: int = 0, centering: str | None = None) -> DataFrame:
-        """The augmented frames; the same (seed, epoch, clip) gives the same result in any partitioning."""
+    def apply(self, frames: DataFrame, seed: int | None, epoch: int = 0, centering: str | None = None, portable: bool = False) -> DataFrame:
+        """The augmented frames; the same (seed, epoch, clip) gives the same result in any partitioning. ``portable``: see
+        ``Draws``."""
         self.check(frames.columns, centering)
         out, now = augment.as_double(frames), self.told
         streams = present(frames.columns)
@@ -142,7 +143,7 @@ class Pipeline:
             return df
 
         for k, s in enumerate(self.steps):
-            draws = Draws(seed, epoch, k)
+            draws = Draws(seed, epoch, k, portable)
             kw = {n: v(draws) if callable(v) and n != "refresh" else v for n, v in s.kwargs.items()}
             gate = draws.gate(s.prob)
             if s.fn in _RUN:
@@ -169,11 +170,11 @@ class Pipeline:
             out = to(out, self.told)
         return augment.as_float(out, frames)
 
-    def explain(self, clips: DataFrame, seed: int | None, epoch: int = 0) -> DataFrame:
+    def explain(self, clips: DataFrame, seed: int | None, epoch: int = 0, portable: bool = False) -> DataFrame:
         """``clip_id, step, name, applied, params map<string, string>``: what ``apply`` does to each clip."""
         rows = None
         for k, s in enumerate(self.steps):
-            draws = Draws(seed, epoch, k)
+            draws = Draws(seed, epoch, k, portable)
             params = [x for n, v in s.kwargs.items() if n != "refresh" and isinstance(v, (int, float, str, bool)) or callable(v) and n != "refresh" for x in (F.lit(n), (v(draws) if callable(v) else F.lit(v)).cast("string"))]
             held = F.create_map(*params) if params else F.create_map().cast("map<string,string>")
             row = clips.select("clip_id", F.lit(k).alias("step"), F.lit(s.name).alias("name"), draws.gate(s.prob).alias("applied"), F.when(draws.gate(s.prob), held).alias("params"))

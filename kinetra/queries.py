@@ -12,6 +12,7 @@ from kinetra import schema
 from kinetra import views as V
 from kinetra.functions import rotations as R
 from kinetra.operators import audit, augment, harmonize, packing, skeleton, stats, temporal
+from kinetra.plans import build
 from kinetra.plans.draws import Draws, exact_draws
 from kinetra.plans.feed import MotionFeed, collate
 from kinetra.plans.pipeline import Pipeline, Step
@@ -128,7 +129,7 @@ def _stencil(target: str, source: str = "n") -> str:
     """(clip_id, t, l, a): output frame, left input frame, and weight of the right one."""
     return f"""m AS (SELECT clip_id, n, ({target})::BIGINT AS m FROM {source}), k AS (SELECT *, unnest(range(m)) AS k FROM m),
       st AS (SELECT clip_id, k::INT AS t, CASE WHEN n = 1 OR m = 1 THEN 0 ELSE least((k * (n - 1)) // (m - 1), n - 2) END AS l, n, m, k FROM k),
-      sa AS (SELECT clip_id, t, l, CASE WHEN n = 1 OR m = 1 THEN 0.0 ELSE (k * (n - 1) - l * (m - 1))::DOUBLE / (m - 1) END AS a, least(l + 1, n - 1) AS rr FROM st)"""
+      sa AS MATERIALIZED (SELECT clip_id, t, l::INT AS l, CASE WHEN n = 1 OR m = 1 THEN 0.0 ELSE (k * (n - 1) - l * (m - 1))::DOUBLE / (m - 1) END AS a, least(l + 1, n - 1)::INT AS rr FROM st)"""
 
 
 _LERP = "SELECT sa.clip_id, sa.t, 0 AS v, c::INT AS c, round((1 - a) * x.root_pos[c + 1] + a * y.root_pos[c + 1], 9) + 0.0 AS value FROM sa JOIN ev x ON x.clip_id = sa.clip_id AND x.t = l JOIN ev y ON y.clip_id = sa.clip_id AND y.t = rr, range(3) r(c)"
@@ -475,10 +476,16 @@ def speed_lerp(spark, d):
 
 def _slerp_sql(source: str) -> str:
     """From rows (clip_id, t, j, p, r, a) of quaternion structs and a weight."""
+    return f"{_slerp_ctes(source)} {vertex_sql('s2', _SLERPED)}"
+
+
+_SLERPED = [f"CASE WHEN a = 0 THEN p.{k} WHEN a = 1 THEN r.{k} WHEN abs(d) > 0.9995 THEN (p.{k} + a * (g * r.{k} - p.{k})) / s ELSE (sin((1 - a) * o) * p.{k} + sin(a * o) * g * r.{k}) / sin(o) END" for k in "wxyz"]
+
+
+def _slerp_ctes(source: str) -> str:
     dot = "p.w * r.w + p.x * r.x + p.y * r.y + p.z * r.z"
-    mixed = [f"CASE WHEN a = 0 THEN p.{k} WHEN a = 1 THEN r.{k} WHEN abs(d) > 0.9995 THEN (p.{k} + a * (g * r.{k} - p.{k})) / s ELSE (sin((1 - a) * o) * p.{k} + sin(a * o) * g * r.{k}) / sin(o) END" for k in "wxyz"]
     return f"""s0 AS (SELECT *, {dot} AS d FROM {source}), s1 AS (SELECT *, CASE WHEN d < 0 THEN -1.0 ELSE 1.0 END AS g, acos(least(abs(d), 1.0)) AS o FROM s0),
-      s2 AS (SELECT *, sqrt({' + '.join(f'(p.{k} + a * (g * r.{k} - p.{k})) ** 2' for k in 'wxyz')}) AS s FROM s1) {vertex_sql('s2', mixed)}"""
+      s2 AS (SELECT *, sqrt({' + '.join(f'(p.{k} + a * (g * r.{k} - p.{k})) ** 2' for k in 'wxyz')}) AS s FROM s1)"""
 
 
 _Q = "{'w': %s.w, 'x': %s.x, 'y': %s.y, 'z': %s.z}"
@@ -491,7 +498,7 @@ def speed_slerp(spark, d):
 
 _KEEP = "((clip_id * 13 + t * 7) % 10) / 10.0::DOUBLE >= 0.4 OR t = 0 OR t = n - 1"
 _FILL = f"""kp AS (SELECT clip_id, t, ({_KEEP}) AS keep FROM base JOIN n USING (clip_id)), lr AS (SELECT clip_id, t, keep, max(CASE WHEN keep THEN t END) OVER (PARTITION BY clip_id ORDER BY t) AS l,
-  min(CASE WHEN keep THEN t END) OVER (PARTITION BY clip_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rr FROM kp), sa AS (SELECT clip_id, t, l, rr, (t - l)::DOUBLE / greatest(rr - l, 1) AS a FROM lr)"""
+  min(CASE WHEN keep THEN t END) OVER (PARTITION BY clip_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rr FROM kp), sa AS MATERIALIZED (SELECT clip_id, t, l, rr, (t - l)::DOUBLE / greatest(rr - l, 1) AS a FROM lr)"""
 
 
 def _drop() -> Column:
@@ -607,15 +614,92 @@ def stem_filter_label(spark, d):
   SELECT clip_id, t, c::INT AS c, round(CASE WHEN c < 3 THEN v WHEN c < 6 THEN root_pos[c - 2] * pi() / 180 ELSE root_pos[9 - c] * pi() / 180 END, 6) + 0.0 AS value FROM m""")
 def bvh_parse(spark, d):
     """Motion text made from the events (two joints, orders ZXY and XYZ), then parsed."""
-    head = "HIERARCHY ROOT Hips { OFFSET 0 0 0 CHANNELS 6 Xposition Yposition Zposition Zrotation Xrotation Yrotation JOINT Chest { OFFSET 0 5 0 CHANNELS 3 Xrotation Yrotation Zrotation End Site { OFFSET 0 1 0 } } } MOTION "
+    out = bvh.frames(_files(spark, d, [F.lit(_head("ZXY", "XYZ", 5))], [F.lit(0.05)]))
+    row = F.concat("root_pos", F.flatten("joint_rot"))
+    return out.select("clip_id", "t", F.posexplode(row).alias("c", "value")).withColumn("value", r6(F.col("value")))
+
+
+def _head(root: str, chest: str, length: int) -> str:
+    turn = lambda order: " ".join(f"{a}rotation" for a in order)
+    return f"HIERARCHY ROOT Hips {{ OFFSET 0 0 0 CHANNELS 6 Xposition Yposition Zposition {turn(root)} JOINT Chest {{ OFFSET 0 {length} 0 CHANNELS 3 {turn(chest)} End Site {{ OFFSET 0 1 0 }} }} }} MOTION "
+
+
+def _files(spark, d, heads: list[Column], steps: list[Column]) -> DataFrame:
+    """Parsed motion files of the events, a file per user; heads and frame times are dealt to users in turn."""
     x = lambda i: F.col("root_pos")[i].cast("string")
     line = F.concat_ws(" ", x(0), x(1), x(2), x(0), x(1), x(2), x(2), x(1), x(0))
     f = V.ev_frames(spark, d).select("clip_id", F.struct("t", line.alias("line")).alias("f"))
     text = f.groupBy("clip_id").agg(F.array_sort(F.collect_list("f")).alias("f"))
-    files = text.select(F.col("clip_id").cast("string").alias("clip_id"), F.concat(F.lit(head + "Frames: "), F.size("f").cast("string"), F.lit(" Frame Time: 0.05\n"), F.array_join(F.transform("f", lambda r: r["line"]), "\n")).alias("value"))
-    out = bvh.frames(bvh.parse_rows(files))
-    row = F.concat("root_pos", F.flatten("joint_rot"))
-    return out.select("clip_id", "t", F.posexplode(row).alias("c", "value")).withColumn("value", r6(F.col("value")))
+    own = lambda parts: F.element_at(F.array(*parts), (F.col("clip_id") % len(parts) + 1).cast("int")).cast("string")
+    whole = F.concat(own(heads), F.lit("Frames: "), F.size("f").cast("string"), F.lit(" Frame Time: "), own(steps), F.lit("\n"), F.array_join(F.transform("f", lambda r: r["line"]), "\n"))
+    return bvh.parse_rows(text.select(F.col("clip_id").cast("string").alias("clip_id"), whole.alias("value")))
+
+
+# Clips from two sources: other Euler orders, another bone length, another frame time.
+MIXED = [("ZXY", "XYZ", 5, 0.05), ("XYZ", "YZX", 9, 0.1)]
+
+
+def _mixed(spark, d) -> DataFrame:
+    return build.with_axes(_files(spark, d, [F.lit(_head(*m[:3])) for m in MIXED], [F.lit(m[3]) for m in MIXED]))
+
+
+def _qmul_sql(p: list[str | None], q: list[str | None]) -> list[str | None]:
+    """The Hamilton product of quaternions of SQL expressions; None stands for 0."""
+    signs = [[(0, 0, 1), (1, 1, -1), (2, 2, -1), (3, 3, -1)], [(0, 1, 1), (1, 0, 1), (2, 3, 1), (3, 2, -1)], [(0, 2, 1), (1, 3, -1), (2, 0, 1), (3, 1, 1)], [(0, 3, 1), (1, 2, 1), (2, 1, -1), (3, 0, 1)]]
+    out = []
+    for terms in signs:
+        parts = [f"{'+' if s > 0 else '-'} ({p[i]}) * ({q[k]})" for i, k, s in terms if p[i] and q[k]]
+        out.append(" ".join(parts) or None)
+    return out
+
+
+def _euler_sql(order: str, angles: list[str]) -> list[str]:
+    out: list[str | None] = ["1.0", None, None, None]
+    for letter, angle in zip(order, angles):
+        turn: list[str | None] = [f"cos(({angle}) * pi() / 360)", None, None, None]
+        turn["XYZ".index(letter) + 1] = f"sin(({angle}) * pi() / 360)"
+        out = _qmul_sql(out, turn)
+    return [x or "0.0" for x in out]
+
+
+def _mixed_sql() -> str:
+    """mq: quaternions of both joints; mp: their positions; both with the clip's own orders, bones and frame time."""
+    n = len(MIXED)
+    joints = [["root_pos[1]", "root_pos[2]", "root_pos[3]"], ["root_pos[3]", "root_pos[2]", "root_pos[1]"]]
+    rows = []
+    for k, m in enumerate(MIXED):
+        for j in (0, 1):
+            q = ", ".join(f"{x} AS {c}" for x, c in zip(_euler_sql(m[j], joints[j]), "wxyz"))
+            rows.append(f"SELECT clip_id::VARCHAR AS clip_id, t, {j} AS j, {q}, {m[2]} AS bone, {m[3]}::DOUBLE AS step, root_pos FROM ev WHERE clip_id % {n} = {k}")
+    up = ["2 * (x * y - w * z)", "1 - 2 * (x * x + z * z)", "2 * (y * z + w * x)"]
+    positions = ["SELECT clip_id, t, 0 AS j, step, root_pos[1] AS x, root_pos[2] AS y, root_pos[3] AS z FROM mq WHERE j = 0"]
+    positions.append("SELECT clip_id, t, 1 AS j, step, " + ", ".join(f"root_pos[{i + 1}] + bone * ({u}) AS {c}" for i, (u, c) in enumerate(zip(up, "xyz"))) + " FROM mq WHERE j = 0")
+    return f"{EV}, mq AS ({' UNION ALL '.join(rows)}), mp AS ({' UNION ALL '.join(positions)})"
+
+
+@query(f"WITH {_mixed_sql()} {vertex_sql('mq', ['w', 'x', 'y', 'z'])}")
+def build_mixed_orders(spark, d):
+    """A corpus of two sources: each clip's rotations by its own Euler orders."""
+    return cells(build.clip_streams(_mixed(spark, d), "quat"), "joint_rot")
+
+
+def _two_joints() -> skeleton.Topology:
+    return skeleton.Topology([[0.0, 0.0, 0.0], [0.0, 5.0, 0.0], [0.0, 1.0, 0.0]], [-1, 0, 1], [0, 1, -1], ["ZXY", "XYZ"])
+
+
+@query(f"WITH {_mixed_sql()} {vertex_sql('mp', ['x', 'y', 'z'])}")
+def build_mixed_offsets(spark, d):
+    """Positions by each clip's own bone lengths."""
+    return cells(build.clip_streams(_mixed(spark, d), "quat", top=_two_joints(), positions=["joint"]), "joint_pos")
+
+
+_CENTRAL = ", ".join(f"(coalesce(lead({c}) OVER w, {c}) - coalesce(lag({c}) OVER w, {c})) / (step * (CASE WHEN lag(t) OVER w IS NULL OR lead(t) OVER w IS NULL THEN 1 ELSE 2 END)) AS {c}" for c in "xyz")
+
+
+@query(f"WITH {_mixed_sql()}, m AS (SELECT clip_id, t, j, {_CENTRAL} FROM mp WINDOW w AS (PARTITION BY clip_id, j ORDER BY t)) {vertex_sql('m', ['x', 'y', 'z'])}")
+def build_mixed_fps(spark, d):
+    """Velocities by each clip's own frame time."""
+    return cells(build.clip_streams(_mixed(spark, d), "quat", top=_two_joints(), velocities=True), "velocities")
 
 
 # ---- pipelines and feeds ----------------------------------------------------------------------
@@ -635,10 +719,46 @@ def standard_pipeline() -> Pipeline:
     return Pipeline.standard(info, representation="quat")
 
 
-@query()
+def _unit_sql(seed: int, epoch: int, step: int, *place: str) -> str:
+    """A portable draw: the parts of the place are SQL expressions."""
+    parts = " || ':' || ".join([f"'{seed}:{epoch}:{step}'", "clip_id", *place])
+    return f"(('0x' || substr(md5({parts}), 1, 13))::UBIGINT::DOUBLE / {1 << 52}.0)"
+
+
+def _between(u: str, low: float, high: float) -> str:
+    return f"({low!r}::DOUBLE + ({high - low!r}::DOUBLE) * {u})"
+
+
+def _standard_sql(seed: int, epoch: int) -> str:
+    """The standard pipeline over quaternion clips: pr (roots) and pq (quaternions) with clip, frame and joint, pn the counts.
+
+    Turned about +y, mirrored across x by a gate, noised, and played faster or slower."""
+    u = lambda step, *place: _unit_sql(seed, epoch, step, *place)
+    normal = lambda what, c: "sqrt(-2 * ln(1 - " + u(2, "'a'", f"'{what}'", "t", "j", str(c)) + ")) * cos(2 * pi() * " + u(2, "'b'", f"'{what}'", "t", "j", str(c)) + ")"
+    sigma = math.radians(1)
+    target = "greatest(2, round_even(n / factor, 0)::BIGINT)"
+    return f"""{EMB},
+      dr AS MATERIALIZED (SELECT clip_id, n, {_between(u(0, "'angle'"), -math.pi, math.pi)} AS angle, {u(1, "'gate'")} < 0.5 AS flip, {_between(u(3, "'factor'"), 0.8, 1.2)} AS factor FROM n),
+      r1 AS (SELECT e.clip_id, t, CASE WHEN flip THEN -1 ELSE 1 END * (cos(angle) * e[1] + sin(angle) * e[3]) AS x, e[2] AS y, -sin(angle) * e[1] + cos(angle) * e[3] AS z FROM e JOIN dr USING (clip_id)),
+      q2 AS (SELECT clip_id, t, j, CASE WHEN j = 0 THEN w * cos(angle / 2) - y * sin(angle / 2) ELSE w END AS w, CASE WHEN j = 0 THEN x * cos(angle / 2) + z * sin(angle / 2) ELSE x END AS x,
+        CASE WHEN j = 0 THEN y * cos(angle / 2) + w * sin(angle / 2) ELSE y END AS y, CASE WHEN j = 0 THEN z * cos(angle / 2) - x * sin(angle / 2) ELSE z END AS z, flip FROM q JOIN dr USING (clip_id)),
+      q3 AS (SELECT clip_id, t, (CASE WHEN flip THEN {V.PARTNER} ELSE j END)::INT AS j, w, x, CASE WHEN flip THEN -y ELSE y END AS y, CASE WHEN flip THEN -z ELSE z END AS z FROM q2),
+      q4 AS (SELECT *, {normal('axis', 0)} AS a0, {normal('axis', 1)} AS a1, {normal('axis', 2)} AS a2, {normal('angle', 0)} * {sigma!r} / 2 AS h FROM q3),
+      q5 AS (SELECT *, sqrt(a0 * a0 + a1 * a1 + a2 * a2) AS s FROM q4),
+      q6 AS (SELECT clip_id, t, j, {{'w': cos(h), 'x': sin(h) * a0 / s, 'y': sin(h) * a1 / s, 'z': sin(h) * a2 / s}} AS a, {{'w': w, 'x': x, 'y': y, 'z': z}} AS q FROM q5),
+      q7 AS (SELECT clip_id, t, j, {_QMUL} FROM q6),
+      q8 AS MATERIALIZED (SELECT clip_id, t, j, w / l AS w, x / l AS x, y / l AS y, z / l AS z FROM (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS l FROM q7)),
+      {_stencil(target, 'dr')},
+      pn AS (SELECT clip_id, m::INT AS n FROM m),
+      src AS (SELECT sa.clip_id, sa.t, u.j, {_Q % (('u',) * 4)} AS p, {_Q % (('v',) * 4)} AS r, a FROM sa JOIN q8 u ON u.clip_id = sa.clip_id AND u.t = l JOIN q8 v ON v.clip_id = sa.clip_id AND v.t = rr AND v.j = u.j),
+      {_slerp_ctes('src')}, pq AS MATERIALIZED (SELECT clip_id, t, j, {', '.join(f'{m} AS {k}' for m, k in zip(_SLERPED, 'wxyz'))} FROM s2),
+      pr AS MATERIALIZED (SELECT sa.clip_id, sa.t, (1 - a) * o.x + a * i.x AS x, (1 - a) * o.y + a * i.y AS y, (1 - a) * o.z + a * i.z AS z FROM sa JOIN r1 o ON o.clip_id = sa.clip_id AND o.t = l JOIN r1 i ON i.clip_id = sa.clip_id AND i.t = rr)"""
+
+
+@query(f"WITH {_standard_sql(7, 1)} {vertex_sql('pq', ['w', 'x', 'y', 'z'])}")
 def pipeline_standard(spark, d):
     """Rotate, mirror, noise and speed over all clips, drawn by hashes of (seed, epoch, clip, step)."""
-    return cells(standard_pipeline().apply(V.emb_frames(spark, d), seed=7, epoch=1), "joint_rot")
+    return cells(standard_pipeline().apply(V.emb_frames(spark, d), seed=7, epoch=1, portable=True), "joint_rot")
 
 
 @query(f"WITH {EV}, m AS (SELECT clip_id, t, [-root_pos[1] * 1.0, root_pos[2], root_pos[3]] AS root_pos FROM ev) {root_sql('m')}")
@@ -648,10 +768,28 @@ def pipeline_gates(spark, d):
     return cells(Pipeline(steps).apply(V.ev_frames(spark, d), seed=3), "root_pos")
 
 
-@query()
+def _told_sql() -> str:
+    """Rows of the draws as explain tells them: name, gate, and the parameters that are texts, flags or numbers."""
+    u = lambda step, name: _unit_sql(7, 1, step, f"'{name}'")
+    steps = [
+        (0, "rotate_vertical", 1.0, [("angle", _between(u(0, "angle"), -math.pi, math.pi), None), ("up_axis", None, "+y"), ("degrees", None, "false")]),
+        (1, "mirror", 0.5, [("lateral_axis", None, "+x")]),
+        (2, "rotation_noise", 1.0, [("sigma", f"{math.radians(1)!r}::DOUBLE", None), ("degrees", None, "false")]),
+        (3, "speed", 1.0, [("factor", _between(u(3, "factor"), 0.8, 1.2), None)]),
+    ]
+    rows = [f"SELECT clip_id, {k} AS step, '{name}' AS name, '{p}' AS param, round({number or 'NULL'}, 6) AS number, {f"'{text}'" if text else 'NULL::VARCHAR'} AS text FROM n WHERE {u(k, 'gate')} < {prob}" for k, name, prob, params in steps for p, number, text in params]
+    closed = f"SELECT clip_id, 1 AS step, 'mirror' AS name, NULL AS param, NULL::DOUBLE AS number, NULL::VARCHAR AS text FROM n WHERE {u(1, 'gate')} >= 0.5"
+    return " UNION ALL ".join([*rows, closed])
+
+
+@query(f"WITH {EMB} SELECT clip_id, step::INT AS step, name, param IS NOT NULL AS applied, param, number, text FROM ({_told_sql()})")
 def explain_draws(spark, d):
+    """A row for each parameter of a step that applies to a clip, and one without for a step that does not."""
     clips = V.emb_frames(spark, d).select("clip_id").distinct()
-    return standard_pipeline().explain(clips, seed=7, epoch=1).withColumn("params", F.to_json("params"))
+    told = standard_pipeline().explain(clips, seed=7, epoch=1, portable=True)
+    rows = told.select("clip_id", "step", "name", "applied", F.explode_outer("params").alias("param", "value"))
+    number = F.expr("try_cast(value as double)")
+    return rows.select("clip_id", "step", "name", "applied", "param", F.round(number, 6).alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
 
 
 @query()
@@ -660,17 +798,28 @@ def exact_generator_draws(spark, d):
     return exact_draws(clips, 7, 1, [("gate",), ("uniform", -3.14, 3.14), ("normal", 3)])
 
 
-@query()
+def _picked_sql(length: int, u: str, start: str) -> str:
+    """pk: the frames that a clip of n frames (pn) is sampled at, modulo n."""
+    seg = lambda i: f"(({i}) * n // {length})"
+    return f"""pg AS (SELECT clip_id, n, unnest(range({length})) AS i FROM pn), gp AS (SELECT clip_id, n, i AS k, row_number() OVER (PARTITION BY clip_id ORDER BY {u}, i) AS place FROM (SELECT clip_id, n, unnest(range({length} + 1)) AS i FROM pn)),
+      pk AS MATERIALIZED (SELECT clip_id, i, ((CASE WHEN n < {length} THEN floor({start} * n)::BIGINT + i WHEN n < {2 * length} THEN i + (SELECT count(*) FROM gp WHERE gp.clip_id = pg.clip_id AND gp.place <= gp.n - {length} AND gp.k <= pg.i)
+        ELSE {seg('i')} + floor({u} * ({seg('i + 1')} - {seg('i')}))::BIGINT END) % n)::INT AS t FROM pg)"""
+
+
+@query(f"""WITH {_standard_sql(5, 2)}, {_picked_sql(32, _unit_sql(5, 2, -2, "'pick'", "i"), _unit_sql(5, 2, -2, "'pick'", "-1"))},
+  vx AS (SELECT pk.clip_id, pk.i, 0 AS v, [x, y, z, 0.0] AS c FROM pk JOIN pr USING (clip_id, t) UNION ALL SELECT pk.clip_id, pk.i, j + 1, [w, x, y, z] FROM pk JOIN pq USING (clip_id, t))
+  SELECT clip_id, 32 AS length, k::INT AS c, i::INT AS t, v::INT AS v, round(c[k + 1]::FLOAT::DOUBLE, 4) + 0.0 AS value FROM vx, range(4) r(k)""")
 def epoch_items(spark, d):
-    """A seeded epoch: augmented, derived, sampled to 32 frames, packed as (C, T, V) floats; digested by clip."""
-    feed = MotionFeed(V.emb_frames(spark, d), target_length=32, augmentation=standard_pipeline(), seed=5, temporal="resample", layout="ctv", target_repr="quat", source_repr="quat")
-    items = feed.items(epoch=2)
-    return items.select("clip_id", "length", F.size("data").alias("channels"), F.size(F.col("data")[0][0]).alias("vertices"))
+    """A seeded epoch: augmented, derived, sampled to 32 frames, packed as (C, T, V) floats; every number of every item."""
+    feed = MotionFeed(V.emb_frames(spark, d), target_length=32, augmentation=standard_pipeline(), seed=5, temporal="resample", layout="ctv", target_repr="quat", source_repr="quat", portable=True)
+    items = feed.items(epoch=2).select("clip_id", "length", F.posexplode("data").alias("c", "_x"))
+    items = items.select("clip_id", "length", "c", F.posexplode("_x").alias("t", "_x"))
+    return items.select("clip_id", "length", "c", "t", F.posexplode("_x").alias("v", "x")).select("clip_id", "length", "c", "t", "v", (F.round(F.col("x").cast("double"), 4) + F.lit(0.0)).alias("value"))
 
 
-@query()
+@query(f"WITH {EV} SELECT clip_id, {_unit_sql(1, 0, 0, "'gate'")} < 0.5 AS gate, round({_between(_unit_sql(1, 0, 0, "'value'"), -1.0, 1.0)}, 6) + 0.0 AS value FROM n")
 def native_uniforms(spark, d):
-    draws = Draws(1, 0, 0)
+    draws = Draws(1, 0, 0, portable=True)
     clips = V.ev_frames(spark, d).select("clip_id").distinct()
     return clips.select("clip_id", draws.gate(0.5).alias("gate"), r6(draws.uniform(-1, 1)).alias("value"))
 

@@ -16,6 +16,7 @@ CENTERINGS = ("world", "skeleton", "first")
 WIDTHS = {"euler": 3, "quat": 4, "6d": 6, "axisangle": 3, "rotmat": 9}
 LAYOUTS = ("flat", "tvc", "ctv")
 TEMPORAL = ("pad", "crop", "resample", "resample_deterministic")
+EULER_ORDERS = ("XYZ", "XZY", "YXZ", "YZX", "ZXY", "ZYX")
 DEFAULT_STREAMS = ("root_pos", "joint_rot")
 #: Columns that are stored beside a clip and that augmentation does not keep in step.
 STATIC_FEATURES = ("joint_quats", "velocities", "foot_contacts")

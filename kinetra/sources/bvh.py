@@ -7,6 +7,7 @@ Spark reads will do. A file is one row, since its frames are one block of text.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -171,10 +172,19 @@ def good(clips: DataFrame) -> DataFrame:
     return clips.where("error is null")
 
 
-def frames(clips: DataFrame) -> DataFrame:
-    """Frame rows ``clip_id, t, root_pos, joint_rot`` with Euler angles in radians."""
-    rows = good(clips).select("clip_id", F.posexplode(F.arrays_zip("root", "joints")).alias("t", "f"))
-    return rows.select("clip_id", "t", F.col("f.root").alias("root_pos"), F.col("f.joints").alias("joint_rot"))
+def warn_skipped(clips: DataFrame) -> None:
+    """Warns of files that could not be read, and names up to five."""
+    bad = clips.where("error is not null")
+    few = bad.orderBy("clip_id").select("clip_id", "error").limit(5).collect()
+    if few:
+        warnings.warn(f"{bad.count()} files are skipped, e.g. " + "; ".join(f"{r['clip_id']}: {r['error']}" for r in few), stacklevel=3)
+
+
+def frames(clips: DataFrame, *keep: str) -> DataFrame:
+    """Frame rows ``clip_id, t, root_pos, joint_rot`` with Euler angles in radians, each joint's in its clip's own channel
+    order, and the columns ``keep`` of the clip on each."""
+    rows = good(clips).select("clip_id", *keep, F.posexplode(F.arrays_zip("root", "joints")).alias("t", "f"))
+    return rows.select("clip_id", "t", F.col("f.root").alias("root_pos"), F.col("f.joints").alias("joint_rot"), *keep)
 
 
 def skeletons(clips: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Datasets on disk: Parquet tables of clips, frames, statistics and metadata; ``.npz`` import and export."""
+"""Datasets on disk: Parquet tables of clips, frames, statistics, audit and metadata; ``.npz`` and HDF5 import and export."""
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from kinetra.schema import STATIC_FEATURES, STREAMS
 
+HDF5 = (".hdf5", ".h5")
+ARCHIVES = (".npz", *HDF5)
 SUFFIXES = (".npz", ".hdf5", ".h5", ".parquet", "")
 
 
@@ -20,7 +23,7 @@ def check_suffix(path: str) -> str:
     suffix = Path(path.rstrip("/")).suffix.lower()
     if suffix not in SUFFIXES:
         raise ValueError(f"a dataset ends in one of {', '.join(s or '(none)' for s in SUFFIXES)}, not {suffix}")
-    if suffix in (".hdf5", ".h5"):
+    if suffix in HDF5:
         try:
             import h5py  # noqa: F401
         except ImportError as e:
@@ -36,15 +39,28 @@ class MotionDataset:
     clips: DataFrame
     stats: DataFrame
     meta: dict = field(default_factory=dict)
+    audit: DataFrame | None = None
 
 
-def save(dataset: MotionDataset, path: str) -> None:
-    """Parquet, frames clustered by clip so that one clip's frames are read from few row groups."""
-    check_suffix(path)
+def save_frames(frames: DataFrame, path: str) -> DataFrame:
+    """Frames clustered by clip, so that one clip's are read from few row groups; returns what was written."""
+    frames.sortWithinPartitions("clip_id", "t").write.mode("overwrite").parquet(f"{path}/frames")
+    return frames.sparkSession.read.parquet(f"{path}/frames")
+
+
+def save(dataset: MotionDataset, path: str, frames: bool = True) -> None:
+    """A folder of Parquet tables, or an archive where ``path`` ends like one. ``frames`` is off where ``save_frames`` has
+    written them."""
+    kind = check_suffix(path)
+    if kind in ARCHIVES:
+        return save_archive(dataset, path)
     spark = dataset.frames.sparkSession
-    dataset.frames.sortWithinPartitions("clip_id", "t").write.mode("overwrite").parquet(f"{path}/frames")
+    if frames:
+        save_frames(dataset.frames, path)
     dataset.clips.write.mode("overwrite").parquet(f"{path}/clips")
     dataset.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    if dataset.audit is not None:
+        dataset.audit.write.mode("overwrite").parquet(f"{path}/audit")
     spark.createDataFrame([(json.dumps(dataset.meta),)], "json string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -55,15 +71,16 @@ def normalize_info(info: dict) -> dict:
 
 
 def load(spark: SparkSession, path: str) -> MotionDataset:
-    if check_suffix(path) == ".npz":
-        return load_npz(spark, path)
+    if check_suffix(path) in ARCHIVES:
+        return load_archive(spark, path)
     meta = json.loads(spark.read.parquet(f"{path}/meta").first()["json"])
     frames = legacy_columns(spark.read.option("mergeSchema", True).parquet(f"{path}/frames"))
     if "skeleton_info" in meta:
         meta["skeleton_info"] = normalize_info(meta["skeleton_info"])
     if meta.get("representation") == "quat" and "joint_quats" not in frames.columns and meta.get("include_quaternions"):
         frames = frames.withColumn("joint_quats", F.col("joint_rot"))  # stored once
-    return MotionDataset(frames, spark.read.parquet(f"{path}/clips"), spark.read.parquet(f"{path}/stats"), meta)
+    held = spark.read.parquet(f"{path}/audit") if meta.get("has_audit") else None
+    return MotionDataset(frames, spark.read.parquet(f"{path}/clips"), spark.read.parquet(f"{path}/stats"), meta, held)
 
 
 def legacy_columns(frames: DataFrame) -> DataFrame:
@@ -75,8 +92,51 @@ def legacy_columns(frames: DataFrame) -> DataFrame:
     return frames.withColumnRenamed("joint_data", "joint_rot")
 
 
-def save_npz(dataset: MotionDataset, path: str) -> None:
-    """One NumPy archive, made on the driver: for small datasets that leave the cluster."""
+def save_archive(dataset: MotionDataset, path: str) -> None:
+    """One NumPy or HDF5 file, made on the driver: for small datasets that leave the cluster."""
+    out = archive_arrays(dataset)
+    if check_suffix(path) in HDF5:
+        write_hdf5(path, out)
+    else:
+        np.savez_compressed(path, **out)
+
+
+save_npz = save_archive
+
+
+def write_hdf5(path: str, arrays: dict) -> None:
+    """Arrays of a clip go to its group ``clip_<i>``, texts are stored as UTF-8, single values as attributes."""
+    import h5py
+
+    with h5py.File(path, "w") as file:
+        for name, value in arrays.items():
+            clip = re.fullmatch(r"(clip_\d+)_(\w+)", name)
+            group, own = (file.require_group(clip[1]), clip[2]) if clip else (file, name)
+            if np.ndim(value) == 0:
+                group.attrs[own] = "" if value is None else value
+            elif np.asarray(value).dtype.kind == "U":
+                group.create_dataset(own, data=[str(x) for x in value], dtype=h5py.string_dtype("utf-8"))
+            else:
+                group.create_dataset(own, data=np.asarray(value), compression="gzip")
+
+
+def read_hdf5(path: str) -> dict:
+    import h5py
+
+    out: dict = {}
+    with h5py.File(path, "r") as file:
+        groups = [("", file), *((f"{k}_", v) for k, v in file.items() if re.fullmatch(r"clip_\d+", k))]
+        for prefix, group in groups:
+            out |= {f"{prefix}{k}": np.asarray(v) for k, v in group.attrs.items()}
+            for k, v in group.items():
+                if not re.fullmatch(r"clip_\d+", k):
+                    data = v[()]
+                    out[f"{prefix}{k}"] = np.array([x.decode() if isinstance(x, bytes) else str(x) for x in data]) if data.dtype.kind in "OS" else data
+    return out
+
+
+def archive_arrays(dataset: MotionDataset) -> dict:
+    """The arrays of an archive by name."""
     columns = [c for c in (*STREAMS, *STATIC_FEATURES) if c in dataset.frames.columns]
     clips = sorted(r["clip_id"] for r in dataset.clips.select("clip_id").collect())
     number = {c: i for i, c in enumerate(clips)}
@@ -93,15 +153,22 @@ def save_npz(dataset: MotionDataset, path: str) -> None:
         labels = {r["clip_id"]: r["label"] for r in dataset.clips.collect()}
         out["labels"] = np.array([labels[c] for c in clips], np.int64)
     out["skeleton_info_json"] = json.dumps(dataset.meta.get("skeleton_info", {}))
-    out["uniformity_json"] = json.dumps(dataset.meta.get("uniformity", {}))
+    uniformity = dict(dataset.meta.get("uniformity", {}))
+    if dataset.audit is not None:  # names of clips by value, as the archive holds all clips anyway
+        for r in dataset.audit.groupBy("axis", "value").agg(F.array_sort(F.collect_list("clip_id")).alias("stems")).collect():
+            uniformity[r["axis"]] = {**uniformity.get(r["axis"], {}), r["value"]: r["stems"]}
+    out["uniformity_json"] = json.dumps(uniformity)
     if dataset.meta.get("position_centering"):
         out["position_centering"] = dataset.meta["position_centering"]
-    np.savez_compressed(path, **out)
+    return out
 
 
-def load_npz(spark: SparkSession, path: str) -> MotionDataset:
-    with np.load(path, allow_pickle=False) as raw:
-        held = {k: raw[k] for k in raw.files}
+def load_archive(spark: SparkSession, path: str) -> MotionDataset:
+    if check_suffix(path) in HDF5:
+        held = read_hdf5(path)
+    else:
+        with np.load(path, allow_pickle=False) as raw:
+            held = {k: raw[k] for k in raw.files}
     names = [str(x) for x in held["filenames"]] if "filenames" in held else [str(i) for i in range(int(held["num_clips"]))]
     rows, have = [], set()
     for i, name in enumerate(names):

@@ -48,7 +48,7 @@ EMB = """e AS (
 n AS (SELECT clip_id, count(*)::INT AS n FROM e GROUP BY clip_id),
 q0 AS (SELECT clip_id, t, j::INT AS j, e[4 * j + 1] AS w, e[4 * j + 2] AS x, e[4 * j + 3] AS y, e[4 * j + 4] AS z FROM e, range(16) r(j)),
 q1 AS (SELECT *, sqrt(w * w + x * x + y * y + z * z) AS s FROM q0),
-q AS (SELECT clip_id, t, j, w / s AS w, x / s AS x, y / s AS y, z / s AS z FROM q1),
+q AS MATERIALIZED (SELECT clip_id, t, j, w / s AS w, x / s AS x, y / s AS y, z / s AS z FROM q1),
 p AS (SELECT clip_id, t, j::INT AS j, e[3 * j + 1] AS x, e[3 * j + 2] AS y, e[3 * j + 3] AS z FROM e, range(21) r(j))"""
 
 PAIRS = [(2 * k + 1, 2 * k + 2) for k in range(7)]

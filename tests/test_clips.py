@@ -68,7 +68,7 @@ def test_files_to_feed_and_rest_targets(spark, tmp_path):
     with pytest.raises(ValueError):
         clips.extract(bvh.frames(parsed), "rotmat", None)
     nodes = bvh.skeletons(parsed)
-    assert {r.rest_forward for r in build.rest_forward(nodes).collect()} == {"+z"}
+    assert {(r.world_up, r.rest_up, r.rest_forward) for r in build.with_axes(parsed).collect()} == {("+y", "+y", "+z")}
     plain = build.preprocess(spark, str(tmp_path), str(tmp_path / "p"), "quat", center=False, include_positions=True)
     turned = build.preprocess(spark, str(tmp_path), str(tmp_path / "q"), "quat", center=False, include_positions=True, target_rest_up="+z", target_euler_order="XYZ")
     assert plain["skeleton_info"]["rest_up"] == "+y" and turned["skeleton_info"]["rest_up"] == "+z" and turned["skeleton_info"]["euler_orders"] == ["XYZ"] * 4

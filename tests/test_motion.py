@@ -245,14 +245,20 @@ def test_statistics(spark):
 
 def test_audit(spark):
     df = spark.createDataFrame([("a", "+y", 1 / 120), ("b", "+z", 1 / 30), ("c", None, 0.0), ("d", "+z", 0.041708), ("e", "+y", 1 / 120)], "clip_id string, world_up string, frame_time double").withColumn("fps", audit.fps_key(F.col("frame_time")))
-    dist = audit.distribution(df, ("world_up", "fps"), stems=True)
-    got = {(r.axis, r.value): r.stems for r in dist.collect()}
-    assert got[("fps", "120")] == ["a", "e"] and got[("fps", f"{1 / 0.041708:.6g}")] == ["d"] and got[("fps", "unknown")] == ["c"]
+    dist = audit.distribution(df, ("world_up", "fps"))
+    got = {(r.axis, r.value): r.n for r in dist.collect()}
+    assert got[("fps", "120")] == 2 and got[("fps", f"{1 / 0.041708:.6g}")] == 1 and got[("fps", "unknown")] == 1
+    assert sorted(r.clip_id for r in audit.values(df, ("fps",)).where("value = '120'").collect()) == ["a", "e"]
     best = {r.axis: r.value for r in audit.majority(dist).collect()}
     assert best == {"world_up": "+z", "fps": "120"}
-    assert audit.harmonize_targets({"world_up": "+y", "rest_forward": "-y"}, {}) == {"world_up": "+y"}
+    counts = {"world_up": {"+y": 3, "+z": 2}, "rest_forward": {"-y": 4, "+x": 1, "unknown": 9}, "rest_up": {"+y": 1, "unknown": 5}, "fps": {"30": 2, "120": 2}}
+    assert audit.harmonize_targets(counts, {}) == {"world_up": "+y", "rest_forward": "+x", "fps": 30.0}
+    assert audit.harmonize_targets(counts, {"fps": 24, "world_up": "+z"}, mismatch=True, order="XYZ") == {"world_up": "+z", "rest_forward": "-y", "rest_up": "+y", "fps": 24.0, "euler_order": "XYZ"}
+    assert audit.harmonize_targets({"world_up": {"+y": 3}, "fps": {"30": 3}, "rest_forward": {"+z": 3}}, {}) == {}
     with pytest.raises(ValueError):
-        audit.harmonize_targets({"world_up": "+y"}, {"rest_forward": "+y"})
+        audit.harmonize_targets({"world_up": {"+y": 1}}, {"rest_forward": "+y"})
+    with pytest.warns(UserWarning, match="stay as they are"):
+        assert audit.harmonize_targets({"world_up": {"+y": 1}, "rest_forward": {"+y": 1, "-y": 1}}, {}) == {}
     with pytest.raises(ValueError, match="b, d"):
         audit.reject_parallel_forward(df, "+z", None)
     with pytest.warns(UserWarning, match="world_up"):

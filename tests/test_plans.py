@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinetra.functions import arrays as A
 from kinetra.operators import augment, temporal
 from kinetra.plans import build, feed
 from kinetra.plans.draws import exact_draws, generator
@@ -77,7 +78,12 @@ def test_build_refusals_and_harmonizing(spark, folder, tmp_path):
     bvh.write(str(folder / "zfast.bvh"), rig(21, 1 / 120, seed=9))
     with pytest.warns(UserWarning, match="fps"):
         meta = build.preprocess(spark, str(folder), str(tmp_path / "h"), do_harmonize=True, target_world_up="+z")
-    assert meta["harmonized_to"] == {"world_up": "+z", "fps": 30.0} and meta["uniformity"]["fps"]["120"] == ["zfast"]
+    assert meta["harmonized_to"] == {"world_up": "+z", "fps": 30.0} and meta["uniformity"]["fps"] == {"30": 4, "120": 1}
+    assert meta["harmonizing"] == {"retarget": False, "reference": None, "stage_counts": {"resample": 1, "world_up": 5}}
+    built = store.load(spark, str(tmp_path / "h"))
+    assert [r.clip_id for r in built.audit.where("axis = 'fps' and value = '120'").collect()] == ["zfast"]
+    facts = {r.clip_id: r for r in built.clips.collect()}
+    assert facts["zfast"].n_frames == 6 and facts["zfast"].frame_time == pytest.approx(1 / 30) and facts["walk_0"].world_up == "+z"
     n = {r.clip_id: r.n for r in store.load(spark, str(tmp_path / "h")).frames.groupBy("clip_id").agg(F.count("*").alias("n")).collect()}
     assert n["zfast"] == 6 and n["walk_0"] == 6
     other = rig(3)
@@ -87,6 +93,146 @@ def test_build_refusals_and_harmonizing(spark, folder, tmp_path):
         build.preprocess(spark, str(folder), str(tmp_path / "y"))
 
 
+def mixed_folder(path):
+    """Clips of one graph, but with other orders, bones, frame times and rest axes."""
+    a, b, c = rig(6, 0.1, seed=1), rig(7, 0.05, seed=2), rig(5, 0.1, seed=3)
+    b["euler_orders"] = ["XYZ", "ZYX", "YZX", "XZY"]
+    b["offsets"] = [[2.0 * x for x in o] for o in b["offsets"]]
+    c["offsets"] = [[x, -z, y] for x, y, z in c["offsets"]]  # +z is up at rest
+    for name, clip in zip("abc", (a, b, c)):
+        (path / name).mkdir(parents=True)
+        for folder in (path / name, path):
+            bvh.write(str(folder / f"{name}.bvh"), clip)
+    return path
+
+
+ALL = {"include_positions": True, "include_velocities": True, "include_quaternions": True, "include_foot_contacts": True}
+
+
+def rows_of(frames, clip):
+    names = [c for c in sorted(frames.columns) if c not in ("clip_id", "t")]
+    rows = frames.where(F.col("clip_id") == clip).orderBy("t").collect()
+    return {c: np.array([r[c] for r in rows]) for c in names}
+
+
+@pytest.mark.parametrize("how", [{"representation": "quat"}, {"representation": "6d", "position_centering": "first", "center": False}, {"representation": "quat", "target_world_up": "-x", "target_fps": 20.0, "target_rest_up": "+y", "target_rest_forward": "-z"}])
+@pytest.mark.filterwarnings("ignore::UserWarning")
+def test_a_clip_is_the_same_alone_and_in_company(spark, tmp_path, how):
+    mixed_folder(tmp_path / "in")
+    build.preprocess(spark, str(tmp_path / "in"), str(tmp_path / "all"), **ALL, **how)
+    together = store.load(spark, str(tmp_path / "all")).frames
+    for c in "abc":
+        build.preprocess(spark, str(tmp_path / "in" / c), str(tmp_path / f"only_{c}"), **ALL, **how)
+        alone, own = rows_of(store.load(spark, str(tmp_path / f"only_{c}")).frames, c), rows_of(together, c)
+        assert alone.keys() == own.keys() and len(own["root_pos"]) > 2
+        for k in own:
+            np.testing.assert_allclose(own[k], alone[k], atol=1e-12, err_msg=f"{c} {k}")
+
+
+@pytest.mark.filterwarnings("ignore::UserWarning")
+def test_a_feed_from_files_takes_each_clip_as_it_is(spark, tmp_path):
+    mixed_folder(tmp_path)
+    for how in ({}, {"position_centering": "first"}):
+        for kind in ("euler", "quat"):
+            make = lambda folder: feed.from_files(spark, str(folder), kind, include_positions=True, center_root=False, streams=["root_pos", "joint_rot", "joint_pos"], source_repr=kind, target_repr=kind, **how)  # noqa: B023, E731
+            together = {r.clip_id: np.array(r.data) for r in make(tmp_path).items().collect()}
+            for c in "abc":
+                np.testing.assert_allclose(together[c], np.array(make(tmp_path / c).items().first().data), atol=1e-5)
+    got = {r.clip_id: np.array(r.joint_rot) for r in feed.from_files(spark, str(tmp_path), "quat").frames.where("t = 0").collect()}
+    for c, orders in (("a", rig()["euler_orders"]), ("b", ["XYZ", "ZYX", "YZX", "XZY"])):
+        angles = np.array(bvh.parse((tmp_path / f"{c}.bvh").read_text())["joints"])[0]
+        np.testing.assert_allclose(A.quat_to_matrix(got[c]), A.to_matrix(angles, "euler", orders), atol=1e-9)
+
+
+@pytest.mark.filterwarnings("ignore::UserWarning")
+def test_harmonizing_and_retargeting(spark, tmp_path):
+    mixed_folder(tmp_path / "in")
+    meta = build.preprocess(spark, str(tmp_path / "in"), str(tmp_path / "h"), "euler", do_harmonize=True, **ALL)
+    assert meta["harmonized_to"]["fps"] == 10.0 and meta["harmonized_to"]["world_up"] == "+y" and "euler_order" in meta["harmonized_to"]
+    assert meta["harmonizing"]["stage_counts"]["resample"] == 1 and meta["harmonizing"]["stage_counts"]["world_up"] == 1 and meta["harmonizing"]["stage_counts"]["euler_order"] == 3
+    with pytest.raises(ValueError, match="euler orders"):
+        build.preprocess(spark, str(tmp_path / "in"), str(tmp_path / "x"), "euler")
+    same = build.preprocess(spark, str(tmp_path / "in"), str(tmp_path / "r"), "quat", retarget=True, center=False, include_positions=True)
+    assert same["harmonizing"]["reference"] == "a" and same["harmonizing"]["stage_counts"] == {"retarget": 3}
+    bones = lambda p: np.linalg.norm(p[:, 1] - p[:, 0], axis=-1)
+    for c in "abc":
+        np.testing.assert_allclose(bones(rows_of(store.load(spark, str(tmp_path / "r")).frames, c)["joint_pos"]), 4)
+    other = rig(3)
+    other["names"][1] = "Chest"
+    bvh.write(str(tmp_path / "in" / "d.bvh"), other)
+    with pytest.raises(ValueError, match="d has other names"):
+        build.preprocess(spark, str(tmp_path / "in"), str(tmp_path / "y"), retarget=True)
+
+
+@pytest.mark.filterwarnings("ignore:clips have")
+def test_skipped_files_are_told(spark, folder, tmp_path):
+    (folder / "zz.bvh").write_text("HIERARCHY")
+    with pytest.warns(UserWarning, match="1 files are skipped, e.g. zz"):
+        assert build.preprocess(spark, str(folder), str(tmp_path / "d"), skip_errors=True)["num_clips"] == 4
+
+
+def test_hdf5_archives(spark, folder, tmp_path, monkeypatch):
+    """h5py is not installed here: a stand-in keeps groups, datasets and attributes in memory."""
+    import sys
+    import types
+
+    if "h5py" not in sys.modules:
+        with pytest.raises(ImportError, match="h5py"):
+            build.preprocess(spark, str(folder), str(tmp_path / "d.h5"))
+    files: dict = {}
+
+    class Group(dict):
+        def __init__(self):
+            super().__init__()
+            self.attrs = {}
+
+        def require_group(self, name):
+            return self.setdefault(name, Group())
+
+        def create_dataset(self, name, data, **_):
+            raw = [x.encode() for x in data] if isinstance(data, list) else data
+            self[name] = np.array(raw, object) if isinstance(data, list) else np.asarray(raw)
+
+    class Array:
+        def __init__(self, value):
+            self.value = value
+
+        def __getitem__(self, _):
+            return self.value
+
+    class File(Group):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+    def opened(path, mode):
+        if mode == "w":
+            files[path] = File()
+            return files[path]
+        back = File()
+        back.attrs = files[path].attrs
+        for k, v in files[path].items():
+            back[k] = {n: Array(x) for n, x in v.items()} if isinstance(v, Group) else Array(v)
+            if isinstance(v, Group):
+                group = Group()
+                group.attrs = v.attrs
+                group.update(back[k])
+                back[k] = group
+        return back
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=opened, string_dtype=lambda _: None))
+    build.preprocess(spark, str(folder), str(tmp_path / "d.h5"), "quat", include_positions=True, label=lambda s: F.regexp_extract(s, "([0-9]+)", 1))
+    build.preprocess(spark, str(folder), str(tmp_path / "d.npz"), "quat", include_positions=True, label=lambda s: F.regexp_extract(s, "([0-9]+)", 1))
+    h5, npz = store.load(spark, str(tmp_path / "d.h5")), store.load(spark, str(tmp_path / "d.npz"))
+    assert h5.meta == npz.meta and h5.meta["uniformity"]["fps"]["30"] == [f"walk_{i}" for i in range(4)]
+    assert sorted(h5.clips.collect()) == sorted(npz.clips.collect()) and sorted(h5.stats.collect(), key=str) == sorted(npz.stats.collect(), key=str)
+    for c in ("walk_0", "walk_3"):
+        for k, v in rows_of(h5.frames, c).items():
+            np.testing.assert_array_equal(v, rows_of(npz.frames, c)[k])
+
+
 def test_legacy_names(spark):
     old = spark.createDataFrame([("a", 0, [[1.0]])], "clip_id string, t int, joint_data array<array<double>>")
     assert store.legacy_columns(old).columns == ["clip_id", "t", "joint_rot"]
@@ -206,4 +352,33 @@ def test_collate(spark):
     with pytest.raises(IndexError):
         feed.normalize_index(3, 3)
     shuffled = feed.MotionFeed(frames(spark), seed=1, streams=["root_pos"]).shuffled(0, 2)
-    assert {r.batch_id for r in shuffled.collect()} <= {0, 1}
+    assert sorted(r.batch_id for r in shuffled.collect()) == [0, 0, 1]
+
+
+def test_batches_have_their_size(spark, monkeypatch):
+    monkeypatch.setattr(feed, "GROUP", 10)
+    f = spark.range(103).select(F.concat(F.lit("c"), "id").alias("clip_id"), F.lit(0).alias("t"), F.array(F.lit(1.0), F.lit(2.0), F.col("id").cast("double")).alias("root_pos"))
+    made = feed.MotionFeed(f, seed=3, streams=["root_pos"])
+    rows = made.shuffled(0, 10).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.batch_id] = sizes.get(r.batch_id, 0) + 1
+    assert sizes == {**{i: 10 for i in range(10)}, 10: 3} and len({r.clip_id for r in rows}) == 103
+    again, later = ({r.clip_id: r.batch_id for r in made.shuffled(e, 10).collect()} for e in (0, 1))
+    assert again == {r.clip_id: r.batch_id for r in rows} and later != again
+    with pytest.raises(ValueError):
+        made.shuffled(0, 0)
+    got = list(feed.batches(made.items(), 20))
+    assert [b.num_rows for b in got] == [20] * 5 + [3] and {x for b in got for x in b.column("clip_id").to_pylist()} == {r.clip_id for r in rows}
+
+
+def test_several_samples_of_a_clip(spark):
+    clips = temporal.frame_counts(frames(spark, (5, 30, 200)))
+    picks = temporal.temporal_samples(clips, 16, 3)
+    got = temporal.sample_frames(frames(spark, (5, 30, 200)), picks).collect()
+    assert {(r.clip_id, r["sample"]) for r in got} == {(f"c{i}", k) for i in range(3) for k in range(3)} and len(got) == 3 * 3 * 16
+    test = {(r.clip_id, r["sample"], r.i): r.idx for r in temporal.temporal_samples(clips, 16, 2, "test").collect()}
+    assert test == {(r.clip_id, r["sample"], r.i): r.idx for r in temporal.temporal_samples(clips, 16, 2, "test").collect()}
+    assert [test["c2", 0, i] for i in range(16)] != [test["c2", 1, i] for i in range(16)]
+    with pytest.raises(ValueError):
+        temporal.temporal_samples(clips, 16, 0)
