@@ -84,3 +84,65 @@ def exact_draws(clips: DataFrame, seed: int, epoch: int, spec: list[tuple]) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.float64()))], ["clip_id", "k", "place", "value"])
 
     return clips.select("clip_id", "idx", "n_frames").mapInArrow(run, "clip_id string, k int, place int, value double")
+
+
+class ExactDraws:
+    """The numbers of a clip's NumPy generator for one step, as columns that ``with_exact_draws`` has added to the frames."""
+
+    def __init__(self, step: int, per_vertex: int = 0) -> None:
+        self.step, self.per_vertex, self.ranges = step, per_vertex, []
+
+    def gate(self, prob: float) -> Column:
+        return F.col("_draws")[self.step]["open"]
+
+    def uniform(self, low: float, high: float, name: str = "value") -> Column:
+        self.ranges.append((float(low), float(high)))
+        return F.col("_draws")[self.step]["params"][len(self.ranges) - 1]
+
+    def normal(self, what: str, v: Column, c: Column) -> Column:
+        """``angle`` numbers stand after all ``axis`` numbers of a frame."""
+        held = F.col("_noise")
+        if what == "angle":
+            return held[F.floor(F.size(held) * 3 / 4).cast("int") + v]
+        return held[v * 3 + c]
+
+    def frame(self) -> Column:
+        return F.col("_noise")[0]
+
+
+def steps_draws(clips: DataFrame, seed: int, epoch: int, steps: list[dict]) -> DataFrame:
+    """``clips(clip_id, idx, n_frames, n_joints, n_nodes)`` -> ``clip_id, draws, noise``: what one generator per clip gives
+    to a pipeline's steps, in the order in which they ask.
+
+    Every step asks for its gate. One that opens asks for its parameters (``ranges``), then for its noise: ``kind`` is
+    None, rotation, root, joint, node or frame. ``factor``, a number or the place of a parameter, changes the frames of
+    the steps after it. ``draws`` has a struct (open, params) for each step; ``noise`` has frames of numbers."""
+    kind = pa.list_(pa.struct([("open", pa.bool_()), ("params", pa.list_(pa.float64()))]))
+    cube = pa.list_(pa.list_(pa.list_(pa.float64())))
+
+    def numbers(rng: np.random.Generator, what: str | None, n: int, joints: int, nodes: int) -> list:
+        if what == "rotation":
+            axis, angle = rng.normal(size=(n, joints, 3)), rng.normal(size=(n, joints))
+            return np.concatenate([axis.reshape(n, -1), angle], 1).tolist()
+        if what == "frame":
+            return rng.random(n)[:, None].tolist() if n > 1 else [[1.0]] * n
+        return rng.normal(size=(n, {"root": 1, "joint": joints, "node": nodes}[what] * 3)).tolist() if what else []
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for clip, idx, n, joints, nodes in zip(*(b.column(c).to_pylist() for c in ("clip_id", "idx", "n_frames", "n_joints", "n_nodes"))):
+                rng, draws, noise = generator(seed, epoch, idx), [], []
+                for s in steps:
+                    opened = bool(rng.random() < s["prob"])
+                    params = [float(rng.uniform(*r)) for r in s["ranges"]] if opened else [0.0] * len(s["ranges"])
+                    draws.append({"open": opened, "params": params})
+                    noise.append(numbers(rng, s["kind"] if opened else None, n, joints or 0, nodes or 0))
+                    if opened and s["factor"] is not None and n > 1:
+                        factor = params[s["factor"][1]] if isinstance(s["factor"], tuple) else s["factor"]
+                        n = max(2, round(n / factor))
+                out.append((str(clip), draws, noise))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), kind, cube))], ["clip_id", "draws", "noise"])
+
+    return clips.select("clip_id", "idx", "n_frames", "n_joints", "n_nodes").mapInArrow(run, "clip_id string, draws array<struct<open: boolean, params: array<double>>>, noise array<array<array<double>>>")

@@ -34,7 +34,7 @@ class MotionFeed:
     of length, so that a difference is always one of neighbouring frames.
     """
 
-    def __init__(self, frames: DataFrame, clips: DataFrame | None = None, *, target_length: int | None = None, augmentation: Pipeline | None = None, seed: int | None = None, center_root: bool = False, temporal: str = "pad", layout: str = "flat", streams=DEFAULT_STREAMS, position_centering: str | None = None, source_repr: str | None = None, target_repr: str | None = None, euler_orders=None, portable: bool = False) -> None:
+    def __init__(self, frames: DataFrame, clips: DataFrame | None = None, *, target_length: int | None = None, augmentation: Pipeline | None = None, seed: int | None = None, center_root: bool = False, temporal: str = "pad", layout: str = "flat", streams=DEFAULT_STREAMS, position_centering: str | None = None, source_repr: str | None = None, target_repr: str | None = None, euler_orders=None, portable: bool = False, generators: DataFrame | None = None) -> None:
         if layout not in LAYOUTS:
             raise ValueError(f"unknown layout {layout!r}")
         if temporal not in TEMPORAL:
@@ -57,7 +57,7 @@ class MotionFeed:
         self.frames, self.clips = frames, clips
         self.length, self.augmentation, self.seed, self.center = target_length, augmentation, seed, center_root
         self.temporal, self.layout, self.streams, self.centering = temporal, layout, list(streams), position_centering
-        self.source, self.target, self.orders, self.portable = source_repr, target_repr, euler_orders, portable
+        self.source, self.target, self.orders, self.portable, self.generators = source_repr, target_repr, euler_orders, portable, generators
         self.representation = target_repr or (augmentation.told if augmentation else None) or source_repr or "6d"
 
     def items(self, epoch: int = 0) -> DataFrame:
@@ -69,7 +69,7 @@ class MotionFeed:
         if self.source and self.source != self.target:
             f = f.withColumn("joint_rot", convert_joints(F.col("joint_rot"), self.source, self.target, self.orders))
         if self.augmentation is not None:
-            f = self.augmentation.apply(f, self.seed, epoch, self.centering, self.portable)
+            f = self.augmentation.apply(f, self.seed, epoch, self.centering, self.portable, self.generators)
         f = derive(f, self.streams).select("clip_id", "t", *self.streams)
         picks = None if self.seed is None else Draws(self.seed, epoch, -2, self.portable).pick
         f = apply_temporal(f, self.length, self.temporal, picks)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kinetra.functions.rotations import convert_joints
 from kinetra.operators import augment
-from kinetra.plans.draws import Draws
+from kinetra.plans.draws import Draws, ExactDraws, steps_draws
 from kinetra.schema import STREAMS, check_drop_rate, check_factor, check_probability, check_sigma, present, require_representation
 
 _SUPPORT = "_kinetra_streams"
@@ -128,12 +128,17 @@ class Pipeline:
             if s.fn is augment.mirror and s.kwargs.get("lr_joint_pairs") is None and have & {"joint_rot", "joint_pos"}:
                 raise ValueError("mirror needs lr_joint_pairs for joint streams")
 
-    def apply(self, frames: DataFrame, seed: int | None, epoch: int = 0, centering: str | None = None, portable: bool = False) -> DataFrame:
+    def apply(self, frames: DataFrame, seed: int | None, epoch: int = 0, centering: str | None = None, portable: bool = False, generators: DataFrame | None = None) -> DataFrame:
         """The augmented frames; the same (seed, epoch, clip) gives the same result in any partitioning. ``portable``: see
-        ``Draws``."""
+        ``Draws``. With ``generators(clip_id, idx)``, numbers are those of NumPy generators seeded by (seed, epoch, idx),
+        one per clip; steps of one's own get none."""
         self.check(frames.columns, centering)
         out, now = augment.as_double(frames), self.told
         streams = present(frames.columns)
+        exact = None if generators is None else self._exact(out, generators, seed, epoch)
+        if exact is not None:
+            key = exact.withColumnRenamed("clip_id", "_clip").withColumnRenamed("draws", "_draws")
+            out = out.join(key.select("_clip", "_draws"), F.col("clip_id").cast("string") == F.col("_clip")).drop("_clip")
 
         def to(df: DataFrame, target: str) -> DataFrame:
             nonlocal now
@@ -143,7 +148,9 @@ class Pipeline:
             return df
 
         for k, s in enumerate(self.steps):
-            draws = Draws(seed, epoch, k, portable)
+            draws = Draws(seed, epoch, k, portable) if exact is None else ExactDraws(k)
+            if exact is not None and _NOISE.get(s.fn):
+                out = _with_noise(out, exact, k)
             kw = {n: v(draws) if callable(v) and n != "refresh" else v for n, v in s.kwargs.items()}
             gate = draws.gate(s.prob)
             if s.fn in _RUN:
@@ -166,9 +173,31 @@ class Pipeline:
             else:
                 out = to(out, self.told) if self.told else out
                 out = _gated(out, streams, gate, lambda f: s.fn(f, **kw))
+            if "_noise" in out.columns:
+                out = out.drop("_noise")
         if self.told:
             out = to(out, self.told)
-        return augment.as_float(out, frames)
+        return augment.as_float(out.drop("_draws"), frames)
+
+    def _exact(self, frames: DataFrame, generators: DataFrame, seed: int | None, epoch: int) -> DataFrame:
+        if seed is None:
+            raise ValueError("draws need a seed")
+        steps = []
+        for k, s in enumerate(self.steps):
+            told = ExactDraws(k)
+            factor = s.kwargs.get("factor")
+            for n, v in s.kwargs.items():
+                if callable(v) and n != "refresh":
+                    if n == "factor" and s.fn is augment.speed:
+                        factor = ("param", len(told.ranges))
+                    v(told)
+            kind = _NOISE.get(s.fn)
+            quiet = kind in ("root", "joint", "node") and s.kwargs.get("sigma") == 0 or kind == "frame" and s.kwargs.get("rate") == 0
+            steps.append({"prob": s.prob, "ranges": told.ranges, "kind": None if quiet else kind, "factor": factor if s.fn is augment.speed else None})
+        size = lambda c: (F.max(F.size(c)) if c in frames.columns else F.lit(0)).cast("int")
+        joints = next((c for c in ("joint_rot", "joint_pos") if c in frames.columns), "joint_rot")
+        clips = frames.groupBy("clip_id").agg(F.count("*").cast("int").alias("n_frames"), size(joints).alias("n_joints"), size("node_pos").alias("n_nodes"))
+        return steps_draws(clips.join(generators.select("clip_id", "idx"), "clip_id"), seed, epoch, steps)
 
     def explain(self, clips: DataFrame, seed: int | None, epoch: int = 0, portable: bool = False) -> DataFrame:
         """``clip_id, step, name, applied, params map<string, string>``: what ``apply`` does to each clip."""
@@ -201,6 +230,18 @@ class Pipeline:
         return cls(steps, representation=representation, euler_orders=skeleton_info.get("euler_orders"))
 
 
+#: Which noise a step draws from a generator.
+_NOISE = {augment.rotation_noise: "rotation", augment.root_noise: "root", augment.joint_position_noise: "joint", augment.node_position_noise: "node", augment.dropout: "frame"}
+
+
+def _with_noise(frames: DataFrame, exact: DataFrame, step: int) -> DataFrame:
+    """Frames with ``_noise``, the step's numbers of each; zeros where the gate is closed."""
+    rows = exact.select(F.col("clip_id").alias("_clip"), F.posexplode(F.col("noise")[step]).alias("_t", "_noise"))
+    zeros = F.array_repeat(F.lit(0.0), 4 * F.greatest(F.lit(1), *(F.size(s) for s in present(frames.columns) if s != "root_pos")))
+    joined = frames.join(rows, (F.col("clip_id").cast("string") == F.col("_clip")) & (F.col("t") == F.col("_t")), "left")
+    return joined.withColumn("_noise", F.coalesce("_noise", zeros)).drop("_clip", "_t")
+
+
 def _gated(frames: DataFrame, streams, gate, step) -> DataFrame:
     """The step's result where the gate is open, the old values elsewhere; streams may not come or go."""
     held = frames.withColumns({f"_old_{s}": F.col(s) for s in streams} | {"_gate": gate})

@@ -1,6 +1,8 @@
 """Files, stores, pipelines and feeds, end to end on small rigs."""
 
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -321,6 +323,83 @@ def test_exact_draws_repeat_the_generator(spark):
     np.testing.assert_array_equal([got["c1", 2, i] for i in range(14)], rng.normal(size=14))
 
 
+def test_steps_take_the_numbers_of_generators(spark):
+    """Against NumPy: gates, parameters and noise of one generator per clip, in the order in which steps ask."""
+    r = np.random.default_rng(1)
+    lengths, rows, kept = (12, 1, 9, 15), [], {}
+    for c, n in enumerate(lengths):
+        root, pos = r.normal(size=(n, 3)), r.normal(size=(n, 4, 3))
+        kept[f"c{c}"] = (root, pos)
+        rows += [(f"c{c}", t, root[t].tolist(), pos[t].tolist()) for t in range(n)]
+    f = spark.createDataFrame(rows, "clip_id string, t int, root_pos array<double>, joint_pos array<array<double>>")
+    who = spark.createDataFrame([(f"c{i}", 10 + i) for i in range(4)], "clip_id string, idx long")
+    steps = [
+        Step(augment.rotate_vertical, 0.7, {"angle": lambda d: d.uniform(-2, 2), "up_axis": "+y"}),
+        Step(augment.speed, 0.6, {"factor": lambda d: d.uniform(0.5, 1.5)}),
+        Step(augment.root_noise, 0.5, {"sigma": 0.3, "centering": "world"}),
+        Step(augment.mirror, 0.9, {"lateral_axis": "+x", "lr_joint_pairs": []}),
+        Step(augment.joint_position_noise, 0.8, {"sigma": lambda d: d.uniform(0.1, 0.2)}),
+        Step(augment.dropout, 0.5, {"rate": 0.4}),
+    ]
+    got = Pipeline(steps).apply(f, 7, 3, "world", generators=who)
+    fired = set()
+    for c, (clip, (root, pos)) in enumerate(kept.items()):
+        rng = generator(7, 3, 10 + c)
+        both = np.concatenate([root[:, None], pos], 1)
+
+        def lerped(x, at):
+            low = np.minimum(np.floor(at).astype(int), max(0, len(x) - 2))
+            high = np.minimum(low + 1, len(x) - 1)
+            a = (at - low)[:, None, None]
+            return (1 - a) * x[low] + a * x[high]
+
+        for k, s in enumerate(steps):
+            if not rng.random() < s.prob:
+                continue
+            fired.add(k)
+            n = len(both)
+            if k == 0:
+                a = rng.uniform(-2, 2)
+                both = both @ np.array([[math.cos(a), 0, math.sin(a)], [0, 1, 0], [-math.sin(a), 0, math.cos(a)]]).T
+            elif k == 1:
+                factor = rng.uniform(0.5, 1.5)
+                if n > 1:
+                    both = lerped(both, np.linspace(0, n - 1, max(2, round(n / factor))))
+            elif k == 2:
+                both = both + 0.3 * rng.normal(size=(n, 3))[:, None]
+            elif k == 3:
+                both = both * [-1, 1, 1]
+            elif k == 4:
+                sigma = rng.uniform(0.1, 0.2)
+                both = np.concatenate([both[:, :1], both[:, 1:] + sigma * rng.normal(size=(n, 4, 3))], 1)
+            elif n > 1:
+                keep = rng.random(n) >= 0.4
+                keep[[0, -1]] = True
+                at = np.flatnonzero(keep)
+                both = np.stack([np.stack([np.interp(np.arange(n), at, both[at, v, i]) for i in range(3)], -1) for v in range(5)], 1)
+        own = rows_of(got, clip)
+        np.testing.assert_allclose(np.concatenate([own["root_pos"][:, None], own["joint_pos"]], 1), both, atol=1e-9, err_msg=clip)
+    assert fired == set(range(6))
+    with pytest.raises(ValueError):
+        Pipeline(steps).apply(f, None, 3, "world", generators=who)
+
+
+def test_rotation_noise_takes_the_numbers_of_generators(spark):
+    f = frames(spark, (6, 4))
+    who = f.select("clip_id").distinct().withColumn("idx", F.substring("clip_id", 2, 9).cast("long"))
+    got = Pipeline([Step(augment.rotation_noise, 1.0, {"sigma": 0.3})], representation="quat").apply(f, 5, 0, generators=who)
+    for c, n in enumerate((6, 4)):
+        rng = generator(5, 0, c)
+        rng.random()
+        axis, angle = rng.normal(size=(n, 4, 3)), rng.normal(size=(n, 4)) * 0.3 / 2
+        axis /= np.linalg.norm(axis, axis=-1, keepdims=True)
+        noise = np.concatenate([np.cos(angle)[..., None], np.sin(angle)[..., None] * axis], -1)
+        source = rows_of(f, f"c{c}")["joint_rot"]
+        np.testing.assert_allclose(A.quat_to_matrix(rows_of(got, f"c{c}")["joint_rot"]), A.quat_to_matrix(noise) @ A.quat_to_matrix(source), atol=1e-9)
+    items = feed.MotionFeed(f, augmentation=Pipeline([Step(augment.rotation_noise, 1.0, {"sigma": 0.3})], representation="quat"), seed=5, generators=who, streams=["joint_rot"]).items()
+    np.testing.assert_allclose(np.array({r.clip_id: r.data for r in items.collect()}["c1"]).reshape(4, 4, 4), rows_of(got, "c1")["joint_rot"], atol=1e-6)
+
+
 def test_feed_orders_and_refusals(spark):
     f = frames(spark)
     for how in ({"layout": "cube"}, {"temporal": "stretch"}, {"temporal": "crop"}, {"streams": ["joint_vel"]}, {"source_repr": "quat"}, {"source_repr": "quat", "target_repr": "euler"}):
