@@ -201,7 +201,7 @@ def temporal_indices(clips: DataFrame, length: int, mode: str = "train", draw: C
         raise ValueError("a clip length is at least 1")
     if mode not in ("train", "test"):
         raise ValueError("mode is train or test")
-    draw = draw or (lambda i: unit_hash(F.lit("sample" if mode == "train" else "test"), F.col("clip_id") if mode == "train" else F.lit(0), i))
+    draw = draw or (lambda i: unit_hash(F.lit("sample"), F.col("clip_id"), i) if mode == "train" else portable_hash(F.lit("test"), i))
     start_draw = start_draw if start_draw is not None else draw(F.lit(-1))
     n, size = F.col("n_frames"), F.lit(length)
     i = F.sequence(F.lit(0), F.lit(length - 1))

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from kinetra import schema
 from kinetra import views as V
 from kinetra.functions import rotations as R
-from kinetra.operators import audit, augment, harmonize, packing, skeleton, stats, temporal
+from kinetra.operators import audit, augment, clips, harmonize, packing, skeleton, stats, temporal
 from kinetra.plans import build
 from kinetra.plans.draws import Draws, exact_draws
 from kinetra.plans.feed import MotionFeed, collate
-from kinetra.plans.pipeline import Pipeline, Step
+from kinetra.plans.pipeline import Pipeline, Step, handles_streams
 from kinetra.sources import bvh
 from kinetra.views import EMB, EV, r6
 
@@ -169,6 +169,35 @@ def temporal_sample(spark, d):
     return cells(temporal.sample_frames(f, picks), "root_pos")
 
 
+def _test_sql(length: int) -> str:
+    u = lambda i: f"(('0x' || substr(md5('test:' || ({i})), 1, 13))::UBIGINT::DOUBLE / {1 << 52}.0)"
+    seg = lambda i: f"(({i}) * n // {length})"
+    return f"""g AS (SELECT clip_id, n, unnest(range({length})) AS i FROM n), gp AS (SELECT clip_id, n, k, row_number() OVER (PARTITION BY clip_id ORDER BY {u('k')}, k) AS place FROM (SELECT clip_id, n, unnest(range({length} + 1)) AS k FROM n)),
+      ix AS (SELECT clip_id, i::INT AS i, n, CASE WHEN n < {length} THEN i WHEN n < {2 * length} THEN i + (SELECT count(*) FROM gp WHERE gp.clip_id = g.clip_id AND gp.place <= gp.n - {length} AND gp.k <= g.i)
+        ELSE {seg('i')} + floor({u('i')} * ({seg('i + 1')} - {seg('i')}))::BIGINT END AS idx FROM g)"""
+
+
+@query(f"WITH {EV}, {_test_sql(20)} SELECT clip_id, i, idx::BIGINT AS idx FROM ix")
+def temporal_indices_test(spark, d):
+    """The same frames in every call, clip by clip alike."""
+    return temporal.temporal_indices(temporal.frame_counts(V.ev_frames(spark, d)), 20, "test")
+
+
+@query(f"WITH {EV}, {_test_sql(70)} SELECT ix.clip_id, i AS t, 70 AS length, c::INT AS c, round(root_pos[c + 1], 6) + 0.0 AS value FROM ix JOIN ev ON ev.clip_id = ix.clip_id AND ev.t = ix.idx % ix.n, range(3) r(c)")
+def temporal_deterministic(spark, d):
+    return cells(temporal.apply_temporal(V.ev_frames(spark, d), 70, "resample_deterministic"), "root_pos", "t", "length")
+
+
+@query(f"WITH {EV} SELECT ev.clip_id, t, n AS length, c::INT AS c, round(root_pos[c + 1], 6) + 0.0 AS value FROM ev JOIN n USING (clip_id), range(3) r(c)")
+def temporal_as_is(spark, d):
+    return cells(temporal.apply_temporal(V.ev_frames(spark, d), None), "root_pos", "t", "length")
+
+
+@query(_length_sql(60, "CASE WHEN n > 60 THEN (n - 60) // 2 ELSE 0 END", 0.0))
+def temporal_crop(spark, d):
+    return cells(temporal.apply_temporal(V.ev_frames(spark, d), 60, "crop"), "root_pos", "t", "length")
+
+
 # ---- packing ----------------------------------------------------------------------------------
 
 _FLAT = f"{EMB}, fl AS (SELECT clip_id, t, (c::INT) AS c, e[c + 1] AS value FROM e, range(3) r(c) UNION ALL SELECT clip_id, t, (3 + 4 * j + c)::INT, [w, x, y, z][c + 1] FROM q, range(4) r(c))"
@@ -230,6 +259,23 @@ def describe_layouts(spark, d):
     return spark.createDataFrame(rows, "kind string, block string, low int, high int")
 
 
+@query(f"WITH {_FLAT}, o AS (SELECT clip_id, e[1] AS a, e[2] AS b, e[3] AS c FROM e WHERE t = 0) SELECT clip_id, t, fl.c, round(value - CASE fl.c WHEN 0 THEN a WHEN 1 THEN b WHEN 2 THEN o.c ELSE 0 END, 6) + 0.0 AS value FROM fl JOIN o USING (clip_id)")
+def pack_centered(spark, d):
+    """Clips are centred while they are packed."""
+    df = packing.pack_flat(V.emb_frames(spark, d), centering=None, center=True)
+    return df.select("clip_id", "t", F.posexplode("data").alias("c", "value")).withColumn("value", r6(F.col("value")))
+
+
+@query(f"""WITH {EMB}, o AS (SELECT clip_id, e[1] AS a, e[2] AS b, e[3] AS c FROM e WHERE t = 0), m AS (SELECT p.clip_id, t, j, x - a AS x, y - b AS y, z - c AS z FROM p JOIN o USING (clip_id)),
+  dv AS (SELECT clip_id, t, j, CASE WHEN t = 0 THEN 0.0 ELSE x - lag(x) OVER w END AS x, CASE WHEN t = 0 THEN 0.0 ELSE y - lag(y) OVER w END AS y, CASE WHEN t = 0 THEN 0.0 ELSE z - lag(z) OVER w END AS z FROM m WINDOW w AS (PARTITION BY clip_id, j ORDER BY t))
+  SELECT 'joint_pos' AS stream, * FROM ({vertex_sql('m', ['x', 'y', 'z'])}) UNION ALL SELECT 'joint_vel', * FROM ({vertex_sql('dv', ['x', 'y', 'z'])})""")
+def materialize_streams(spark, d):
+    """Streams as they are packed: centred, then derived."""
+    out = temporal.materialize(V.emb_frames(spark, d, False, True), ["root_pos", "joint_pos", "joint_vel"], "world", True)
+    one = lambda s: cells(out, s).select(F.lit(s).alias("stream"), "clip_id", "t", "v", "c", "value")
+    return one("joint_pos").unionByName(one("joint_vel"))
+
+
 # ---- statistics -------------------------------------------------------------------------------
 
 _STATS = "SELECT c AS dim, round(avg(value), 6) + 0.0 AS mean, round(CASE WHEN stddev_pop(value) < 1e-8 THEN 1.0 ELSE stddev_pop(value) END, 6) + 0.0 AS std, stddev_pop(value) < 1e-8 AS constant FROM fl GROUP BY c"
@@ -267,6 +313,16 @@ def denormalize(spark, d):
     return df.select("clip_id", "t", F.posexplode("data").alias("c", "value")).withColumn("value", r6(F.col("value")))
 
 
+@query(f"WITH {EMB}, fl AS (SELECT (4 * j + c)::INT AS c, [w, x, y, z][c + 1] AS value FROM q, range(4) r(c)) {_STATS}")
+def norm_stats_without_root(spark, d):
+    return _rounded(stats.normalization_stats(V.emb_frames(spark, d), include_root=False))
+
+
+@query(f"WITH {EMB}, o AS (SELECT clip_id, e[1] AS a, e[2] AS b, e[3] AS c FROM e WHERE t = 0), fl AS (SELECT r.c::INT AS c, e[r.c + 1] - [a, b, o.c][r.c + 1] AS value FROM e JOIN o USING (clip_id), range(3) r(c) UNION ALL SELECT (3 + 4 * j + c)::INT, [w, x, y, z][c + 1] FROM q, range(4) r(c)) {_STATS}")
+def norm_stats_centered(spark, d):
+    return _rounded(stats.normalization_stats(V.emb_frames(spark, d), center=True))
+
+
 # ---- audits -----------------------------------------------------------------------------------
 
 _DIST = f"""{V.CLIPS}, vals AS (SELECT clip_id, 'world_up' AS axis, coalesce(world_up, 'unknown') AS value FROM clips UNION ALL SELECT clip_id, 'rest_forward', coalesce(rest_forward, 'unknown') FROM clips
@@ -582,6 +638,43 @@ def convert_quat_euler(spark, d):
     return _converted(spark, d, "quat", "euler", "ZYX")
 
 
+@query(f"WITH {EMB}, pr AS (SELECT a.clip_id, a.t, a.j, {{'w': a.w, 'x': a.x, 'y': a.y, 'z': a.z}} AS a, {{'w': b.w, 'x': b.x, 'y': b.y, 'z': b.z}} AS q FROM q a JOIN q b ON a.clip_id = b.clip_id AND a.t = b.t AND b.j = 15 - a.j), m AS (SELECT clip_id, t, j, {_QMUL} FROM pr) {vertex_sql('m', ['w', 'x', 'y', 'z'])}")
+def quat_products(spark, d):
+    f = V.emb_frames(spark, d)
+    return cells(f.withColumn("joint_rot", F.transform("joint_rot", lambda x, j: R.quat_multiply(x, F.col("joint_rot")[15 - j]))), "joint_rot")
+
+
+@query(f"WITH {EMB} {vertex_sql('q', _MATRIX)}")
+def convert_6d_rotmat(spark, d):
+    return _converted(spark, d, "6d", "rotmat")
+
+
+@query(f"WITH {EMB}, m AS (SELECT *, {_POSITIVE} AS g, sqrt(x * x + y * y + z * z) AS s FROM q) {vertex_sql('m', [f'g * {k} * 2 * atan2(s, abs(w)) / s' for k in 'xyz'])}")
+def convert_rotmat_axisangle(spark, d):
+    return _converted(spark, d, "rotmat", "axisangle")
+
+
+@query(f"WITH {EMB} SELECT clip_id, t, (CASE j WHEN 2 THEN 0 WHEN 5 THEN 1 ELSE 2 END) AS v, c::INT AS c, round([x, y, z][c + 1], 6) + 0.0 AS value FROM p, range(3) r(c) WHERE j IN (2, 5, 20)")
+def joints_of_nodes(spark, d):
+    """The joints' part of a node stream, wherever end sites stand."""
+    top = skeleton.Topology([[0.0, 0.0, 0.0]] * 21, [-1, *range(20)], [{2: 0, 5: 1, 20: 2}.get(i, -1) for i in range(21)], ["ZYX"] * 3)
+    f = V.emb_frames(spark, d, False, True)
+    return cells(f.withColumn("joint_pos", clips.joints_of_nodes(F.col("joint_pos"), top)), "joint_pos")
+
+
+@query("SELECT NULL::BIGINT AS clip_id, NULL::VARCHAR AS what WHERE false UNION ALL SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 't is not 0, 1, 2, ...' ELSE 'root_pos has not three numbers' END FROM events WHERE user_id % 3 < 2 GROUP BY user_id")
+def broken_clips(spark, d):
+    """A third of the clips lacks its first frame, another has roots of two numbers."""
+    f = V.ev_frames(spark, d).where((F.col("clip_id") % 3 != 0) | (F.col("t") > 0))
+    return clips.violations(f.withColumn("root_pos", F.when(F.col("clip_id") % 3 == 1, F.slice("root_pos", 1, 2)).otherwise(F.col("root_pos"))))
+
+
+@query(f"WITH {EMB}, m AS (SELECT clip_id, t, j, 0.0 AS x, 2 * y AS y, z FROM p) {vertex_sql('m', ['x', 'y', 'z'])}")
+def replaced_stream(spark, d):
+    f = V.emb_frames(spark, d, False, True)
+    return cells(clips.replace(f, joint_pos=F.transform("joint_pos", lambda p: F.array(F.lit(0.0), 2 * p[1], p[2]))), "joint_pos")
+
+
 # ---- harmonising ------------------------------------------------------------------------------
 
 _UP = "CASE clip_id % 3 WHEN 0 THEN '+y' WHEN 1 THEN '+z' ELSE '-x' END"
@@ -702,6 +795,60 @@ def build_mixed_fps(spark, d):
     return cells(build.clip_streams(_mixed(spark, d), "quat", top=_two_joints(), velocities=True), "velocities")
 
 
+_6D_MIXED = [x.format(q="mq") for x in (_ROT[i][k] for k in range(2) for i in range(3))]
+
+
+@query(f"WITH {_mixed_sql()} {vertex_sql('mq', _6D_MIXED)}")
+def build_mixed_6d(spark, d):
+    return cells(build.clip_streams(_mixed(spark, d), "6d"), "joint_rot")
+
+
+def _tip_sql() -> str:
+    """Node positions of the mixed clips, the end site too: the chest, and the chest's own up from there."""
+    a = {k: f"a.{k}" for k in "wxyz"}
+    chest = _qmul_sql([a[k] for k in "wxyz"], [f"b.{k}" for k in "wxyz"])
+    up = ["2 * (x * y - w * z)", "1 - 2 * (x * x + z * z)", "2 * (y * z + w * x)"]
+    both = f"ch AS (SELECT a.clip_id, a.t, {', '.join(f'{c} AS {k}' for c, k in zip(chest, 'wxyz'))}, p.x AS px, p.y AS py, p.z AS pz FROM mq a JOIN mq b ON a.clip_id = b.clip_id AND a.t = b.t AND a.j = 0 AND b.j = 1 JOIN mp p ON p.clip_id = a.clip_id AND p.t = a.t AND p.j = 1)"
+    return f"{_mixed_sql()}, {both}, nd AS (SELECT clip_id, t, j, x, y, z FROM mp UNION ALL SELECT clip_id, t, 2, " + ", ".join(f"p{c} + {u} AS {c}" for u, c in zip(up, "xyz")) + " FROM ch)"
+
+
+@query(f"WITH {_tip_sql()} {vertex_sql('nd', ['x', 'y', 'z'])}")
+def build_node_positions(spark, d):
+    return cells(build.clip_streams(_mixed(spark, d), "quat", top=_two_joints(), positions=["node"]), "node_pos")
+
+
+@query(f"WITH {_mixed_sql()}, o AS (SELECT clip_id, x AS a, z AS c FROM mp WHERE t = 0 AND j = 0), m AS (SELECT clip_id, t, j, x - a AS x, y, z - c AS z FROM mp JOIN o USING (clip_id)) {vertex_sql('m', ['x', 'y', 'z'])}")
+def build_first_centered(spark, d):
+    """Positions centred on the first frame in the two axes that are not up."""
+    return cells(build.clip_streams(_mixed(spark, d), "quat", top=_two_joints(), positions=["joint"], centering="first"), "joint_pos")
+
+
+@query(f"WITH {_mixed_sql()}, r AS (SELECT * FROM mp WHERE j = 0), m AS (SELECT mp.clip_id, mp.t, mp.j, mp.x - r.x AS x, mp.y - r.y AS y, mp.z - r.z AS z FROM mp JOIN r USING (clip_id, t)) {vertex_sql('m', ['x', 'y', 'z'])}")
+def build_skeleton_centered(spark, d):
+    return cells(build.clip_streams(_mixed(spark, d), "quat", top=_two_joints(), positions=["joint"], centering="skeleton"), "joint_pos")
+
+
+@query(f"WITH {_mixed_sql()}, m AS (SELECT clip_id, t, j, x, z AS y, -y AS z FROM mp) {vertex_sql('m', ['x', 'y', 'z'])}")
+def build_world_up(spark, d):
+    """Clips whose world up is +z, brought to +y: roots, root rotations, and so all positions turn."""
+    files = _mixed(spark, d).withColumn("world_up", F.lit("+z"))
+    return cells(build.clip_streams(files, "quat", targets={"world_up": "+y"}, top=_two_joints(), positions=["joint"]), "joint_pos")
+
+
+@query(f"WITH {_mixed_sql()} {vertex_sql('mp', ['x', 'y', 'z'])}")
+def build_rest_up(spark, d):
+    """The rest pose is turned to +z, bones and rotations alike: no joint moves in space."""
+    bones = harmonize.turn_offsets(F.col("offsets"), F.col("rest_up"), "+z")
+    return cells(build.clip_streams(_mixed(spark, d), "quat", targets={"rest_up": "+z"}, top=_two_joints(), bones=bones, positions=["joint"]), "joint_pos")
+
+
+@query(f"WITH {EV} SELECT 'resample' AS stage, count(*) AS n FROM n WHERE clip_id % 2 = 1 UNION ALL SELECT 'rest_up', count(*) FROM n UNION ALL SELECT 'euler_order', count(*) FROM n")
+def build_stages(spark, d):
+    """How many clips each stage of harmonising changes."""
+    facts = _mixed(spark, d).withColumn("fps", audit.fps_key(F.col("frame_time")))
+    return audit.stage_counts(build.stages_of(facts, {"fps": 20.0, "world_up": "+y", "rest_up": "+z", "euler_order": "XYZ"}, False))
+
+
 # ---- pipelines and feeds ----------------------------------------------------------------------
 
 
@@ -817,6 +964,21 @@ def epoch_items(spark, d):
     return items.select("clip_id", "length", "c", "t", F.posexplode("_x").alias("v", "x")).select("clip_id", "length", "c", "t", "v", (F.round(F.col("x").cast("double"), 4) + F.lit(0.0)).alias("value"))
 
 
+@query(f"WITH {EV}, o AS (SELECT clip_id, {_unit_sql(4, 2, -1, "'order'")} AS u FROM n) SELECT clip_id, floor((row_number() OVER (ORDER BY u, clip_id) - 1) / 8)::BIGINT AS batch_id FROM o")
+def epoch_batches(spark, d):
+    """Batches of eight clips in the order of an epoch."""
+    feed = MotionFeed(V.ev_frames(spark, d), streams=["root_pos"], seed=4, portable=True)
+    return feed.shuffled(2, 8).select("clip_id", "batch_id")
+
+
+@query(f"WITH {EV}, dr AS (SELECT clip_id, {_unit_sql(9, 0, 0, "'gate'")} < 0.6 AS go, {_unit_sql(9, 0, 1, "'gate'")} < 0.5 AS two, {_between(_unit_sql(9, 0, 0, "'angle'"), -1.0, 1.0)} AS a FROM n), m AS (SELECT ev.clip_id, t, [CASE WHEN go THEN cos(a) * root_pos[1] + sin(a) * root_pos[3] ELSE root_pos[1] END, root_pos[2], CASE WHEN go THEN -sin(a) * root_pos[1] + cos(a) * root_pos[3] ELSE root_pos[3] END] AS r, two FROM ev JOIN dr USING (clip_id)), k AS (SELECT clip_id, t, CASE WHEN two THEN [2 * r[1], 2 * r[2], 2 * r[3]] ELSE r END AS root_pos FROM m) {root_sql('k')}")
+def pipeline_own_step(spark, d):
+    """A drawn turn, then a step of one's own, each behind its gate."""
+    double = handles_streams("root_pos")(lambda f: f.withColumn("root_pos", F.transform("root_pos", lambda x: 2 * x)))
+    steps = [Step(augment.rotate_vertical, 0.6, {"angle": lambda u: u.uniform(-1.0, 1.0, "angle"), "up_axis": "+y"}), Step(double, 0.5)]
+    return cells(Pipeline(steps).apply(V.ev_frames(spark, d), seed=9, portable=True), "root_pos")
+
+
 @query(f"WITH {EV} SELECT clip_id, {_unit_sql(1, 0, 0, "'gate'")} < 0.5 AS gate, round({_between(_unit_sql(1, 0, 0, "'value'"), -1.0, 1.0)}, 6) + 0.0 AS value FROM n")
 def native_uniforms(spark, d):
     draws = Draws(1, 0, 0, portable=True)
