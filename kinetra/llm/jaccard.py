@@ -34,8 +34,8 @@ from kinetra.llm.kernel import U, mix, shingles, slices, words
 from kinetra.llm.scratch import Scratch
 from kinetra.llm.skew import join_groups
 
-#: Tokens that one chunk holds; a task works on two chunks at most.
-TASK_TOKENS = 500_000
+#: Tokens that one chunk holds; a task works on two chunks at most, or on some small components.
+TASK_TOKENS = 100_000
 #: Keys that a task joins among themselves before it sends them on.
 CHUNK_KEYS = 1_000_000
 
@@ -330,7 +330,8 @@ def _whole_sets(docs: DataFrame, reps: DataFrame, k: int, seed: int) -> DataFram
             cols = [batch.column("sid"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["sid", "rep", "n", "tokens"]).filter(pa.array(good))
 
-    picked = docs.join(reps.select("sid", F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "text", "sid")
+    # merged at any size, so that costs grow evenly: the list of sets grows with the input, and is broadcast only while small
+    picked = docs.join(reps.select("sid", F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select("doc_id", "text", "sid")
     return picked.mapInArrow(run, "sid long, rep long, n long, tokens binary")
 
 
@@ -366,7 +367,7 @@ def _chunks(nodes: DataFrame) -> DataFrame:
     """``nodes(sid, n, comp)`` -> ``sid, comp, n, chunk, task``: components of up to ``TASK_TOKENS`` share tasks and
     have no chunk; larger ones are cut into chunks by size, each a task of its own."""
     size = nodes.groupBy("comp").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
-    small_tasks = max(1, -(-(size.where(F.col("total") <= TASK_TOKENS).agg(F.sum("total")).first()[0] or 0) // TASK_TOKENS)) * 4
+    small_tasks = max(1, -(-(size.where(F.col("total") <= TASK_TOKENS).agg(F.sum("total")).first()[0] or 0) // TASK_TOKENS)) * 2
     nodes = join_groups(nodes, size, ["comp"], "members", nodes.count(), ["sid"])
     shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(small_tasks)).cast("string"))
     small = nodes.where(F.col("total") <= TASK_TOKENS).select("sid", "comp", "n", F.lit(None).cast("int").alias("chunk"), shared.alias("task"))
@@ -381,7 +382,8 @@ def _chunks(nodes: DataFrame) -> DataFrame:
 
 
 def _links(sets: DataFrame, placed: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """``u, v``: links found by the tasks of ``placed(sid, comp, chunk, part, task)``; two chunks of a task are two sides."""
+    """``u, v``: links found by the tasks of ``placed(sid, comp, chunk, part, task)``; two chunks of a task are two sides.
+    Sets without a task are left out."""
 
     def join(group: pa.Table) -> pa.Table:
         sid, comp, part = (group[c].to_numpy() for c in ("sid", "comp", "part"))
@@ -406,26 +408,37 @@ def _links(sets: DataFrame, placed: DataFrame, percent: int, forest: bool) -> Da
 def _all_links(sets: DataFrame, nodes: DataFrame, percent: int, scratch: Scratch, forest: bool = True) -> DataFrame:
     """Links within the components of ``nodes(sid, n, comp)``: a spanning forest, or all."""
     placed = scratch.table(_chunks(nodes))
-    links = scratch.table(_links(sets, placed.withColumn("part", F.col("sid")), percent, forest))
+    placed = placed.withColumn("part", F.col("sid"))
+    links = scratch.table(_links(sets, placed.hint("merge"), percent, forest))
     big = placed.where("chunk is not null")
     if big.isEmpty():
         return links
-    near, far = F.col("j") == F.col("i") + 1, F.col("j") > F.col("i") + 1
-    for which in (near, far):
-        parts = components(links, scratch) if forest else links.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
-        known = scratch.table(big.join(parts, F.col("sid") == F.col("node"), "left").select("sid", "comp", "n", "chunk", F.coalesce("root", "sid").alias("part")))
-        node = known.groupBy("comp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("p"), F.max("part").alias("q"))
-        a, b = (node.select("comp", *(F.col(c).alias(f"{c}{x}") for c in ("low", "high", "p", "q")), F.col("chunk").alias(x)) for x in "ij")
-        linked_already = (F.col("pi") == F.col("qi")) & (F.col("pj") == F.col("qj")) & (F.col("pi") == F.col("pj"))
-        pairs = scratch.table(a.join(b, "comp").where(which & (F.col("highi") * 100 >= F.col("lowj") * percent) & (~linked_already if forest else F.lit(True))).select("comp", "i", "j"))
+    for far in (False, True):
+        known = big
+        if forest and far:
+            if _chunk_pairs(big, percent, far).isEmpty():  # no component has three chunks of sizes that meet
+                break
+            parts = components(links, scratch)  # most of a group of near copies is one part by now
+            known = scratch.table(big.drop("part").join(parts, F.col("sid") == F.col("node"), "left").select("sid", "comp", "n", "chunk", F.coalesce("root", "sid").alias("part")))
+        pairs = scratch.table(_chunk_pairs(known, percent, far))
         if pairs.isEmpty():
             continue
         chunk_tasks = pairs.select("comp", F.explode(F.array("i", "j")).alias("chunk"), F.concat_ws("-", F.lit("p"), "comp", "i", "j").alias("task"))
-        new = _links(sets, known.join(chunk_tasks, ["comp", "chunk"]), percent, forest)
+        new = _links(sets, known.drop("task").join(chunk_tasks, ["comp", "chunk"]), percent, forest)
         links = scratch.table(links.unionByName(new))
     return links
 
 
+def _chunk_pairs(known: DataFrame, percent: int, far: bool) -> DataFrame:
+    """``comp, i, j``: pairs of chunks of ``known(comp, chunk, n, part)``, neighbours or, with ``far``, others, whose size
+    ranges let them link and which are not one linked part."""
+    node = known.groupBy("comp", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("p"), F.max("part").alias("q"))
+    a, b = (node.select("comp", *(F.col(c).alias(f"{c}{x}") for c in ("low", "high", "p", "q")), F.col("chunk").alias(x)) for x in "ij")
+    which = F.col("j") > F.col("i") + 1 if far else F.col("j") == F.col("i") + 1
+    one_part = (F.col("pi") == F.col("qi")) & (F.col("pj") == F.col("qj")) & (F.col("pi") == F.col("pj"))
+    return a.join(b, "comp").where(which & (F.col("highi") * 100 >= F.col("lowj") * percent) & ~one_part).select("comp", "i", "j")
+
+
 def _candidates(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``profiles(doc_id, n, sid)``, ``reps(sid, rep, n, copies)``, ``sets(sid, rep, n, tokens)``, ``nodes(sid, n, comp)``."""
     docs = docs.select("doc_id", "text")

@@ -64,7 +64,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 @contextmanager
 def shuffles_end_here(spark: SparkSession):
     """While a table is written, whose plan is not run again, its shuffle files go with the execution."""
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         yield
