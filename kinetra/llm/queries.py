@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinetra.llm import avi, chat, exactdedup, jaccard, linededup, mixing, packing, quality, toxicity, warc
+from kinetra.llm import avi, chat, divergence, exactdedup, jaccard, linededup, mixing, packing, quality, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_tokens": tokencount.op12_tokens,
 }
 SQL = {
     "op2_jaccard": jaccard.OP2_SQL,
@@ -23,4 +25,5 @@ SQL = {
     "op8_exact_dedup": exactdedup.OP8_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
 }
