@@ -230,9 +230,9 @@ def apart(a, b, width: int) -> Iterator[np.ndarray]:
         yield out - len(ordered) * np.abs(d - rest[k])
 
 
-def _block(table: pa.Table) -> pa.Table:
-    """Corrections ``lang, s, o, value`` of one block of terms between two blocks of sources; a row without a term names a
-    source of the blocks."""
+def _block(table: pa.Table, per: int) -> pa.Table:
+    """Corrections ``lang, s, o, value`` of one block of terms between two blocks of ``per`` sources; a row without a term names
+    a source of the blocks."""
     table = table.combine_chunks()
     sid, rest = table.column("sid").to_numpy(), table.column("rest").to_numpy()
     real = table.column("term").is_valid().to_numpy()
@@ -241,9 +241,9 @@ def _block(table: pa.Table) -> pa.Table:
     first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
 
     def matrix(side: int):
-        ids, at = np.unique(np.where(real | (sid // BLOCK_SOURCES != side), -1, sid), return_index=True)
+        ids, at = np.unique(np.where(real | (sid // per != side), -1, sid), return_index=True)
         ids, at = ids[ids >= 0], at[ids >= 0]
-        own = np.flatnonzero(counts[0] // BLOCK_SOURCES == side)
+        own = np.flatnonzero(counts[0] // per == side)
         own = own[np.argsort(counts[0][own], kind="stable")]
         pointer = np.append(np.searchsorted(counts[0][own], ids), len(own))
         return ids, (pointer, counts[1][own], counts[2][own], rest[at])
@@ -257,7 +257,7 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table([lang, pa.array(s, pa.int64()), pa.array(o, pa.int64()), pa.array(value, pa.int64())], names=["lang", "s", "o", "value"])
 
 
-def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block_counts: int = BLOCK_COUNTS, block_sources: int = BLOCK_SOURCES) -> DataFrame:
     """``lang, source, part, item, value, rank`` of ``docs(text, lang, source, ...)``.
 
     Part ``pair``: the sum of differences of word shares from each other source of the language; part ``term``: the ``top``
@@ -280,7 +280,7 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Da
     groups = groups.na.fill(0, ["own_total", "own_terms", "all_total", "v"])
     groups = groups.withColumn("whole", F.greatest(F.expr(f"own_total + {PRIOR} * v"), F.lit(1))).withColumn("all_whole", F.greatest(F.expr(f"all_total + {PRIOR} * v"), F.lit(1)))
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    blocks = F.greatest(F.lit(1), F.ceil(F.sum("own_terms").over(Window.partitionBy("lang")) / BLOCK_COUNTS))
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum("own_terms").over(Window.partitionBy("lang")) / block_counts))
     groups = scratch.table(groups.select("*", number.cast("long").alias("sid"), F.count("*").over(Window.partitionBy("lang")).alias("n_sources"), blocks.cast("long").alias("blocks"), share(str(PRIOR) + "L", "whole").alias("rest")))
     total = groups.agg(F.sum("own_terms")).first()[0] or 0
     known = join_groups(kept, groups, ["lang", "source"], "own_terms", total, ["term"])
@@ -292,14 +292,14 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Da
     over = over.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
 
     # blocks of terms and, within them, of sources against sources
-    last = F.expr(f"(n_sources - 1) div {BLOCK_SOURCES}")
-    side = F.expr(f"sid div {BLOCK_SOURCES}")
+    last = F.expr(f"(n_sources - 1) div {block_sources}")
+    side = F.expr(f"sid div {block_sources}")
     sides = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda other: F.named_struct(F.lit("i"), F.least(side, other), F.lit("j"), F.greatest(side, other)))
     cells = known.select("lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "sid", "rest", "term", "p", F.explode(sides).alias("_s"))
     stubs = groups.where("v > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "sid", "rest", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p"), sides.alias("_s"))
     stubs = stubs.select("lang", "block", "sid", "rest", "term", "p", F.explode("_s").alias("_s"))
     cells = cells.unionByName(stubs).select("lang", "block", "_s.i", "_s.j", "sid", "rest", "term", "p")
-    made = cells.groupBy("lang", "block", "i", "j").applyInArrow(_block, "lang string, s long, o long, value long")
+    made = cells.groupBy("lang", "block", "i", "j").applyInArrow(lambda table: _block(table, block_sources), "lang string, s long, o long, value long")
     corrections = made.where("s <> o").groupBy("lang", "s", "o").agg(F.sum("value").alias("more"))
     one = groups.select("lang", "source", F.col("sid").alias("s"), F.col("rest").alias("rest_s"), "v")
     two = groups.select("lang", F.col("source").alias("item"), F.col("sid").alias("o"), F.col("rest").alias("rest_o"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinetra.llm import avi, chat, divergence, exactdedup, jaccard, linededup, mixing, packing, quality, tokencount, toxicity, warc
+from kinetra.llm import avi, chat, divergence, exactdedup, jaccard, linededup, merkle, mixing, packing, quality, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_divergence": divergence.op11_divergence,
     "op12_tokens": tokencount.op12_tokens,
+    "op13_merkle": merkle.op13_merkle,
 }
 SQL = {
     "op2_jaccard": jaccard.OP2_SQL,
@@ -26,4 +27,5 @@ SQL = {
     "op9_line_dedup": linededup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
     "op11_divergence": divergence.OP11_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
