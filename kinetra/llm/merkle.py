@@ -151,16 +151,16 @@ class Forest:
         own = F.sum("n").over(Window.partitionBy("tree", "pid").orderBy("sub")) - F.col("n")
         blocks = sizes.select("*", own.alias("own")).join(by_range, ["tree", "pid"])
         self.blocks = scratch.table(blocks.select("tree", "pid", "sub", (F.col("before") + F.col("own")).alias("first"), "n", "total"))
-        self._merge(ranges)
+        self._merge()
 
-    def _merge(self, ranges: int) -> None:
+    def _merge(self) -> None:
         """Peaks of blocks, then of ranges, then of ever more ranges, until each tree has its root."""
         fanout = self.fanout
         climbed = self.scratch.table(self._with_blocks(self.ordered.select("tree", "pid", "sub", "place", "digest"), _first_climb(fanout), _NODE))
         known, shift = [climbed], -1
         while True:
             going = known[-1].where("peak and pow({0}, level) < total".format(fanout))
-            if shift >= 0 and ranges >> shift == 0 or going.isEmpty():
+            if going.isEmpty():
                 break
             shift = 0 if shift < 0 else shift + MERGE_BITS
             keyed = going.withColumn("pid", F.shiftright("pid", MERGE_BITS) if shift else F.col("pid")).withColumn("sub", F.lit(0))
