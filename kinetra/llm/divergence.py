@@ -26,8 +26,9 @@ MIN_DOCS, PRIOR, WHOLE = 30, 5, 1_000_000_000
 TOP = 50
 #: Bytes of text that are tokenised at once.
 WINDOW = 4 << 20
-#: A block of the matrix has about so many counts, of so many sources against as many.
-BLOCK_COUNTS, BLOCK_SOURCES = 1 << 18, 256
+#: A block of the matrix has about so many counts (or as many as pairs of its sources, if these are more), of so many
+#: sources against as many.
+BLOCK_COUNTS, BLOCK_SOURCES = 1 << 14, 256
 
 #: Bytes between terms: all below 0x80 but letters.
 BETWEEN = np.ones(256, bool)
@@ -280,8 +281,10 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block
     groups = groups.na.fill(0, ["own_total", "own_terms", "all_total", "v"])
     groups = groups.withColumn("whole", F.greatest(F.expr(f"own_total + {PRIOR} * v"), F.lit(1))).withColumn("all_whole", F.greatest(F.expr(f"all_total + {PRIOR} * v"), F.lit(1)))
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    blocks = F.greatest(F.lit(1), F.ceil(F.sum("own_terms").over(Window.partitionBy("lang")) / block_counts))
-    groups = scratch.table(groups.select("*", number.cast("long").alias("sid"), F.count("*").over(Window.partitionBy("lang")).alias("n_sources"), blocks.cast("long").alias("blocks"), share(str(PRIOR) + "L", "whole").alias("rest")))
+    of_lang = Window.partitionBy("lang")
+    per_block = F.greatest(F.lit(block_counts), F.pow(F.least(F.lit(block_sources), F.count("*").over(of_lang)), F.lit(2)))
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum("own_terms").over(of_lang) / per_block))
+    groups = scratch.table(groups.select("*", number.cast("long").alias("sid"), F.count("*").over(of_lang).alias("n_sources"), blocks.cast("long").alias("blocks"), share(str(PRIOR) + "L", "whole").alias("rest")))
     total = groups.agg(F.sum("own_terms")).first()[0] or 0
     known = join_groups(kept, groups, ["lang", "source"], "own_terms", total, ["term"])
     known = known.select("lang", "source", "term", "sid", "rest", "blocks", "n_sources", share(f"n + {PRIOR}", "whole").alias("p"), share(f"all_n + {PRIOR}", "all_whole").alias("q"))
