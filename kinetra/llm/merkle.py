@@ -22,7 +22,7 @@ FANOUT = 3
 #: Leaves of a block at most; ranges are at most so many, and a small dataset is cut into ranges of so many leaves.
 BLOCK, MOST_RANGES, SMALL_RANGE = 1 << 16, 20_000, 1024
 #: Each merge takes the peaks of two to this power of neighbours.
-MERGE_BITS = 6
+MERGE_BITS = 3
 
 Node = tuple[int, int, str]  # level, index, digest
 
