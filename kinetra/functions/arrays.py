@@ -1,8 +1,9 @@
-"""NumPy twins of the rotation expressions, for Arrow batches and for tests."""
+"""NumPy twins of the rotation expressions, for Arrow batches and for tests, and arrays to and from Arrow lists."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from kinetra.schema import check_euler_order
 
@@ -77,3 +78,26 @@ def forward_kinematics(root: np.ndarray, local: np.ndarray, offsets: np.ndarray,
             where[:, i] = where[:, p] + (turn[:, p] @ offsets[..., i, :, None])[..., 0]
             turn[:, i] = turn[:, p] @ own
     return where
+
+
+def as_array(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """list<double> or list<list<double>> of equal lengths -> (F, ...)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    shape, flat = [len(column)], column
+    while pa.types.is_list(flat.type) or pa.types.is_large_list(flat.type):
+        sizes = np.unique(flat.value_lengths().to_numpy(zero_copy_only=False))
+        if len(sizes) > 1 or flat.null_count:
+            raise ValueError("frames of different widths")
+        shape.append(int(sizes[0]) if len(sizes) else 0)
+        flat = flat.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(shape)
+
+
+def as_lists(values: np.ndarray) -> pa.Array:
+    """The reverse of ``as_array``."""
+    out = pa.array(np.ascontiguousarray(values, float).ravel())
+    for depth in range(values.ndim - 1, 0, -1):
+        n = int(np.prod(values.shape[:depth]))
+        out = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * values.shape[depth]), out)
+    return out

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kinetra.functions.rotations import convert_joints
 from kinetra.operators import augment
+from kinetra.plans import clipsteps
 from kinetra.plans.draws import Draws, ExactDraws, steps_draws
 from kinetra.schema import STREAMS, check_drop_rate, check_factor, check_probability, check_sigma, present, require_representation
 
@@ -34,10 +35,14 @@ def handles_streams(*streams: str) -> Callable:
     return mark
 
 
-def stream_support(fn: Callable) -> frozenset | None:
+def _unwrapped(fn: Callable) -> Callable:
     while isinstance(fn, functools.partial):
         fn = fn.func
-    return getattr(fn, _SUPPORT, None)
+    return fn
+
+
+def stream_support(fn: Callable) -> frozenset | None:
+    return getattr(_unwrapped(fn), _SUPPORT, None)
 
 
 def _gated_draw(fn, draws_as: str):
@@ -66,7 +71,7 @@ _RUN = {
 
 @dataclass(frozen=True)
 class Step:
-    """``fn(frames, **kwargs)`` applied to a clip with probability ``prob``. A keyword that is a function of the
+    """``fn(frames, **kwargs)``, or a ``clip_step`` over arrays, applied to a clip with probability ``prob``. A keyword that is a function of the
     step's ``Draws`` is called for the column of its per-clip value."""
 
     fn: Callable
@@ -75,9 +80,7 @@ class Step:
 
     @property
     def name(self) -> str:
-        fn = self.fn
-        while isinstance(fn, functools.partial):
-            fn = fn.func
+        fn = _unwrapped(self.fn)
         return getattr(fn, "__name__", type(fn).__name__)
 
 
@@ -170,6 +173,10 @@ class Pipeline:
                     out = _gated(out, streams, gate, lambda f: known.run(f, draws, **kw))
                 if not self.share:
                     out = to(out, self.told) if self.told else out
+            elif isinstance(base := _unwrapped(s.fn), clipsteps.ClipStep):
+                out = to(out, self.told) if self.told else out
+                kw = {**(s.fn.keywords if isinstance(s.fn, functools.partial) else {}), **kw}
+                out = clipsteps.run(out, base, gate=gate, kwargs=kw, seed=seed, epoch=epoch, number=k)
             else:
                 out = to(out, self.told) if self.told else out
                 out = _gated(out, streams, gate, lambda f: s.fn(f, **kw))

@@ -13,6 +13,7 @@ from kinetra import views as V
 from kinetra.functions import rotations as R
 from kinetra.operators import audit, augment, clips, harmonize, packing, skeleton, stats, temporal
 from kinetra.plans import build
+from kinetra.plans.clipsteps import clip_step
 from kinetra.plans.draws import Draws, exact_draws
 from kinetra.plans.feed import MotionFeed, collate
 from kinetra.plans.pipeline import Pipeline, Step, handles_streams
@@ -979,6 +980,28 @@ def pipeline_own_step(spark, d):
     return cells(Pipeline(steps).apply(V.ev_frames(spark, d), seed=9, portable=True), "root_pos")
 
 
+@clip_step
+def _turned_back(clip, gain):
+    """The path about the middle of its range, enlarged and run backwards."""
+    root = clip["root_pos"]
+    return {"root_pos": (root - (root.min(0) + root.max(0)) / 2)[::-1] * gain}
+
+
+@clip_step
+def _every_second(clip):
+    return {s: v[::2] for s, v in clip.items()}
+
+
+@query(f"""WITH {EV}, dr AS (SELECT clip_id, n, {_unit_sql(11, 1, 0, "'gate'")} < 0.6 AS go, {_between(_unit_sql(11, 1, 0, "'gain'"), 0.5, 2.0)} AS gain, {_unit_sql(11, 1, 1, "'gate'")} < 0.5 AS half FROM n),
+  mid AS (SELECT clip_id, c, (min(root_pos[c + 1]) + max(root_pos[c + 1])) / 2 AS mid FROM ev, range(3) r(c) GROUP BY ALL),
+  m AS (SELECT ev.clip_id, CASE WHEN go THEN n - 1 - t ELSE t END AS t, c, half, CASE WHEN go THEN (root_pos[c + 1] - mid) * gain ELSE root_pos[c + 1] END AS x FROM ev JOIN dr USING (clip_id) JOIN mid USING (clip_id))
+  SELECT clip_id, CASE WHEN half THEN t // 2 ELSE t END::INT AS t, 0 AS v, c::INT AS c, round(x, 6) + 0.0 AS value FROM m WHERE NOT half OR t % 2 = 0""")
+def pipeline_numpy_steps(spark, d):
+    """Two steps on the arrays of a whole clip, each behind its gate: one with a drawn value, one that changes the length."""
+    steps = [Step(_turned_back, 0.6, {"gain": lambda u: u.uniform(0.5, 2.0, "gain")}), Step(_every_second, 0.5)]
+    return cells(Pipeline(steps).apply(V.ev_frames(spark, d), seed=11, epoch=1, portable=True), "root_pos")
+
+
 @query(f"WITH {EV} SELECT clip_id, {_unit_sql(1, 0, 0, "'gate'")} < 0.5 AS gate, round({_between(_unit_sql(1, 0, 0, "'value'"), -1.0, 1.0)}, 6) + 0.0 AS value FROM n")
 def native_uniforms(spark, d):
     draws = Draws(1, 0, 0, portable=True)

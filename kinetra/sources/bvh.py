@@ -7,6 +7,7 @@ Spark reads will do. A file is one row, since its frames are one block of text.
 from __future__ import annotations
 
 import math
+import re
 import warnings
 from collections.abc import Callable
 
@@ -15,16 +16,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetra.functions.arrays import as_lists
+
 SCHEMA = (
     "clip_id string, error string, frame_time double, n_frames int, names array<string>, parents array<int>, joint_idx array<int>, "
     "offsets array<array<double>>, euler_orders array<string>, joint_names array<string>, root array<array<double>>, joints array<array<array<double>>>"
 )
 
 
-def parse(text: str) -> dict:
-    """Hierarchy and motion of one file. Angles become radians, in each joint's own channel order; positions
-    become x, y, z. A broken file raises ValueError."""
-    tokens = text.split()
+#: Where the hierarchy ends: the number of frames and their time.
+_MOTION = re.compile(r"\bMOTION\s+Frames:\s*(\S+)\s+Frame\s+Time:\s*(\S+)")
+
+
+def parse_head(text: str) -> tuple[dict, list[list[str]], int]:
+    """(what a file tells but its motion, each joint's channels, where the numbers begin)."""
+    found = _MOTION.search(text)
+    tokens = (text[: found.start()] + " MOTION" if found else text).split()
     at = 0
 
     def take() -> str:
@@ -75,27 +82,57 @@ def parse(text: str) -> dict:
             raise ValueError(f"unknown word {word}")
     if stack or not names or len(channels) != sum(j >= 0 for j in joint_idx):
         raise ValueError("the hierarchy is not whole")
-    expect("Frames:")
-    frames = int(take())
-    expect("Frame")
-    expect("Time:")
-    step = float(take())
-    width = sum(map(len, channels))
-    values = np.array(tokens[at:], float)
+    if not found:
+        raise ValueError("the file ends early")
+    out = {"frame_time": float(found[2]), "n_frames": int(found[1]), "names": names, "parents": parents, "joint_idx": joint_idx, "offsets": offsets, "euler_orders": orders, "joint_names": [n for n, j in zip(names, joint_idx) if j >= 0]}
+    return out, channels, found.end()
+
+
+def parse_arrays(text: str) -> dict:
+    """Hierarchy and motion of one file, with ``root`` (F, 3) and ``joints`` (F, J, 3) as arrays. Angles become radians, in each
+    joint's own channel order; positions become x, y, z. A broken file raises ValueError."""
+    out, channels, at = parse_head(text)
+    frames, width = out["n_frames"], sum(map(len, channels))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        try:
+            values = np.fromstring(text[at:], float, sep=" ")
+        except (DeprecationWarning, ValueError) as e:
+            raise ValueError("motion holds something that is no number") from e
     if len(values) != frames * width:
         raise ValueError(f"{frames} frames of {width} channels are expected, not {len(values)} numbers")
     values = values.reshape(frames, width)
-    root, joints, col = np.zeros((frames, 3)), [], 0
+    root, joints, col = np.zeros((frames, 3)), np.empty((frames, len(channels), 3)), 0
     for j, own in enumerate(channels):
-        angles = []
+        turn = 0
         for c in own:
             if c.endswith("rotation"):
-                angles.append(values[:, col] * (math.pi / 180))
+                joints[:, j, turn] = values[:, col] * (math.pi / 180)
+                turn += 1
             elif j == 0:
                 root[:, "XYZ".index(c[0])] = values[:, col]
             col += 1
-        joints.append(np.stack(angles, 1))
-    return {"frame_time": step, "n_frames": frames, "names": names, "parents": parents, "joint_idx": joint_idx, "offsets": offsets, "euler_orders": orders, "joint_names": [n for n, j in zip(names, joint_idx) if j >= 0], "root": root.tolist(), "joints": np.stack(joints, 1).tolist()}
+    return out | {"root": root, "joints": joints}
+
+
+def parse(text: str) -> dict:
+    """``parse_arrays`` with plain lists."""
+    return {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in parse_arrays(text).items()}
+
+
+#: Arrow types of a file's columns, without clip_id and error.
+_NUMBERS, _WORDS = pa.list_(pa.float64()), pa.list_(pa.string())
+KINDS = {"frame_time": pa.float64(), "n_frames": pa.int32(), "names": _WORDS, "parents": pa.list_(pa.int32()), "joint_idx": pa.list_(pa.int32()), "offsets": pa.list_(_NUMBERS), "euler_orders": _WORDS, "joint_names": _WORDS, "root": pa.list_(_NUMBERS), "joints": pa.list_(pa.list_(_NUMBERS))}
+
+
+def one_row(clip_id: str, error: str | None, clip: dict, columns: list[str], **more) -> pa.RecordBatch:
+    """A file's row; its frames go to Arrow as they lie in memory."""
+    own = {"clip_id": pa.array([clip_id], pa.string()), "error": pa.array([error], pa.string()), **{k: pa.array([v]) for k, v in more.items()}}
+    for k, kind in KINDS.items():
+        if k in columns and k not in own:
+            v = clip.get(k)
+            own[k] = as_lists(v[None]) if isinstance(v, np.ndarray) else pa.array([v], kind)
+    return pa.RecordBatch.from_arrays([own[c] for c in columns], columns)
 
 
 def write(path: str, clip: dict) -> None:
@@ -125,6 +162,17 @@ def write(path: str, clip: dict) -> None:
         out.write("\n".join(lines) + "\n")
 
 
+def stem_of(name: Column) -> Column:
+    """A file's name without its ending."""
+    return F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*.bvh") -> DataFrame:
+    """``clip_id, path, bytes, modified`` of the files, of which none is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(stem_of(F.element_at(F.split("path", "/"), -1)).alias("clip_id"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+
 def scan(spark: SparkSession, folder: str, pattern: str = "*.bvh", keep: Callable[[Column], Column] | None = None, skip_errors: bool = False) -> DataFrame:
     """One row per file, see ``SCHEMA``; ``clip_id`` is the file's name without its ending.
 
@@ -132,7 +180,7 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.bvh", keep: Callabl
     ``skip_errors``, stays as a row with ``error`` alone (``good`` leaves such rows out).
     """
     listed = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
+    stem = stem_of(F.col("_metadata.file_name"))
     files = listed.select(stem.alias("clip_id"), F.col("value"))
     if keep is not None:
         files = files.where(keep(stem))
@@ -141,24 +189,19 @@ def scan(spark: SparkSession, folder: str, pattern: str = "*.bvh", keep: Callabl
 
 
 def parse_rows(files: DataFrame, skip_errors: bool = False) -> DataFrame:
-    """``files(clip_id, value)``, a file's whole text each, to rows of ``SCHEMA``."""
-
-    numbers, words = pa.list_(pa.float64()), pa.list_(pa.string())
-    kinds = {"frame_time": pa.float64(), "n_frames": pa.int32(), "names": words, "parents": pa.list_(pa.int32()), "joint_idx": pa.list_(pa.int32()), "offsets": pa.list_(numbers), "euler_orders": words, "joint_names": words, "root": pa.list_(numbers), "joints": pa.list_(pa.list_(numbers))}
-    arrow = pa.schema([("clip_id", pa.string()), ("error", pa.string()), *kinds.items()])
+    """``files(clip_id, value)``, a file's whole text each, to rows of ``SCHEMA``, one file at a time."""
+    columns = ["clip_id", "error", *KINDS]
 
     def run(parts):
         for part in parts:
-            rows = []
-            for stem, text in zip(part.column("clip_id").to_pylist(), part.column("value").to_pylist()):
+            for stem, text in zip(part.column("clip_id").to_pylist(), part.column("value")):
                 try:
-                    rows.append({"clip_id": stem, "error": None, **parse(text)})
+                    error, clip = None, parse_arrays(text.as_py())
                 except (ValueError, IndexError) as e:
                     if not skip_errors:
                         raise ValueError(f"{stem}: {e}") from e
-                    rows.append({"clip_id": stem, "error": str(e)})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, arrow)
+                    error, clip = str(e), {}
+                yield one_row(stem, error, clip, columns)
 
     return files.select("clip_id", "value").mapInArrow(run, SCHEMA)
 
