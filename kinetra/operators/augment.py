@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.functions import rotations as R
-from kinetra.operators.temporal import clip_window, lerp, resample
+from kinetra.operators.temporal import clip_window, lerp, resample, resample_pairs
 from kinetra.schema import check_drop_rate, check_factor, check_sigma, parse_axis, present, require_representation
 
 #: draw(stream-like key, v, c) -> a standard normal column, a function of clip_id, t, v and c.
@@ -174,9 +174,7 @@ def speed(frames: DataFrame, *, factor, representation: str | None = None, euler
     motion. Clips under 2 frames stay. ``factor`` is a number or a column (constant in a clip)."""
     check_factor(factor)
     _need_repr(frames, representation, "speed")
-    f = factor if isinstance(factor, Column) else F.lit(float(factor))
-    n = F.count("*").over(clip_window())
-    target = F.when(n < 2, n).otherwise(F.greatest(F.lit(2), F.rint(n / f).cast("long")))
+    target = _frames_at(factor)
     if "joint_rot" not in frames.columns:
         return resample(frames, target)
     held = frames.withColumn("joint_rot", R.convert_joints(F.col("joint_rot"), representation, "quat", euler_orders))
@@ -184,6 +182,16 @@ def speed(frames: DataFrame, *, factor, representation: str | None = None, euler
     return out.withColumn("joint_rot", R.convert_joints(F.col("joint_rot"), "quat", representation, euler_orders))
 
 
+def _frames_at(factor) -> Column:
+    n = F.count("*").over(clip_window())
+    return F.when(n < 2, n).otherwise(F.greatest(F.lit(2), F.rint(n / (factor if isinstance(factor, Column) else F.lit(float(factor)))).cast("long")))
+
+
+def speed_pairs(frames: DataFrame, factor) -> DataFrame:
+    """The frames that ``speed`` lies between, still to be blended (quaternions along the shortest arc)."""
+    return resample_pairs(frames, _frames_at(factor))
+
+
 def dropout(frames: DataFrame, *, rate, draw: Column, representation: str | None = None, euler_orders=None) -> DataFrame:
     """Drops frames whose uniform ``draw`` is under ``rate`` (never the first and last) and fills them in
     between the kept ones; kept frames are unchanged."""

@@ -158,31 +158,34 @@ def standardize(frames: DataFrame, length: int, method: str = "pad", pad_value:
     return kept.unionByName(pads).drop("_n", "_start")
 
 
-def resample(frames: DataFrame, target: Column, rotations: str | None = None, gate: Column | None = None) -> DataFrame:
-    """Clips of ``target`` frames (a column, constant in a clip), evenly spaced over the same time.
+def resample_pairs(frames: DataFrame, target: Column) -> DataFrame:
+    """Rows of clips of ``target`` frames (a column, constant in a clip), evenly spaced over the same time: each has its two source
+    frames, the later one's streams as ``_next_<stream>``, and ``_alpha``, its place between them.
 
     Output k lies between frames l = min(k (F-1) // (T-1), F-2) and l+1; each frame sends itself and the
-    next to its outputs. Streams go along straight lines; with ``rotations="quat"``, joint_rot along the
-    shortest arc. One target frame is the first frame; a single source frame repeats.
+    next to its outputs. One target frame is the first frame; a single source frame repeats.
     """
     streams = _streams(frames)
-    held = frames.withColumns({"_n": F.count("*").over(clip_window()), "_m": target.cast("long"), **{f"_next_{s}": F.lead(s).over(in_order()) for s in streams}})
+    held = frames.withColumns({"_n": F.count("*").over(clip_window()), "_m": target.cast("long"), **{f"_next_{s}": F.coalesce(F.lead(s).over(in_order()), F.col(s)) for s in streams}})
     f, m, t = F.col("_n") - 1, F.col("_m") - 1, F.col("t").cast("long")
     low = F.when((f == 0) | (m <= 0), F.lit(0)).otherwise(F.ceil(t * m / F.greatest(f, F.lit(1))))
     high = F.when(f == 0, m).when(m <= 0, F.when(t == 0, 0).otherwise(-1)).when(t == f, F.lit(-1)).when(t == f - 1, m).otherwise(F.ceil((t + 1) * m / F.greatest(f, F.lit(1))) - 1)
     # exact whole-number bounds: k belongs to t when t (T-1) <= k (F-1) < (t+1) (T-1)
     sent = held.withColumns({"_low": low.cast("long"), "_high": high.cast("long")}).where("_low <= _high").withColumn("_k", F.explode(F.sequence("_low", "_high")))
     alpha = F.when((f == 0) | (m <= 0), F.lit(0.0)).otherwise((F.col("_k") * f - t * m) / F.greatest(m, F.lit(1)).cast("double"))
-    sent = sent.withColumn("_alpha", alpha)
-    new = {}
-    for s in streams:
-        nxt = F.coalesce(F.col(f"_next_{s}"), F.col(s))
+    return sent.withColumn("_alpha", alpha).withColumn("t", F.col("_k").cast("int")).drop("_n", "_m", "_k", "_low", "_high")
+
+
+def resample(frames: DataFrame, target: Column, rotations: str | None = None) -> DataFrame:
+    """Clips of ``target`` frames, see ``resample_pairs``. Streams go along straight lines; with ``rotations="quat"``, joint_rot
+    along the shortest arc."""
+    out, new = resample_pairs(frames, target), {}
+    for s in _streams(frames):
         if s == "joint_rot" and rotations == "quat":
-            new[s] = F.zip_with(s, nxt, lambda p, q: slerp(p, q, F.col("_alpha")))
+            new[s] = F.zip_with(s, f"_next_{s}", lambda p, q: slerp(p, q, F.col("_alpha")))
         else:
-            new[s] = lerp(s, F.col(s), nxt, F.col("_alpha"))
-    out = sent.withColumns(new).withColumn("t", F.col("_k").cast("int"))
-    return out.drop("_n", "_m", "_k", "_low", "_high", "_alpha", *(f"_next_{s}" for s in streams))
+            new[s] = lerp(s, F.col(s), F.col(f"_next_{s}"), F.col("_alpha"))
+    return out.withColumns(new).drop("_alpha", *(f"_next_{s}" for s in new))
 
 
 # ---- uniform temporal sampling ----------------------------------------------------------------

@@ -25,6 +25,8 @@ class Draws:
             raise ValueError("draws need a seed")
         self.key = [F.lit(int(seed)), F.lit(int(epoch)), F.lit(int(step))]
         self.hash = portable_hash if portable else unit_hash
+        if not portable:
+            self.seed_of = self._seed_of
 
     def unit(self, *place: Column) -> Column:
         return self.hash(*self.key, F.col("clip_id").cast("string"), *place)
@@ -42,6 +44,10 @@ class Draws:
         a, b = self.unit(F.lit("a"), *place), self.unit(F.lit("b"), *place)
         return F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * math.pi * b)
 
+    def _seed_of(self, side: str, what: str) -> Column:
+        """The hash that ``normal`` goes on from with a frame's vertex and channel; ``side`` is a or b of its two uniforms."""
+        return F.xxhash64(*self.key, F.col("clip_id").cast("string"), F.lit(side), F.lit(what), F.col("t").cast("long"))
+
     def pick(self, i: Column) -> Column:
         """One uniform per place of a sampled clip."""
         return self.unit(F.lit("pick"), i.cast("long"))

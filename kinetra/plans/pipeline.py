@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kinetra.functions.rotations import convert_joints
 from kinetra.operators import augment
-from kinetra.plans import clipsteps
+from kinetra.plans import clipsteps, fused
 from kinetra.plans.draws import Draws, ExactDraws, steps_draws
 from kinetra.schema import STREAMS, check_drop_rate, check_factor, check_probability, check_sigma, present, require_representation
 
@@ -98,8 +98,12 @@ def _step(x) -> Step:
 
 
 class Pipeline:
-    def __init__(self, steps, *, representation: str | None = None, euler_orders=None, share_quaternions: bool = True) -> None:
+    """``fused`` compiles runs of steps that look at single frames into one Arrow pass (see ``plans.fused``) where draws are not
+    ``portable``; results are the same either way."""
+
+    def __init__(self, steps, *, representation: str | None = None, euler_orders=None, share_quaternions: bool = True, fused: bool = True) -> None:
         self.steps = [_step(s) for s in steps]
+        self.fused = fused
         self.representation, self.euler_orders, self.share = representation, euler_orders, share_quaternions
         told = {s.kwargs["representation"] for s in self.steps if s.fn in _RUN and s.kwargs.get("representation")}
         if representation:
@@ -143,17 +147,24 @@ class Pipeline:
             key = exact.withColumnRenamed("clip_id", "_clip").withColumnRenamed("draws", "_draws")
             out = out.join(key.select("_clip", "_draws"), F.col("clip_id").cast("string") == F.col("_clip")).drop("_clip")
 
+        program = fused.Program() if self.fused and not portable else None
+        flush = program.flush if program is not None else lambda df: df
+
         def to(df: DataFrame, target: str) -> DataFrame:
             nonlocal now
             if "joint_rot" in streams and now != target:
-                df = df.withColumn("joint_rot", convert_joints(F.col("joint_rot"), now, target, self.euler_orders))
+                if program is not None:
+                    fused.convert(program, now, target, self.euler_orders)
+                else:
+                    df = df.withColumn("joint_rot", convert_joints(F.col("joint_rot"), now, target, self.euler_orders))
                 now = target
             return df
 
         for k, s in enumerate(self.steps):
             draws = Draws(seed, epoch, k, portable) if exact is None else ExactDraws(k)
-            if exact is not None and _NOISE.get(s.fn):
-                out = _with_noise(out, exact, k)
+            noisy = exact is not None and _NOISE.get(s.fn)
+            if noisy:
+                out = _with_noise(flush(out), exact, k)
             kw = {n: v(draws) if callable(v) and n != "refresh" else v for n, v in s.kwargs.items()}
             gate = draws.gate(s.prob)
             if s.fn in _RUN:
@@ -165,26 +176,34 @@ class Pipeline:
                     kw.setdefault("euler_orders", self.euler_orders)
                 if s.fn is augment.root_noise:
                     kw.setdefault("centering", centering)
-                if not known.keeps_rows:
+                if s.fn is augment.mirror and kw.get("lr_node_pairs") is None and "node_pos" in streams:
+                    raise ValueError("mirror needs lr_node_pairs for node_pos")
+                if program is not None and s.fn in _FUSED and not (s.fn is augment.rotation_noise and augment.positions(out)):
+                    _FUSED[s.fn](program, gate, now, **{n: v for n, v in kw.items() if n != "refresh"}, **({"draws": draws} if s.fn in _NOISE else {}))
+                elif program is not None and s.fn is augment.speed:
+                    out = augment.speed_pairs(flush(out), F.when(gate, kw["factor"]).otherwise(F.lit(1.0)))
+                    fused.blend(program, "joint_rot" in streams)
+                elif not known.keeps_rows:
+                    out = flush(out)
                     factor = kw["factor"] if not isinstance(kw["factor"], (int, float)) else F.lit(float(kw["factor"]))
                     kw["factor"] = F.when(gate, factor).otherwise(F.lit(1.0))
                     out = known.run(out, draws, **kw)
                 else:
-                    out = _gated(out, streams, gate, lambda f: known.run(f, draws, **kw))
+                    out = _gated(flush(out), streams, gate, lambda f: known.run(f, draws, **kw))
                 if not self.share:
                     out = to(out, self.told) if self.told else out
             elif isinstance(base := _unwrapped(s.fn), clipsteps.ClipStep):
                 out = to(out, self.told) if self.told else out
                 kw = {**(s.fn.keywords if isinstance(s.fn, functools.partial) else {}), **kw}
-                out = clipsteps.run(out, base, gate=gate, kwargs=kw, seed=seed, epoch=epoch, number=k)
+                out = clipsteps.run(flush(out), base, gate=gate, kwargs=kw, seed=seed, epoch=epoch, number=k)
             else:
                 out = to(out, self.told) if self.told else out
-                out = _gated(out, streams, gate, lambda f: s.fn(f, **kw))
-            if "_noise" in out.columns:
-                out = out.drop("_noise")
+                out = _gated(flush(out), streams, gate, lambda f: s.fn(f, **kw))
+            if noisy:
+                out = flush(out).drop("_noise")
         if self.told:
             out = to(out, self.told)
-        return augment.as_float(out.drop("_draws"), frames)
+        return augment.as_float(flush(out).drop("_draws"), frames)
 
     def _exact(self, frames: DataFrame, generators: DataFrame, seed: int | None, epoch: int) -> DataFrame:
         if seed is None:
@@ -237,6 +256,8 @@ class Pipeline:
         return cls(steps, representation=representation, euler_orders=skeleton_info.get("euler_orders"))
 
 
+#: Steps that can be part of a fused pass.
+_FUSED = {augment.rotate_vertical: fused.rotate_vertical, augment.mirror: fused.mirror, augment.rotation_noise: fused.rotation_noise, augment.root_noise: fused.root_noise}
 #: Which noise a step draws from a generator.
 _NOISE = {augment.rotation_noise: "rotation", augment.root_noise: "root", augment.joint_position_noise: "joint", augment.node_position_noise: "node", augment.dropout: "frame"}
 
