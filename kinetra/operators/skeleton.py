@@ -8,6 +8,7 @@ these (any key) holds many skeletons in one table.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kinetra.functions.arrays import forward_kinematics, to_matrix
 from kinetra.schema import require_centering
+from kinetra.sources.shared import written
 
 # The words by which joints are told apart.
 TORSO_WORDS = ("hips", "spine", "chest", "abdomen", "pelvis", "torso", "back")
@@ -40,17 +42,22 @@ def edges(nodes: DataFrame, end_sites: bool = False) -> DataFrame:
     return n.where("parent is not null and joint_idx is not null").join(up, [*KEY, "parent"]).select(*KEY, F.col("joint_idx").alias("child"), F.col("up").alias("parent"))
 
 
-def depths(nodes: DataFrame, deepest: int = 64) -> DataFrame:
-    """``skeleton, node, depth`` by a recursive query over parents; over ``deepest`` levels it fails."""
-    n = keyed(nodes).select(*KEY, "node", "parent")
-    spark = n.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE walk MAX RECURSION LEVEL {deepest} AS (
-          SELECT skeleton, node, 0 AS depth FROM {{n}} WHERE parent IS NULL
-          UNION ALL SELECT c.skeleton, c.node, w.depth + 1 FROM {{n}} c JOIN walk w ON c.skeleton = w.skeleton AND c.parent = w.node)
-        SELECT skeleton, node, depth FROM walk""",
-        n=n,
-    )
+def depths(nodes: DataFrame) -> DataFrame:
+    """``skeleton, node, depth`` by pointer doubling: each round, a node that knows its ancestor of 2^k levels up learns that of
+    2^(k+1) from it, so chains of a thousand nodes take ten rounds, whatever the number of rows.
+
+    A node whose chain of parents ends in a node that is not there has no row; parents in a circle are refused."""
+    n = keyed(nodes).select(*KEY, "node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+    state = written(n, "depth")
+    most = math.ceil(math.log2(max(2, state.count()))) + 1
+    for _ in range(most):
+        if state.where("up is not null").isEmpty():
+            return state.select(*KEY, "node", "depth")
+        higher = state.select(*KEY, F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_more"))
+        moved = state.where("up is not null").join(higher, [*KEY, "up"])
+        moved = moved.select(*KEY, "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_more")).alias("depth"))
+        state = written(state.where("up is null").unionByName(moved), "depth")
+    raise ValueError("parents go round in a circle")
 
 
 def plain_name(name: Column) -> Column:

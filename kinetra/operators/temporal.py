@@ -120,10 +120,16 @@ def foot_contacts(frames: DataFrame, feet: list[int], up: int | Column, max_heig
 # ---- windows and lengths ----------------------------------------------------------------------
 
 
-def sliding_windows(frames: DataFrame, size: int, stride: int = 1) -> DataFrame:
+def sliding_windows(frames: DataFrame, size: int, stride: int = 1, short: str = "skip") -> DataFrame:
     """Each frame once for each window that has it: adds ``window`` (from 0) and ``o``, its place in it.
 
-    A clip of T frames has (T - size) // stride + 1 windows; an incomplete one at the end is left out."""
+    A clip of T frames has (T - size) // stride + 1 windows; an incomplete one at the end is left out. A clip shorter than a
+    window has no row, or, with ``short="refuse"``, is refused by name when the plan runs."""
+    if short not in ("skip", "refuse"):
+        raise ValueError("short clips are skipped or refused")
+    if short == "refuse":
+        n, said = F.count("*").over(clip_window()), F.concat(F.lit("clip "), F.col("clip_id").cast("string"), F.lit(f" is shorter than a window of {size} frames"))
+        frames = frames.withColumn("t", F.when(n < size, F.raise_error(said).cast("int")).otherwise(F.col("t")))
     if size < 1 or stride < 1:
         raise ValueError("window size and stride are at least 1")
     last = F.floor((F.count("*").over(clip_window()) - size) / stride)

@@ -135,14 +135,15 @@ class Pipeline:
             if s.fn is augment.mirror and s.kwargs.get("lr_joint_pairs") is None and have & {"joint_rot", "joint_pos"}:
                 raise ValueError("mirror needs lr_joint_pairs for joint streams")
 
-    def apply(self, frames: DataFrame, seed: int | None, epoch: int = 0, centering: str | None = None, portable: bool = False, generators: DataFrame | None = None) -> DataFrame:
+    def apply(self, frames: DataFrame, seed: int | None, epoch: int = 0, centering: str | None = None, portable: bool = False, generators: DataFrame | None = None, exact: DataFrame | None = None) -> DataFrame:
         """The augmented frames; the same (seed, epoch, clip) gives the same result in any partitioning. ``portable``: see
         ``Draws``. With ``generators(clip_id, idx)``, numbers are those of NumPy generators seeded by (seed, epoch, idx),
-        one per clip; steps of one's own get none."""
+        one per clip; steps of one's own get none. ``exact`` is a table of such draws made before (``exact_draws``)."""
         self.check(frames.columns, centering)
         out, now = augment.as_double(frames), self.told
         streams = present(frames.columns)
-        exact = None if generators is None else self._exact(out, generators, seed, epoch)
+        if generators is not None and exact is None:
+            exact = self.exact_draws(out, generators, seed, epoch)
         if exact is not None:
             key = exact.withColumnRenamed("clip_id", "_clip").withColumnRenamed("draws", "_draws")
             out = out.join(key.select("_clip", "_draws"), F.col("clip_id").cast("string") == F.col("_clip")).drop("_clip")
@@ -205,7 +206,8 @@ class Pipeline:
             out = to(out, self.told)
         return augment.as_float(flush(out).drop("_draws"), frames)
 
-    def _exact(self, frames: DataFrame, generators: DataFrame, seed: int | None, epoch: int) -> DataFrame:
+    def exact_draws(self, frames: DataFrame, generators: DataFrame, seed: int | None, epoch: int) -> DataFrame:
+        """``clip_id, draws, noise``: what each clip's generator gives to the steps. Write it where it is read more than once."""
         if seed is None:
             raise ValueError("draws need a seed")
         steps = []
@@ -225,12 +227,15 @@ class Pipeline:
         clips = frames.groupBy("clip_id").agg(F.count("*").cast("int").alias("n_frames"), size(joints).alias("n_joints"), size("node_pos").alias("n_nodes"))
         return steps_draws(clips.join(generators.select("clip_id", "idx"), "clip_id"), seed, epoch, steps)
 
-    def explain(self, clips: DataFrame, seed: int | None, epoch: int = 0, portable: bool = False) -> DataFrame:
-        """``clip_id, step, name, applied, params map<string, string>``: what ``apply`` does to each clip."""
+    def explain(self, clips: DataFrame, seed: int | None, epoch: int = 0, portable: bool = False, exact: DataFrame | None = None) -> DataFrame:
+        """``clip_id, step, name, applied, params map<string, string>``: what ``apply`` does to each clip, with ``exact`` by the
+        same table of generators' draws."""
         rows = None
+        if exact is not None:
+            clips = clips.join(exact.select(F.col("clip_id").alias("_clip"), F.col("draws").alias("_draws")), F.col("clip_id").cast("string") == F.col("_clip")).drop("_clip")
         for k, s in enumerate(self.steps):
-            draws = Draws(seed, epoch, k, portable)
-            params = [x for n, v in s.kwargs.items() if n != "refresh" and isinstance(v, (int, float, str, bool)) or callable(v) and n != "refresh" for x in (F.lit(n), (v(draws) if callable(v) else F.lit(v)).cast("string"))]
+            draws = Draws(seed, epoch, k, portable) if exact is None else ExactDraws(k)
+            params = [x for n, v in s.kwargs.items() if n != "refresh" and (isinstance(v, (int, float, str, bool)) or callable(v)) for x in (F.lit(n), (v(draws) if callable(v) else F.lit(v)).cast("string"))]
             held = F.create_map(*params) if params else F.create_map().cast("map<string,string>")
             row = clips.select("clip_id", F.lit(k).alias("step"), F.lit(s.name).alias("name"), draws.gate(s.prob).alias("applied"), F.when(draws.gate(s.prob), held).alias("params"))
             rows = row if rows is None else rows.unionByName(row)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +13,13 @@ from kinetra import schema
 from kinetra import views as V
 from kinetra.functions import rotations as R
 from kinetra.operators import audit, augment, clips, harmonize, packing, skeleton, stats, temporal
-from kinetra.plans import build
+from kinetra.plans import build, shards
 from kinetra.plans.clipsteps import clip_step
 from kinetra.plans.draws import Draws, exact_draws
 from kinetra.plans.feed import MotionFeed, collate
 from kinetra.plans.pipeline import Pipeline, Step, handles_streams
-from kinetra.sources import bvh
+from kinetra.sources import bvh, motionfiles, numbered
+from kinetra.sources.shared import shared_folder
 from kinetra.views import EMB, EV, r6
 
 QUERIES: dict[str, Callable] = {}
@@ -713,20 +715,54 @@ def bvh_parse(spark, d):
     return out.select("clip_id", "t", F.posexplode(row).alias("c", "value")).withColumn("value", r6(F.col("value")))
 
 
+@query(f"""WITH {EV}, m AS (SELECT clip_id::VARCHAR AS clip_id, t, CASE c WHEN 0 THEN root_pos[1] WHEN 1 THEN root_pos[2] WHEN 2 THEN root_pos[3] ELSE 0 END AS v, c, root_pos FROM ev, range(9) r(c))
+  SELECT clip_id, t, c::INT AS c, round(CASE WHEN c < 3 THEN v WHEN c < 6 THEN root_pos[c - 2] * pi() / 180 ELSE root_pos[9 - c] * pi() / 180 END, 6) + 0.0 AS value FROM m""")
+def bvh_parse_table_function(spark, d):
+    """The same texts parsed by a table function of SQL."""
+    _texts(spark, d, [F.lit(_head("ZXY", "XYZ", 5))], [F.lit(0.05)]).createOrReplaceTempView("kinetra_texts")
+    out = spark.sql(f"""
+        SELECT clip_id, t, c, round(x, 6) + 0.0D AS value
+        FROM (SELECT clip_id, posexplode(arrays_zip(root, joints)) AS (t, f) FROM {bvh.register_parser(spark)}(TABLE(SELECT clip_id, value FROM kinetra_texts)))
+        LATERAL VIEW posexplode(concat(f.root, flatten(f.joints))) AS c, x""")
+    return out
+
+
+@query(f"""WITH {EV}, m AS (SELECT clip_id::VARCHAR AS clip_id, t, CASE c WHEN 0 THEN root_pos[1] WHEN 1 THEN root_pos[2] WHEN 2 THEN root_pos[3] ELSE 0 END AS v, c, root_pos FROM ev, range(9) r(c))
+  SELECT clip_id, t, c::INT AS c, round(CASE WHEN c < 3 THEN v WHEN c < 6 THEN root_pos[c - 2] * pi() / 180 ELSE root_pos[9 - c] * pi() / 180 END, 6) + 0.0 AS value FROM m""")
+def motion_source(spark, d):
+    """The same texts written as files by executors and read by the motion data source."""
+    folder = bvh.write_texts(_texts(spark, d, [F.lit(_head("ZXY", "XYZ", 5))], [F.lit(0.05)]), shared_folder(spark, "motion"))
+    out = bvh.frames(motionfiles.motion_files(spark, folder, bvh.SCHEMA))
+    return out.select("clip_id", "t", F.posexplode(F.concat("root_pos", F.flatten("joint_rot"))).alias("c", "value")).withColumn("value", r6(F.col("value")))
+
+
+@query("SELECT user_id::VARCHAR AS clip_id, count(*)::INT AS n_frames, 0.05::DOUBLE AS frame_time, 'Hips,Chest' AS joints, false AS whole FROM events WHERE user_id::VARCHAR LIKE '1%' GROUP BY user_id HAVING count(*) > 40")
+def motion_heads(spark, d):
+    """Heads of files by name: the listing is filtered, and motion is not read (of files that are longer than a head's piece)."""
+    folder = bvh.write_texts(_texts(spark, d, [F.lit(_head("ZXY", "XYZ", 5))], [F.lit(0.05)]), shared_folder(spark, "motion"))
+    heads = motionfiles.motion_files(spark, folder, "clip_id string, n_frames int, frame_time double, joint_names array<string>, bytes long, bytes_read long")
+    heads = heads.where(F.col("clip_id").startswith("1")).where("n_frames > 40")
+    return heads.select("clip_id", "n_frames", "frame_time", F.array_join("joint_names", ",").alias("joints"), (F.col("bytes_read") > motionfiles.HEAD_BYTES).alias("whole"))
+
+
 def _head(root: str, chest: str, length: int) -> str:
     turn = lambda order: " ".join(f"{a}rotation" for a in order)
     return f"HIERARCHY ROOT Hips {{ OFFSET 0 0 0 CHANNELS 6 Xposition Yposition Zposition {turn(root)} JOINT Chest {{ OFFSET 0 {length} 0 CHANNELS 3 {turn(chest)} End Site {{ OFFSET 0 1 0 }} }} }} MOTION "
 
 
-def _files(spark, d, heads: list[Column], steps: list[Column]) -> DataFrame:
-    """Parsed motion files of the events, a file per user; heads and frame times are dealt to users in turn."""
+def _texts(spark, d, heads: list[Column], steps: list[Column]) -> DataFrame:
+    """Texts of motion files of the events, a file per user; heads and frame times are dealt to users in turn."""
     x = lambda i: F.col("root_pos")[i].cast("string")
     line = F.concat_ws(" ", x(0), x(1), x(2), x(0), x(1), x(2), x(2), x(1), x(0))
     f = V.ev_frames(spark, d).select("clip_id", F.struct("t", line.alias("line")).alias("f"))
     text = f.groupBy("clip_id").agg(F.array_sort(F.collect_list("f")).alias("f"))
     own = lambda parts: F.element_at(F.array(*parts), (F.col("clip_id") % len(parts) + 1).cast("int")).cast("string")
     whole = F.concat(own(heads), F.lit("Frames: "), F.size("f").cast("string"), F.lit(" Frame Time: "), own(steps), F.lit("\n"), F.array_join(F.transform("f", lambda r: r["line"]), "\n"))
-    return bvh.parse_rows(text.select(F.col("clip_id").cast("string").alias("clip_id"), whole.alias("value")))
+    return text.select(F.col("clip_id").cast("string").alias("clip_id"), whole.alias("value"))
+
+
+def _files(spark, d, heads: list[Column], steps: list[Column]) -> DataFrame:
+    return bvh.parse_rows(_texts(spark, d, heads, steps))
 
 
 # Clips from two sources: other Euler orders, another bone length, another frame time.
@@ -1002,6 +1038,61 @@ def pipeline_numpy_steps(spark, d):
     return cells(Pipeline(steps).apply(V.ev_frames(spark, d), seed=11, epoch=1, portable=True), "root_pos")
 
 
+@query(f"WITH {EV} SELECT clip_id, n, k AS draws, 0::BIGINT AS wrong FROM n, (VALUES ('generator'), ('hash')) g(k)")
+def explain_equals_items(spark, d):
+    """Frames of an epoch's items that are not what the told draws make of the clip, for draws by hash and by generators."""
+    paths, out = V.ev_frames(spark, d), None
+    steps = Pipeline([Step(augment.rotate_vertical, 0.5, {"angle": lambda u: u.uniform(-3.0, 3.0, "angle"), "up_axis": "+y"}), Step(augment.mirror, 0.4, {"lateral_axis": "+x", "lr_joint_pairs": []})])
+    ids = paths.select("clip_id").distinct().withColumn("idx", F.col("clip_id").cast("long"))
+    for kind, generators in (("hash", None), ("generator", ids)):
+        feed = MotionFeed(paths, streams=["root_pos"], augmentation=steps, seed=3, generators=generators)
+        told = feed.explain_augmentation(epoch=4).groupBy("clip_id").agg(
+            F.max(F.when(F.col("step") == 0, F.col("params")["angle"].cast("double"))).alias("a"), F.min(F.when((F.col("step") == 1) & F.col("applied"), -1).otherwise(1)).alias("side")
+        )
+        a, x, y, z = F.coalesce("a", F.lit(0.0)), *(F.col("root_pos")[i] for i in range(3))
+        made = paths.join(told, "clip_id").select("clip_id", "t", F.array(F.col("side") * (F.cos(a) * x + F.sin(a) * z), y, F.cos(a) * z - F.sin(a) * x).alias("want"))
+        items = feed.items(epoch=4).select("clip_id", F.posexplode("data").alias("t", "got"))
+        off = F.exists(F.zip_with("want", "got", lambda p, q: F.abs(p - q) > 1e-5 * (1 + F.abs(p))), lambda bad: bad)
+        rows = made.join(items, ["clip_id", "t"], "left").groupBy("clip_id").agg(F.count("*").cast("int").alias("n"), F.sum(F.when(F.coalesce(off, F.lit(True)), 1).otherwise(0)).alias("wrong"))
+        rows = rows.select("clip_id", "n", F.lit(kind).alias("draws"), "wrong")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"""WITH {EV}, o AS (SELECT clip_id, n, row_number() OVER (ORDER BY {_unit_sql(4, 2, -1, "'order'")}, clip_id) - 1 AS k FROM n)
+  SELECT ((k // 8) % 3)::INT AS rank, (k // 8 // 3)::BIGINT AS batch, (k % 8)::INT AS place, clip_id, n AS length FROM o""")
+def epoch_shards(spark, d):
+    """An epoch written for three trainers, and read again as each trainer reads its own."""
+    folder = shared_folder(spark, "epochs")
+    feed = MotionFeed(V.ev_frames(spark, d), streams=["root_pos"], seed=4, portable=True)
+    shards.write_epoch(feed, folder, 2, world_size=3, batch_size=8, shard_batches=2)
+
+    def read(batches):
+        for b in batches:
+            for rank in b.column("id").to_pylist():
+                for number, rows in shards.RankReader(folder, rank, 3, epoch=2).rows():
+                    n = rows.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array([rank] * n, pa.int32()), pa.array([number] * n, pa.int64()), *(rows.column(c).combine_chunks().cast(k) for c, k in (("place", pa.int32()), ("clip_id", pa.int64()), ("length", pa.int32())))], ["rank", "batch", "place", "clip_id", "length"])
+
+    return spark.range(3).repartition(3).mapInArrow(read, "rank int, batch long, place int, clip_id long, length int")
+
+
+@query(f"WITH {EV} SELECT (row_number() OVER (ORDER BY clip_id) - 1)::BIGINT AS number, n.clip_id, n AS n_frames, (SELECT round(sum(root_pos[2]), 4) FROM ev WHERE ev.clip_id = n.clip_id) AS total FROM n")
+def clips_by_number(spark, d):
+    """Clips stored by number, and each read by its number, as a trainer does."""
+    folder, paths = shared_folder(spark, "numbered"), V.ev_frames(spark, d)
+    index = numbered.write(paths, paths.select("clip_id").distinct(), folder, file_clips=16)
+
+    def read(batches):
+        clips = numbered.NumberedClips(folder)
+        for b in batches:
+            found = [clips[i - (len(clips) if i % 2 else 0)] for i in b.column("number").to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in found], t) for k, t in (("number", pa.int64()), ("clip_id", pa.int64()), ("n_frames", pa.int32()))] + [pa.array([float(c["root_pos"][:, 1].sum()) for c in found])], ["number", "clip_id", "n_frames", "total"])
+
+    return index.select("number").mapInArrow(read, "number long, clip_id long, n_frames int, total double").withColumn("total", F.round("total", 4))
+
+
 @query(f"WITH {EV} SELECT clip_id, {_unit_sql(1, 0, 0, "'gate'")} < 0.5 AS gate, round({_between(_unit_sql(1, 0, 0, "'value'"), -1.0, 1.0)}, 6) + 0.0 AS value FROM n")
 def native_uniforms(spark, d):
     draws = Draws(1, 0, 0, portable=True)

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,6 +164,25 @@ def write(path: str, clip: dict) -> None:
         out.write("\n".join(lines) + "\n")
 
 
+def write_texts(texts: DataFrame, folder: str, suffix: str = ".bvh") -> str:
+    """Writes a file ``<clip_id><suffix>`` for each row of ``texts(clip_id, value)``, by executors, and returns the folder. A task
+    that runs again writes the same files again, each in one go."""
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
+        for b in batches:
+            for stem, text in zip(b.column("clip_id").to_pylist(), b.column("value")):
+                part = f"{root}/.{stem}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as out:
+                    out.write((text.as_py() or "").encode())
+                fs.move(part, f"{root}/{stem}{suffix}")
+            yield pa.RecordBatch.from_arrays([b.column("clip_id")], ["clip_id"])
+
+    texts.select("clip_id", "value").mapInArrow(run, "clip_id string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 def stem_of(name: Column) -> Column:
     """A file's name without its ending."""
     return F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
@@ -206,6 +227,26 @@ def parse_rows(files: DataFrame, skip_errors: bool = False) -> DataFrame:
     return files.select("clip_id", "value").mapInArrow(run, SCHEMA)
 
 
+class _ParseMotion:
+    """Table function over a table of ``clip_id, value``: a row of ``SCHEMA`` for each; broken texts have ``error`` alone."""
+
+    def eval(self, texts: pa.RecordBatch) -> Iterator[pa.Table]:
+        columns = ["clip_id", "error", *KINDS]
+        for stem, text in zip(texts.column("clip_id").to_pylist(), texts.column("value")):
+            try:
+                error, clip = None, parse_arrays(text.as_py() or "")
+            except (ValueError, IndexError) as e:
+                error, clip = str(e), {}
+            yield pa.Table.from_batches([one_row(stem, error, clip, columns)])
+
+
+def register_parser(spark: SparkSession, name: str = "parse_motion") -> str:
+    """Makes the parser a table function of the session's SQL: ``SELECT ... FROM parse_motion(TABLE(texts))``, where the table has
+    ``clip_id`` and ``value``, a file's whole text. Files go through Arrow batches; one text is parsed at a time."""
+    spark.udtf.register(name, F.arrow_udtf(_ParseMotion, returnType=SCHEMA))
+    return name
+
+
 def require_files(clips: DataFrame, folder: str) -> None:
     if clips.select("clip_id").isEmpty():
         raise FileNotFoundError(f"no motion files in {folder}")
