@@ -11,13 +11,36 @@ from kinetra.operators.temporal import center_root
 TINY = 1e-8
 
 
-def channel_stats(frames: DataFrame, streams) -> DataFrame:
-    """``dim, mean, std, constant`` over all frames; a deviation under 1e-8 becomes 1 and marks the channel
-    constant. Map-side sums make the shuffle one row per dimension and task."""
+def moments(frames: DataFrame, streams) -> DataFrame:
+    """``dim, n, mean, m2``: count, mean and summed squared deviations, which can be merged with those of other frames.
+    Map-side sums make the shuffle one row per dimension and task."""
     cells = frames.select(F.posexplode(flat_row(streams)).alias("dim", "x"))
-    found = cells.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    flat = F.col("std") < TINY
-    return found.select("dim", "mean", F.when(flat, 1.0).otherwise(F.col("std")).alias("std"), flat.alias("constant"))
+    found = cells.groupBy("dim").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("v"))
+    return found.select("dim", "n", "mean", (F.col("v") * F.col("n")).alias("m2"))
+
+
+def merge_moments(parts: DataFrame, *keys: str) -> DataFrame:
+    """Moments of all frames from rows of parts (some per dimension), two at a time, which keeps their precision."""
+
+    def both(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        share = b["n"] / F.greatest(n, F.lit(1))
+        return F.struct(n.alias("n"), (a["mean"] + apart * share).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"))
+
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    listed = parts.groupBy(*keys, "dim").agg(F.array_sort(F.collect_list(F.struct("n", "mean", "m2"))).alias("parts"))  # a few builds
+    return listed.select(*keys, "dim", F.aggregate("parts", none, both).alias("m")).select(*keys, "dim", "m.n", "m.mean", "m.m2")
+
+
+def of_moments(found: DataFrame, *keys: str) -> DataFrame:
+    """``dim, mean, std, constant``; a deviation under 1e-8 becomes 1 and marks the channel constant."""
+    std = F.sqrt(F.col("m2") / F.col("n"))
+    return found.select(*keys, "dim", "mean", F.when(std < TINY, 1.0).otherwise(std).alias("std"), (std < TINY).alias("constant"))
+
+
+def channel_stats(frames: DataFrame, streams) -> DataFrame:
+    """``dim, mean, std, constant`` over all frames."""
+    return of_moments(moments(frames, streams))
 
 
 def normalization_stats(frames: DataFrame, include_root: bool = True, center: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -14,6 +15,7 @@ from kinetra.operators import audit, harmonize, skeleton, stats
 from kinetra.operators.temporal import center_root, foot_contacts, joint_velocities
 from kinetra.schema import check_euler_order, parse_axis, require_centering, require_representation
 from kinetra.sources import bvh, store
+from kinetra.sources.shared import written
 
 STORED = ("euler", "quat", "6d", "axisangle")
 
@@ -127,12 +129,12 @@ def preprocess(
             parse_axis(a)
     parsed = bvh.scan(spark, folder, pattern, keep, skip_errors).persist(StorageLevel.DISK_ONLY)  # files are parsed once
     try:
-        return _build(parsed, folder, output, kind, representation, center, include_positions, position_space, position_centering, include_quaternions, include_velocities, include_foot_contacts, foot_joints, label, skip_errors, world_up, do_harmonize, {"world_up": target_world_up, "fps": target_fps, "rest_up": target_rest_up, "rest_forward": target_rest_forward, "euler_order": target_euler_order}, retarget)
+        return _build(parsed, bvh.listing(spark, folder, pattern), pattern, folder, output, kind, representation, center, include_positions, position_space, position_centering, include_quaternions, include_velocities, include_foot_contacts, foot_joints, label, skip_errors, world_up, do_harmonize, {"world_up": target_world_up, "fps": target_fps, "rest_up": target_rest_up, "rest_forward": target_rest_forward, "euler_order": target_euler_order}, retarget)
     finally:
         parsed.unpersist()
 
 
-def _build(parsed, folder, output, kind, representation, center, include_positions, position_space, position_centering, include_quaternions, include_velocities, include_foot_contacts, foot_joints, label, skip_errors, world_up, do_harmonize, explicit, retarget) -> dict:
+def _build(parsed, listed, pattern, folder, output, kind, representation, center, include_positions, position_space, position_centering, include_quaternions, include_velocities, include_foot_contacts, foot_joints, label, skip_errors, world_up, do_harmonize, explicit, retarget) -> dict:
     bvh.require_files(parsed, folder)
     if skip_errors:
         bvh.warn_skipped(parsed)
@@ -175,17 +177,108 @@ def _build(parsed, folder, output, kind, representation, center, include_positio
         frames = center_root(frames, position_centering if position else None)
     if kind not in store.ARCHIVES:
         frames = store.save_frames(frames, output)  # statistics read what is written
-    block = stats.normalization_stats(frames).withColumn("block", F.lit("features"))
-    if position:
-        block = block.unionByName(stats.position_stats(frames, position).withColumn("block", F.lit("positions")))
-    n = harmonize.target_frames(F.col("n_frames"), F.col("frame_time"), fps).cast("int") if fps else F.col("n_frames")
-    clip_rows = facts.select("clip_id", n.alias("n_frames"), (F.lit(1 / fps) if fps else F.col("frame_time")).alias("frame_time"), (F.lit(targets["world_up"]) if "world_up" in targets else F.col("world_up")).alias("world_up"), *([label(F.col("clip_id")).cast("long").alias("label")] if label else []))
+    found = written(block_moments(frames, position), "moments")
+    block = stats.of_moments(found, "block")
+    clip_rows = clip_facts(facts, fps, targets, label)
     info = skeleton.skeleton_info(nodes, targets.get("world_up") or first["world_up"] or "+y", targets.get("rest_forward") or first["rest_forward"], targets.get("rest_up") or first["rest_up"], partitions=True)
     nodes.unpersist()
     info["euler_orders"] = info["fk_topology"]["euler_orders"] = [targets["euler_order"]] * len(top.euler_orders) if "euler_order" in targets else top.euler_orders
     info["fk_topology"]["offsets"] = top.offsets
     counts = {r["stage"]: r["n"] for r in audit.stage_counts(stages_of(facts, targets, retarget)).collect()}
     trail = {"retarget": retarget, "reference": first["clip_id"] if retarget else None, "stage_counts": counts}
-    meta = {"representation": representation, "center_root": center, "position_centering": position_centering if position else None, "position_space": position_space if position else None, "include_quaternions": include_quaternions, "uniformity": dist, "harmonized_to": targets, "harmonizing": trail, "skeleton_info": info, "num_clips": facts.count(), "has_audit": True}
+    meta = {"representation": representation, "center_root": center, "position_centering": position_centering if position else None, "position_space": position_space if position else None, "include_quaternions": include_quaternions, "uniformity": dist, "harmonized_to": targets, "harmonizing": trail, "skeleton_info": info, "num_clips": facts.count(), "has_audit": True, "parts": 1}
+    meta["build"] = {"pattern": pattern, "skip_errors": skip_errors, "world_up": world_up, "include_velocities": include_velocities, "feet": feet if include_foot_contacts else None, "parents": list(first["parents"]), "base": first["clip_id"]}
+    if kind not in store.ARCHIVES:
+        found.write.mode("overwrite").parquet(store.part_folder(output, "moments", 0))
+        files_of(parsed, listed).write.mode("overwrite").parquet(store.part_folder(output, "files", 0))
     store.save(store.MotionDataset(frames, clip_rows, block, meta, audit.values(facts)), output, frames=False)
     return meta
+
+
+def clip_facts(facts: DataFrame, fps: float | None, targets: dict[str, object], label) -> DataFrame:
+    """The rows of the dataset's clips."""
+    n = harmonize.target_frames(F.col("n_frames"), F.col("frame_time"), fps).cast("int") if fps else F.col("n_frames")
+    return facts.select("clip_id", n.alias("n_frames"), (F.lit(1 / fps) if fps else F.col("frame_time")).alias("frame_time"), (F.lit(targets["world_up"]) if "world_up" in targets else F.col("world_up")).alias("world_up"), *([label(F.col("clip_id")).cast("long").alias("label")] if label else []))
+
+
+def block_moments(frames: DataFrame, position: str | None) -> DataFrame:
+    """``block, dim, n, mean, m2`` of the features and, if asked for, of the positions."""
+    found = stats.moments(frames, ["root_pos", "joint_rot"]).withColumn("block", F.lit("features"))
+    return found if position is None else found.unionByName(stats.moments(frames, [position]).withColumn("block", F.lit("positions")))
+
+
+def files_of(parsed: DataFrame, listed: DataFrame) -> DataFrame:
+    """``clip_id, path, bytes, modified`` of the files that a build took, broken ones among them."""
+    return listed.join(parsed.select("clip_id"), "clip_id", "left_semi")
+
+
+def extend(spark: SparkSession, folder: str, output: str, label: Callable[[Column], Column] | None = None, keep: Callable[[Column], Column] | None = None) -> dict:
+    """Adds the files of ``folder`` that the dataset at ``output`` has not yet; only these are opened. Returns the metadata.
+
+    Everything is made as in the first build: its arguments, its targets (also those that majorities chose then), its
+    skeleton where clips are retargeted. Statistics are merged from stored moments, so with targets given the dataset is the one
+    that a single build would make. Rows of the addition lie in folders of their own, and count once the metadata, written last,
+    names them: an addition that failed is simply run again. Files that changed since they were taken are refused by name, clips
+    of another hierarchy too; files that went away keep their clips.
+    """
+    if store.check_suffix(output) in store.ARCHIVES:
+        raise ValueError("archives can't be extended")
+    meta = store.load_meta(spark, output)
+    if "build" not in meta:
+        raise ValueError(f"{output} was built before datasets could be extended")
+    how, info, parts = meta["build"], meta["skeleton_info"], meta["parts"]
+    known = store.read_parts(spark, output, "files", parts)
+    listed = bvh.listing(spark, folder, how["pattern"])
+    listed = listed if keep is None else listed.where(keep(F.col("clip_id")))
+    was = known.select("clip_id", F.col("bytes").alias("_bytes"), F.col("modified").alias("_modified"))
+    changed = listed.join(was, "clip_id").where("bytes <> _bytes or modified <> _modified").orderBy("clip_id").limit(5).collect()
+    if changed:
+        raise ValueError("files changed since they were built: " + ", ".join(r["clip_id"] for r in changed))
+    new = written(listed.join(known, "clip_id", "left_anti"), "files")
+    paths = [r["path"] for r in new.select("path").toLocalIterator()]  # names of new files, as Spark's own listing holds them
+    if not paths:
+        return meta
+    parsed = bvh.scan(spark, paths, how["pattern"], None, how["skip_errors"]).persist(StorageLevel.DISK_ONLY)
+    try:
+        if how["skip_errors"]:
+            bvh.warn_skipped(parsed)
+        clips = with_axes(bvh.good(parsed), how["world_up"])
+        facts = clips.drop("root", "joints", "error").withColumn("fps", audit.fps_key(F.col("frame_time")))
+        targets, retarget, representation = meta["harmonized_to"], meta["harmonizing"]["retarget"], meta["representation"]
+        audit.reject_degenerate_up(facts, targets.get("rest_up"))
+        audit.reject_parallel_forward(facts, targets.get("rest_forward"), targets.get("world_up"))
+        like = {"joint_names": info["joint_names"], "parents": how["parents"]}
+        if representation in ("euler", "axisangle") and "euler_order" not in targets:
+            like["euler_orders"] = info["euler_orders"]
+        for column, value in like.items():
+            bad = facts.where(~F.col(column).eqNullSafe(F.lit(value).cast(facts.schema[column].dataType))).orderBy("clip_id").limit(1).collect()
+            if bad:
+                raise ValueError(f"{bad[0]['clip_id']} has other {column} than {how['base']}")
+        fps = targets.get("fps")
+        top = skeleton.Topology.from_json(json.dumps(info["fk_topology"]))
+        bones = F.lit(top.offsets).cast("array<array<double>>") if retarget else F.col("offsets")
+        for name in () if retarget else ("rest_forward", "rest_up"):
+            if name in targets:
+                bones = harmonize.turn_offsets(bones, F.col(name), targets[name])
+        position = f"{meta['position_space']}_pos" if meta["position_space"] else None
+        frames = clip_streams(clips, representation, targets=targets, top=top, bones=bones, positions=[meta["position_space"]] if position else [], centering=meta["position_centering"] or "world", quaternions=meta["include_quaternions"], velocities=how["include_velocities"], feet=how["feet"])
+        if meta["center_root"]:
+            frames = center_root(frames, meta["position_centering"] if position else None)
+        frames = store.save_frames(frames, output, parts)
+        block_moments(frames, position).write.mode("overwrite").parquet(store.part_folder(output, "moments", parts))
+        merged = stats.merge_moments(store.read_parts(spark, output, "moments", parts + 1), "block")
+        stats.of_moments(merged, "block").write.mode("overwrite").parquet(store.part_folder(output, "stats", parts))
+        clip_facts(facts, fps, targets, label).write.mode("overwrite").parquet(store.part_folder(output, "clips", parts))
+        audit.values(facts).write.mode("overwrite").parquet(store.part_folder(output, "audit", parts))
+        files_of(parsed, new).write.mode("overwrite").parquet(store.part_folder(output, "files", parts))
+        for r in audit.distribution(facts).collect():
+            of = meta["uniformity"].setdefault(r["axis"], {})
+            of[r["value"]] = of.get(r["value"], 0) + r["n"]
+        for r in audit.stage_counts(stages_of(facts, targets, retarget)).collect():
+            counts = meta["harmonizing"]["stage_counts"]
+            counts[r["stage"]] = counts.get(r["stage"], 0) + r["n"]
+        meta |= {"num_clips": meta["num_clips"] + facts.count(), "parts": parts + 1}
+        store.save_meta(spark, meta, output)
+        return meta
+    finally:
+        parsed.unpersist()

@@ -270,7 +270,7 @@ _NOISE = {augment.rotation_noise: "rotation", augment.root_noise: "root", augmen
 def _with_noise(frames: DataFrame, exact: DataFrame, step: int) -> DataFrame:
     """Frames with ``_noise``, the step's numbers of each; zeros where the gate is closed."""
     rows = exact.select(F.col("clip_id").alias("_clip"), F.posexplode(F.col("noise")[step]).alias("_t", "_noise"))
-    zeros = F.array_repeat(F.lit(0.0), 4 * F.greatest(F.lit(1), *(F.size(s) for s in present(frames.columns) if s != "root_pos")))
+    zeros = F.array_repeat(F.lit(0.0), 4 * F.greatest(F.lit(1), F.lit(1), *(F.size(s) for s in present(frames.columns) if s != "root_pos")))
     joined = frames.join(rows, (F.col("clip_id").cast("string") == F.col("_clip")) & (F.col("t") == F.col("_t")), "left")
     return joined.withColumn("_noise", F.coalesce("_noise", zeros)).drop("_clip", "_t")
 

@@ -194,13 +194,13 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*.bvh") -> DataFra
     return files.select(stem_of(F.element_at(F.split("path", "/"), -1)).alias("clip_id"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
-def scan(spark: SparkSession, folder: str, pattern: str = "*.bvh", keep: Callable[[Column], Column] | None = None, skip_errors: bool = False) -> DataFrame:
-    """One row per file, see ``SCHEMA``; ``clip_id`` is the file's name without its ending.
+def scan(spark: SparkSession, folder: str | list[str], pattern: str = "*.bvh", keep: Callable[[Column], Column] | None = None, skip_errors: bool = False) -> DataFrame:
+    """One row per file of a folder, or of a list of files, see ``SCHEMA``; ``clip_id`` is the file's name without its ending.
 
     ``keep(stem)`` is a condition on names; files it leaves out are not parsed. A broken file raises, or, with
     ``skip_errors``, stays as a row with ``error`` alone (``good`` leaves such rows out).
     """
-    listed = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    listed = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)  # no other file is opened
     stem = stem_of(F.col("_metadata.file_name"))
     files = listed.select(stem.alias("clip_id"), F.col("value"))
     if keep is not None:

@@ -42,10 +42,16 @@ class MotionDataset:
     audit: DataFrame | None = None
 
 
-def save_frames(frames: DataFrame, path: str) -> DataFrame:
+def part_folder(path: str, table: str, part: int) -> str:
+    """Where a table's rows of one build lie: the first build's in ``<table>``, those of later ones in ``<table>-1`` and so on."""
+    return f"{path}/{table}" + (f"-{part}" if part else "")
+
+
+def save_frames(frames: DataFrame, path: str, part: int = 0) -> DataFrame:
     """Frames clustered by clip, so that one clip's are read from few row groups; returns what was written."""
-    frames.sortWithinPartitions("clip_id", "t").write.mode("overwrite").parquet(f"{path}/frames")
-    return frames.sparkSession.read.parquet(f"{path}/frames")
+    where = part_folder(path, "frames", part)
+    frames.sortWithinPartitions("clip_id", "t").write.mode("overwrite").parquet(where)
+    return frames.sparkSession.read.parquet(where)
 
 
 def save(dataset: MotionDataset, path: str, frames: bool = True) -> None:
@@ -61,7 +67,20 @@ def save(dataset: MotionDataset, path: str, frames: bool = True) -> None:
     dataset.stats.write.mode("overwrite").parquet(f"{path}/stats")
     if dataset.audit is not None:
         dataset.audit.write.mode("overwrite").parquet(f"{path}/audit")
-    spark.createDataFrame([(json.dumps(dataset.meta),)], "json string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    save_meta(spark, dataset.meta, path)
+
+
+def save_meta(spark: SparkSession, meta: dict, path: str) -> None:
+    """Written last: it says how many builds the dataset has, so rows of one that did not finish are not read."""
+    spark.createDataFrame([(json.dumps(meta),)], "json string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.parquet(f"{path}/meta").first()["json"])
+
+
+def read_parts(spark: SparkSession, path: str, table: str, parts: int) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(*(part_folder(path, table, k) for k in range(parts)))
 
 
 def normalize_info(info: dict) -> dict:
@@ -73,14 +92,15 @@ def normalize_info(info: dict) -> dict:
 def load(spark: SparkSession, path: str) -> MotionDataset:
     if check_suffix(path) in ARCHIVES:
         return load_archive(spark, path)
-    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["json"])
-    frames = legacy_columns(spark.read.option("mergeSchema", True).parquet(f"{path}/frames"))
+    meta = load_meta(spark, path)
+    parts = meta.get("parts", 1)
+    frames = legacy_columns(read_parts(spark, path, "frames", parts))
     if "skeleton_info" in meta:
         meta["skeleton_info"] = normalize_info(meta["skeleton_info"])
     if meta.get("representation") == "quat" and "joint_quats" not in frames.columns and meta.get("include_quaternions"):
         frames = frames.withColumn("joint_quats", F.col("joint_rot"))  # stored once
-    held = spark.read.parquet(f"{path}/audit") if meta.get("has_audit") else None
-    return MotionDataset(frames, spark.read.parquet(f"{path}/clips"), spark.read.parquet(f"{path}/stats"), meta, held)
+    held = read_parts(spark, path, "audit", parts) if meta.get("has_audit") else None
+    return MotionDataset(frames, read_parts(spark, path, "clips", parts), spark.read.parquet(part_folder(path, "stats", parts - 1)), meta, held)
 
 
 def legacy_columns(frames: DataFrame) -> DataFrame:
