@@ -21,6 +21,8 @@ from kinetra.llm.scratch import Scratch, bound_batches
 BITS = 20
 #: The first columns stay free for inputs that are not hashed.
 RESERVED = 16
+#: Rows of an update, at every size of the sample.
+BATCH = 2
 #: Labelled rows and features that a fit takes at most, in the order of a hash of doc_id.
 MAX_LABELLED, MAX_FEATURES = 16_000, 24_000_000
 
@@ -85,24 +87,26 @@ class Ftrl:
         l1 = np.where(free, 0.0, self.l1)
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 3, seed: int = 7) -> np.ndarray:
-        """Epochs in random order. Small samples are learnt row by row; larger ones in batches whose gradients
-        are summed before an update, so that the number of updates stays in the same range."""
-        batch = int(np.clip(len(rows) // 500, 1, 64))
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 3, seed: int = 7, batch: int = BATCH) -> np.ndarray:
+        """Epochs in random order, in batches of ``batch`` rows, whatever the size of the sample: the gradients of a batch
+        are summed before an update."""
         order = np.random.default_rng(seed)
+        edges = [np.where(at < RESERVED, 0.0, self.l1) for at, _ in rows]
+        total = np.zeros(1 << BITS)  # gradients of the batch at hand; zero between batches
         for _ in range(epochs):
-            mixed = order.permutation(len(rows))
+            mixed = order.permutation(len(rows)).tolist()
             for own in (mixed[i : i + batch] for i in range(0, len(rows), batch)):
-                sizes = [len(rows[i][0]) for i in own]
-                at, x = np.concatenate([rows[i][0] for i in own]), np.concatenate([rows[i][1] for i in own])
-                columns, place = np.unique(at, return_inverse=True)
-                w = self.weights(columns)
-                score = np.add.reduceat(w[place] * x, np.cumsum([0, *sizes[:-1]]))
-                wrong = np.repeat(sigmoid(score) - labels[own], sizes)
-                g = np.bincount(place, wrong * x, len(columns))
-                n = self.n[columns]
-                self.z[columns] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
-                self.n[columns] = n + g * g
+                sizes = [len(edges[i]) for i in own]
+                at, x, edge = np.concatenate([rows[i][0] for i in own]), np.concatenate([rows[i][1] for i in own]), np.concatenate([edges[i] for i in own])
+                z, n = self.z[at], self.n[at]
+                root = np.sqrt(n)
+                w = np.copysign(np.maximum(np.abs(z) - edge, 0), -z) / ((self.beta + root) / self.alpha + self.l2)
+                score = np.add.reduceat(w * x, np.cumsum([0, *sizes[:-1]]))
+                np.add.at(total, at, np.repeat(sigmoid(score) - labels[own], sizes) * x)
+                g = total[at]  # a column that stands twice gets the same values twice
+                n = n + g * g
+                self.z[at], self.n[at] = z + g - (np.sqrt(n) - root) / self.alpha * w, n
+                total[at] = 0
         return self.weights().astype(np.float32)
 
 

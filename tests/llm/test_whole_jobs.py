@@ -117,14 +117,14 @@ def brute_fit(rows, labels, alpha, beta, l1, l2, epochs, seed, batch):
     return weight
 
 
-@pytest.mark.parametrize("rows_n,batch", [(120, 1), (1600, 3)])
-def test_training_matches_a_plain_one(rows_n, batch):
+@pytest.mark.parametrize("rows_n", [7, 120, 1600])
+def test_training_matches_a_plain_one(rows_n):
     r = np.random.default_rng(3)
     rows = [(np.sort(r.choice(np.arange(100, 160), 6, replace=False)).astype(np.int32), r.random(6).astype(np.float32)) for _ in range(rows_n)]
     y = np.array([float(at[0] % 3 == 0) for at, _ in rows])
     full = [linear.with_inputs(x, [0.25]) for x in rows]
     w = linear.Ftrl(0.3, 1.0, 0.2, 0.5).fit(full, y, epochs=2, seed=5)
-    plain = brute_fit([list(zip(a.tolist(), x.tolist())) for a, x in full], y.tolist(), 0.3, 1.0, 0.2, 0.5, 2, 5, batch)
+    plain = brute_fit([list(zip(a.tolist(), x.tolist())) for a, x in full], y.tolist(), 0.3, 1.0, 0.2, 0.5, 2, 5, linear.BATCH)
     np.testing.assert_allclose(w[:200], [plain(i) for i in range(200)], rtol=1e-4, atol=1e-6)
     assert (w[100:160] != 0).any()
 
@@ -158,7 +158,7 @@ def test_chain_matches_a_plain_one():
             for i, (at, x) in zip(own, base):
                 use = [k for k, c in enumerate(at.tolist()) if keep(c)]
                 cut.append([(0, 1.0), *((1 + k, float(np.float32(e[i]))) for k, e in enumerate(before)), *((int(at[k]), float(x[k])) for k in use)])
-            return brute_fit(cut, y[own].tolist(), 0.5, 1.0, 0.5, 0.1, 10, 7, 1)
+            return brute_fit(cut, y[own].tolist(), 0.5, 1.0, 0.5, 0.1, 10, 7, linear.BATCH)
 
         whole = fit(np.arange(len(rows)))
         used = np.unique(np.concatenate([at for at, _ in rows]))
