@@ -548,9 +548,11 @@ def _slerp_ctes(source: str) -> str:
 
 
 _Q = "{'w': %s.w, 'x': %s.x, 'y': %s.y, 'z': %s.z}"
+#: The quaternions of a frame as one list, in the order of joints: frames meet, not joints.
+_FRAMES = "ql AS MATERIALIZED (SELECT clip_id, t, list({'w': w, 'x': x, 'y': y, 'z': z} ORDER BY j) AS qs FROM q GROUP BY clip_id, t)"
 
 
-@query(f"WITH {EMB}, {_stencil(_TARGET)}, src AS (SELECT sa.clip_id, sa.t, u.j, {_Q % (('u',) * 4)} AS p, {_Q % (('v',) * 4)} AS r, a FROM sa JOIN q u ON u.clip_id = sa.clip_id AND u.t = l JOIN q v ON v.clip_id = sa.clip_id AND v.t = rr AND v.j = u.j), {_slerp_sql('src')}")
+@query(f"WITH {EMB}, {_stencil(_TARGET)}, {_FRAMES}, src AS (SELECT sa.clip_id, sa.t, g.j::INT AS j, u.qs[g.j + 1] AS p, v.qs[g.j + 1] AS r, a FROM sa JOIN ql u ON u.clip_id = sa.clip_id AND u.t = l JOIN ql v ON v.clip_id = sa.clip_id AND v.t = rr, range(16) g(j)), {_slerp_sql('src')}")
 def speed_slerp(spark, d):
     return cells(augment.speed(V.emb_frames(spark, d), factor=_factor(), representation="quat"), "joint_rot")
 
@@ -569,7 +571,7 @@ def dropout_lerp(spark, d):
     return cells(augment.dropout(V.ev_frames(spark, d), rate=0.4, draw=_drop()), "root_pos", digits=9)
 
 
-@query(f"WITH {EMB}, base AS (SELECT clip_id, t FROM e), {_FILL}, src AS (SELECT sa.clip_id, sa.t, u.j, {_Q % (('u',) * 4)} AS p, {_Q % (('v',) * 4)} AS r, a FROM sa JOIN q u ON u.clip_id = sa.clip_id AND u.t = l JOIN q v ON v.clip_id = sa.clip_id AND v.t = rr AND v.j = u.j), {_slerp_sql('src')}")
+@query(f"WITH {EMB}, base AS (SELECT clip_id, t FROM e), {_FILL}, {_FRAMES}, src AS (SELECT sa.clip_id, sa.t, g.j::INT AS j, u.qs[g.j + 1] AS p, v.qs[g.j + 1] AS r, a FROM sa JOIN ql u ON u.clip_id = sa.clip_id AND u.t = l JOIN ql v ON v.clip_id = sa.clip_id AND v.t = rr, range(16) g(j)), {_slerp_sql('src')}")
 def dropout_slerp(spark, d):
     return cells(augment.dropout(V.emb_frames(spark, d), rate=0.4, draw=_drop(), representation="quat"), "joint_rot")
 
@@ -641,7 +643,7 @@ def convert_quat_euler(spark, d):
     return _converted(spark, d, "quat", "euler", "ZYX")
 
 
-@query(f"WITH {EMB}, pr AS (SELECT a.clip_id, a.t, a.j, {{'w': a.w, 'x': a.x, 'y': a.y, 'z': a.z}} AS a, {{'w': b.w, 'x': b.x, 'y': b.y, 'z': b.z}} AS q FROM q a JOIN q b ON a.clip_id = b.clip_id AND a.t = b.t AND b.j = 15 - a.j), m AS (SELECT clip_id, t, j, {_QMUL} FROM pr) {vertex_sql('m', ['w', 'x', 'y', 'z'])}")
+@query(f"WITH {EMB}, {_FRAMES}, pr AS (SELECT clip_id, t, g.j::INT AS j, qs[g.j + 1] AS a, qs[16 - g.j] AS q FROM ql, range(16) g(j)), m AS (SELECT clip_id, t, j, {_QMUL} FROM pr) {vertex_sql('m', ['w', 'x', 'y', 'z'])}")
 def quat_products(spark, d):
     f = V.emb_frames(spark, d)
     return cells(f.withColumn("joint_rot", F.transform("joint_rot", lambda x, j: R.quat_multiply(x, F.col("joint_rot")[15 - j]))), "joint_rot")
