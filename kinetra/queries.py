@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from kinetra.plans.clipsteps import clip_step
 from kinetra.plans.draws import Draws, exact_draws
 from kinetra.plans.feed import MotionFeed, collate
 from kinetra.plans.pipeline import Pipeline, Step, handles_streams
-from kinetra.sources import bvh, motionfiles, numbered
+from kinetra.sources import bvh, motionfiles, numbered, store
 from kinetra.sources.shared import shared_folder
 from kinetra.views import EMB, EV, r6
 
@@ -888,6 +889,41 @@ def build_stages(spark, d):
     return audit.stage_counts(build.stages_of(facts, {"fps": 20.0, "world_up": "+y", "rest_up": "+z", "euler_order": "XYZ"}, False))
 
 
+def _built(spark, d, keep=None, **how) -> tuple[str, str]:
+    """A dataset built from motion files of the events (of both sources), and the folder of the files."""
+    folder, out = shared_folder(spark, "motion"), shared_folder(spark, "dataset")
+    texts = _texts(spark, d, [F.lit(_head(*m[:3])) for m in MIXED], [F.lit(m[3]) for m in MIXED])
+    bvh.write_texts(texts, folder)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the sources differ, which the build tells
+        build.preprocess(spark, folder, out, keep=keep, **how)
+    return folder, out
+
+
+@query(f"WITH {_mixed_sql()} {vertex_sql('mq', _6D_MIXED)}")
+def dataset_frames(spark, d):
+    """Files to a dataset on disk and back: the stored rotations."""
+    _, out = _built(spark, d, center=False)
+    return cells(store.load(spark, out).frames, "joint_rot")
+
+
+@query("SELECT 'all' AS what, count(DISTINCT user_id) AS n FROM events UNION ALL SELECT 'odd', count(DISTINCT user_id) FROM events WHERE user_id % 2 = 1 UNION ALL SELECT 'frames', count(*) FROM events")
+def dataset_facts(spark, d):
+    """What a build tells: clips by frame time, and the frames that the clips' rows count."""
+    _, out = _built(spark, d, center=False)
+    data = store.load(spark, out)
+    rows = data.clips.select(F.explode(F.array(F.lit("all"), F.when(F.col("frame_time") > 0.07, "odd"))).alias("what")).where("what is not null")
+    return rows.groupBy("what").agg(F.count("*").alias("n")).unionByName(data.clips.agg(F.lit("frames").alias("what"), F.sum("n_frames").alias("n")))
+
+
+@query(f"WITH {_mixed_sql()}, fl AS (SELECT (3 + 6 * j + c)::INT AS c, [{', '.join(_6D_MIXED)}][c + 1] AS value FROM mq, range(6) r(c) UNION ALL SELECT c::INT, root_pos[c + 1] FROM ev, range(3) r(c)) {_STATS}")
+def dataset_in_steps(spark, d):
+    """A dataset built from the files of some names, then extended by the rest: the merged statistics."""
+    folder, out = _built(spark, d, keep=lambda stem: stem.like("%1%"), center=False)
+    build.extend(spark, folder, out)
+    return _rounded(store.load(spark, out).stats.where("block = 'features'"))
+
+
 # ---- pipelines and feeds ----------------------------------------------------------------------
 
 
