@@ -50,6 +50,7 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     upper, small = upper[1] - upper[0], small[1] - small[0]
     again = np.zeros(len(token), bool)
     again[1:] = token[1:] == token[:-1]
+    again[bounds[:-1][bounds[:-1] < len(token)]] = False  # a row's first token has none before it
     first_upper = _UPPER[flat[starts]] == 1
     kind = np.where(upper + small == 0, 0, np.where(small == 0, np.where(upper == 1, 1, 2), np.where(first_upper, 3, 4)))
     shape = np.where(is_word, mix((kind * 2 + again).astype(U) + U(77)), token)

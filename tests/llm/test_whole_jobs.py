@@ -287,3 +287,89 @@ def test_plan_is_best_two_fit():
         assert sum(t for _, t in got) <= len(want) + 1
         first, _ = got[0]
         assert sum(first) == sum(want[0]) and first[: len(first) - 2] == want[0][: len(first) - 2]
+
+
+def plain_features(text):
+    """The n-grams of a text, one by one: {column: value}."""
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    def word_hash(word):
+        total = len(word) * 0xD6E8FEB86659FD93
+        for place, byte in enumerate(word):
+            total += mix(((place << 8) + byte + 0x9E3779B97F4A7C15) % 2**64)
+        return mix(total % 2**64)
+
+    data = (text or "").encode()
+    kind = lambda b: "w" if b >= 0x80 or bytes([b]).isalnum() else " " if b == 0x20 or 9 <= b <= 13 else "m"
+    runs, at = [], 0
+    while at < len(data):
+        to = at
+        while to < len(data) and kind(data[to]) == kind(data[at]):
+            to += 1
+        if kind(data[at]) != " ":
+            runs.append((kind(data[at]), data[at:to]))
+        at = to
+    tokens, shapes, before = [], [], None
+    for what, word in runs:
+        own = word_hash(bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in word))
+        upper, small = sum(0x41 <= b <= 0x5A for b in word), sum(0x61 <= b <= 0x7A for b in word)
+        case = 0 if upper + small == 0 else (1 if upper == 1 else 2) if small == 0 else 3 if 0x41 <= word[0] <= 0x5A else 4
+        tokens.append(own)
+        shapes.append(mix(2 * case + (own == before) + 77) if what == "w" else own)
+        before = own
+    out = {}
+    for salt, base, most in ((11, tokens, 2), (12, shapes, 3)):
+        for n in range(most):
+            for i in range(len(base) - n):
+                h = salt
+                for k in range(n + 1):
+                    h = (mix(h) + base[i + k]) % 2**64
+                column = mix((h + n) % 2**64) % (2**linear.BITS - linear.RESERVED) + linear.RESERVED
+                out.setdefault((salt, column), 0)
+                out[salt, column] += 1
+    return sorted((c, 1.0 if s == 11 else math.log(1 + n)) for (s, c), n in out.items())
+
+
+def test_features_are_the_n_grams_of_the_text():
+    r = random.Random(4)
+    letters = ["a", "B", "Ab", "the", "THE", "é", "日本", "12", " ", "  ", "\n", "\t", "!", "!?", "_", "x" * 60, "İ"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(30))) for _ in range(150)] + ["", None, "go go Go GO", "x" * 5000]
+    for text, (at, x) in zip(texts, linear.features(pa.array(texts))):
+        got = sorted(zip(at.tolist(), x.tolist()))
+        want = plain_features(text)
+        assert [c for c, _ in got] == [c for c, _ in want], ascii(text)
+        np.testing.assert_allclose([v for _, v in got], [v for _, v in want], rtol=1e-6)
+
+
+def test_every_bin_of_a_plan_is_best_two_fit():
+    """Bins are made one after the other over what is left, as the plain version makes them; equal bins come together."""
+    r = random.Random(8)
+    for _ in range(40):
+        size = r.choice([12, 30])
+        lengths = [r.randint(1, size) for _ in range(r.randint(1, 80))]
+        counts = np.bincount(lengths, minlength=size + 1)
+        left = counts.copy()
+        for bin_, times in packing.plan(counts, size):
+            for _ in range(times):
+                own, free, gap = [], left.copy(), size
+                while (fit := [n for n in range(1, gap + 1) if free[n]]):
+                    own.append(fit[-1])
+                    free[fit[-1]] -= 1
+                    gap -= fit[-1]
+                if gap and own:
+                    pairs = [(a + b, a, b) for a in range(1, size + 1) for b in range(1, a + 1) if free[a] and free[b] - (a == b) > 0 and a + b <= gap + own[-1]]
+                    if pairs and max(pairs)[0] > own[-1]:
+                        tight = max(pairs)[0]
+                        assert sum(bin_) == sum(own[:-1]) + tight and bin_[: len(own) - 1] == own[:-1] and len(bin_) == len(own) + 1
+                    else:
+                        assert bin_ == own
+                else:
+                    assert bin_ == own
+                for n in bin_:
+                    left[n] -= 1
+            assert (left >= 0).all()
+        assert not left.any()
