@@ -15,6 +15,7 @@ from kinetra.operators import clips as clip_tables
 from kinetra.operators import skeleton
 from kinetra.operators.packing import clip_arrays, flat_row, to_ctv, vertex_rows
 from kinetra.operators.temporal import apply_temporal, center_root, derive
+from kinetra.plans import fused
 from kinetra.plans.build import axis_number, with_axes
 from kinetra.plans.draws import Draws
 from kinetra.plans.pipeline import Pipeline
@@ -72,7 +73,10 @@ class MotionFeed:
         if self.center:
             f = center_root(f, self.centering)
         if self.source and self.source != self.target:
-            f = f.withColumn("joint_rot", convert_joints(F.col("joint_rot"), self.source, self.target, self.orders))
+            if isinstance(self.orders, Column):
+                f = f.withColumn("joint_rot", convert_joints(F.col("joint_rot"), self.source, self.target, self.orders))
+            else:
+                f = fused.convert_frames(f, self.source, self.target, self.orders)
         if self.augmentation is not None:
             f = self.augmentation.apply(f, self.seed, epoch, self.centering, self.portable, exact=self.exact(epoch))
         f = derive(f, self.streams).select("clip_id", "t", *self.streams)

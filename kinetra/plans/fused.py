@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from kinetra.functions import kernels as K
 from kinetra.functions.arrays import as_array, as_lists
-from kinetra.schema import parse_axis, present
+from kinetra.operators import augment
+from kinetra.schema import check_factor, parse_axis, present, require_representation
 
 Arrays = dict[str, np.ndarray]
 #: arrays, columns -> nothing: an operation changes ``arrays`` in place.
@@ -224,3 +225,35 @@ def blend(program: Program, quaternions: bool) -> None:
             arrays[name] = K.slerp(a, b, own) if quaternions and name == "joint_rot" else (1 - own) * a + own * b
 
     program.operations.append(step)
+
+
+# ---- whole tables -----------------------------------------------------------------------------
+
+
+def convert_frames(frames: DataFrame, source: str, target: str, orders=None) -> DataFrame:
+    """``frames`` with joint_rot in another representation, in one Arrow pass; ``rotations.convert_joints`` is the same as an
+    expression, and takes Euler orders that differ from row to row."""
+    for r in (source, target):
+        require_representation(r)
+    if source == target:
+        return frames
+    if "euler" in (source, target) and orders is None:
+        raise ValueError("Euler angles need their orders")
+    program = Program()
+    convert(program, source, target, orders)
+    return augment.as_float(program.flush(augment.as_double(frames)), frames)
+
+
+def change_speed(frames: DataFrame, factor, representation: str | None = None, orders=None) -> DataFrame:
+    """``augment.speed`` with the blending of frames in Arrow passes."""
+    check_factor(factor)
+    program, rotations = Program(), "joint_rot" in frames.columns
+    if rotations and representation is None:
+        raise ValueError("speed needs the representation of joint_rot")
+    if rotations:
+        convert(program, require_representation(representation), "quat", orders)
+    out = augment.speed_pairs(program.flush(augment.as_double(frames)), factor)
+    blend(program, rotations)
+    if rotations:
+        convert(program, "quat", representation, orders)
+    return augment.as_float(program.flush(out), frames)

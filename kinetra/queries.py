@@ -14,7 +14,7 @@ from kinetra import schema
 from kinetra import views as V
 from kinetra.functions import rotations as R
 from kinetra.operators import audit, augment, clips, harmonize, packing, skeleton, stats, temporal
-from kinetra.plans import build, shards
+from kinetra.plans import build, fused, shards
 from kinetra.plans.clipsteps import clip_step
 from kinetra.plans.draws import Draws, exact_draws
 from kinetra.plans.feed import MotionFeed, collate
@@ -924,6 +924,42 @@ def dataset_in_steps(spark, d):
     return _rounded(store.load(spark, out).stats.where("block = 'features'"))
 
 
+# ---- fused passes -----------------------------------------------------------------------------
+
+
+@query(SQL["convert_quat_6d"])
+def fused_convert_quat_6d(spark, d):
+    return cells(fused.convert_frames(V.emb_frames(spark, d), "quat", "6d"), "joint_rot")
+
+
+@query(SQL["convert_quat_axisangle"])
+def fused_convert_quat_axisangle(spark, d):
+    return cells(fused.convert_frames(V.emb_frames(spark, d), "quat", "axisangle"), "joint_rot")
+
+
+@query(SQL["convert_quat_euler"])
+def fused_convert_quat_euler(spark, d):
+    return cells(fused.convert_frames(V.emb_frames(spark, d), "quat", "euler", "ZYX"), "joint_rot")
+
+
+@query(SQL["speed_slerp"])
+def fused_speed_slerp(spark, d):
+    return cells(fused.change_speed(V.emb_frames(spark, d), _factor(), "quat"), "joint_rot")
+
+
+@query(SQL["mirror_quat"])
+def fused_mirror_quat(spark, d):
+    """A sure step in a fused pass."""
+    steps = Pipeline([Step(augment.mirror, 1.0, {"lateral_axis": "+x", "lr_joint_pairs": V.PAIRS})], representation="quat")
+    return cells(steps.apply(V.emb_frames(spark, d), seed=1), "joint_rot")
+
+
+@query(SQL["rotate_vertical_6d"])
+def fused_rotate_vertical_6d(spark, d):
+    steps = Pipeline([Step(augment.rotate_vertical, 1.0, {"angle": ANGLE, "up_axis": "+y"})], representation="6d")
+    return cells(steps.apply(_sixd(spark, d), seed=1), "joint_rot")
+
+
 # ---- pipelines and feeds ----------------------------------------------------------------------
 
 
@@ -936,9 +972,11 @@ def collate_pad_mask(spark, d):
     return b.select("batch_id", "clip_id", "t", F.col("y.mask").alias("mask"), F.posexplode("y.data").alias("c", "v")).select("batch_id", "clip_id", "t", "mask", "c", (F.round(F.col("v").cast("double"), 4) + F.lit(0.0)).alias("value"))
 
 
-def standard_pipeline() -> Pipeline:
+def standard_pipeline(fused: bool = True) -> Pipeline:
     info = {"lr_pairs": V.PAIRS, "node_lr_pairs": [], "euler_orders": None}
-    return Pipeline.standard(info, representation="quat")
+    out = Pipeline.standard(info, representation="quat")
+    out.fused = fused
+    return out
 
 
 def _unit_sql(seed: int, epoch: int, step: int, *place: str) -> str:
