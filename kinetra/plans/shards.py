@@ -36,7 +36,7 @@ def write_epoch(feed: MotionFeed, folder: str, epoch: int, *, world_size: int, b
     where = f"{folder.rstrip('/')}/epoch={epoch}"
     if _exists(f"{where}/manifest/_SUCCESS"):
         raise FileExistsError(f"epoch {epoch} is in {folder} already")
-    items = with_batches(feed.items(epoch), feed.order(epoch), batch_size, place="place")
+    items = feed.items(epoch).join(with_batches(feed.ids, feed.order(epoch), batch_size, place="place"), "clip_id")  # ranked before items are made
     own = F.floor(F.col("batch_id") / world_size)
     dealt = items.withColumns({"rank": F.pmod("batch_id", F.lit(world_size)).cast("int"), "batch": own.cast("long")}).withColumn("shard", F.floor(F.col("batch") / shard_batches).cast("long"))
     ordered = dealt.repartition("rank", "shard").sortWithinPartitions("rank", "shard", "batch", "place")
