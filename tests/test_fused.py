@@ -8,6 +8,7 @@ from kinetra.functions import kernels
 from kinetra.functions import rotations as R
 from kinetra.operators import augment
 from kinetra.operators.clips import from_arrays
+from kinetra.plans import fused
 from kinetra.plans.draws import Draws
 from kinetra.plans.pipeline import Pipeline, Step
 
@@ -110,3 +111,15 @@ def test_normals_are_those_of_the_plan(spark):
     rows = df.select(draws.seed_of("a", "axis").alias("a"), draws.seed_of("b", "axis").alias("b"), *cells).collect()
     got = kernels.normals(np.array([r.a for r in rows]), np.array([r.b for r in rows]), 4, 3)
     np.testing.assert_allclose(got.reshape(5, 12), np.array([r[2:] for r in rows]), atol=1e-12)
+
+
+def test_whole_tables(spark):
+    frames = clips(spark, "euler").withColumn("root_pos", F.col("root_pos").cast("array<float>"))
+    a = fused.change_speed(frames, 1.3, "euler", ORDERS)
+    assert a.dtypes == frames.dtypes
+    b = augment.speed(clips(spark, "euler"), factor=1.3, representation="euler", euler_orders=ORDERS)
+    np.testing.assert_allclose(np.concatenate(numbers(a)), np.concatenate(numbers(b)), atol=1e-6)
+    assert fused.convert_frames(frames, "euler", "euler") is frames
+    for bad in (lambda: fused.convert_frames(frames, "euler", "quat"), lambda: fused.convert_frames(frames, "cube", "quat"), lambda: fused.change_speed(frames, 0.0, "quat"), lambda: fused.change_speed(frames, 1.0)):
+        with pytest.raises(ValueError):
+            bad()
