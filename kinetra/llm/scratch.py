@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -95,5 +96,9 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        """Frees tables that are not read again. Spark lets go of the plans, broadcasts and shuffles that made them when the driver
+        collects its garbage, which after many small rounds may be late; so it is asked to."""
         for df in tables:
             remove(self.spark, df._kinetra_path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
