@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from kinetra.llm import graph
 from kinetra.llm import jaccard as J
 from kinetra.llm.graph import components
 from kinetra.llm.scratch import Scratch
@@ -205,3 +206,49 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 3), (9, 8), (8, 7), (7, 6), (20, 20)] + [(i, i + 1) for i in range(100, 140)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()))
     assert got == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6} | {i: 100 for i in range(100, 141)}
+
+
+def roots(edges):
+    """Brute force: node -> smallest node of its component."""
+    up = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(up[a], up[b])
+            changed |= up[a] != low or up[b] != low
+            up[a] = up[b] = low
+    return up
+
+
+def test_stars_of_one_task():
+    rng = random.Random(3)
+    for n, m in ((1, 1), (40, 30), (40, 80), (500, 450)):
+        edges = [(a, b) for a, b in ((rng.randrange(-n, n), rng.randrange(-n, n)) for _ in range(m)) if a != b]
+        node, root = graph.stars(*np.array(edges, np.int64).reshape(-1, 2).T)
+        assert dict(zip(node.tolist(), root.tolist())) == {a: r for a, r in roots(edges).items() if a != r}
+
+
+def test_components_within_tasks_need_no_rounds(spark):
+    """A long chain, which rounds of joins alone take many plans for."""
+    names = random.Random(4).sample(range(-(10**6), 10**6), 3000)
+    scratch = Scratch(spark, "t")
+    got = components(spark.createDataFrame(list(zip(names, names[1:])), "u long, v long"), scratch).collect()
+    assert sorted(map(tuple, got)) == sorted((x, min(names)) for x in names)
+    assert scratch.count <= 2
+
+
+@pytest.mark.parametrize("chunk", [1, 7])
+def test_components_that_span_tasks(spark, monkeypatch, chunk):
+    """Chunks give the same edge several times, and a chain and a hub through many of them; each node comes once."""
+    monkeypatch.setattr(graph, "CHUNK_EDGES", chunk)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    rng = random.Random(5)
+    chain = rng.sample(range(1000, 2000), 60)
+    edges = [*zip(chain, chain[1:]), *((5000, 5001 + i) for i in range(80)), *((rng.randrange(90), rng.randrange(90)) for _ in range(60))]
+    edges = [e for e in edges if e[0] != e[1]]
+    try:
+        got = components(spark.createDataFrame(edges + edges[::3], "u long, v long").repartition(9), Scratch(spark, "t")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == sorted(roots(edges).items())
