@@ -1,5 +1,6 @@
 """Connected components by alternating large-star and small-star steps, all on executors. Each task first joins the edges
-that it holds anyway, so that few rounds, and few plans in the driver, are left for what spans tasks."""
+that it holds anyway, then as few tasks as edges need join those stars, however many partitions they came in; so rounds, and
+their plans in the driver, are left for what spans more than ``CHUNK_EDGES`` edges."""
 
 from __future__ import annotations
 
@@ -66,13 +67,28 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     node that has an edge to another one. Self-loops and repeated edges are allowed; nulls are ignored;
     an empty input gives an empty result. Each round is written to the shared folder and rereads it."""
     u, v = F.col("u"), F.col("v")
-    held = scratch.table(_joined(_joined(edges.where(u != v)).distinct()))
-    while (now := _state(held))[1]:
+
+    def gathered(held: DataFrame, rows: int) -> DataFrame:
+        """Joined by a task for each ``CHUNK_EDGES`` rows; a single one leaves stars only, each edge once."""
+        new = scratch.table(_joined(held.coalesce(max(1, -(-rows // CHUNK_EDGES)))))
+        scratch.drop(held)
+        return new
+
+    held = scratch.table(_joined(edges.where(u != v)))
+    rows = held.count()
+    held = gathered(held, rows)
+    while rows > CHUNK_EDGES:
+        rows, apart = _state(held)
+        if not apart:
+            break
+        if rows <= CHUNK_EDGES:
+            held = gathered(held, rows)
+            break
         both = held.unionByName(held.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"), F.sum((v > u).cast("long")).alias("rows"))
-        large = join_groups(both.where(v > u), low, ["u"], "rows", now[0], ["v"]).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        large = join_groups(both.where(v > u), low, ["u"], "rows", rows, ["v"]).select(v.alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows"))
-        small = join_groups(large, low, ["u"], "rows", now[0], ["v"]).where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        small = join_groups(large, low, ["u"], "rows", rows, ["v"]).where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         new = scratch.table(_joined(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()))
         scratch.drop(held)
         held = new

@@ -238,6 +238,27 @@ def test_components_within_tasks_need_no_rounds(spark):
     assert scratch.count <= 2
 
 
+@pytest.mark.parametrize("chunk", [1_000_000, 1000])
+def test_components_in_many_partitions_need_no_rounds(spark, monkeypatch, chunk):
+    """Chains dealt over many small partitions, which Spark is told not to merge, are joined by as few tasks as their edges need."""
+    monkeypatch.setattr(graph, "CHUNK_EDGES", chunk)
+    names = random.Random(6).sample(range(-(10**6), 10**6), 800)
+    edges = [*zip(names[:400], names[1:400]), *zip(names[400:], names[401:])]
+    random.Random(7).shuffle(edges)
+    scratch = Scratch(spark, "t")
+    held = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, x in held.items():
+        spark.conf.set(k, x)
+    try:
+        got = components(spark.createDataFrame(edges, "u long, v long").repartition(31), scratch).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert sorted(map(tuple, got)) == sorted([(x, min(names[:400])) for x in names[:400]] + [(x, min(names[400:])) for x in names[400:]])
+    assert scratch.count <= 2
+
+
 @pytest.mark.parametrize("chunk", [1, 7])
 def test_components_that_span_tasks(spark, monkeypatch, chunk):
     """Chunks give the same edge several times, and a chain and a hub through many of them; each node comes once."""
