@@ -127,9 +127,11 @@ def preprocess(
     for a in (target_world_up, target_rest_up, target_rest_forward, None if world_up == "auto" else world_up):
         if a is not None:
             parse_axis(a)
-    parsed = bvh.scan(spark, folder, pattern, keep, skip_errors).persist(StorageLevel.DISK_ONLY)  # files are parsed once
+    listed = bvh.listing(spark, folder, pattern)
+    files = listed if bvh.by_tasks(spark, folder, pattern) else folder
+    parsed = bvh.scan(spark, files, pattern, keep, skip_errors).persist(StorageLevel.DISK_ONLY)  # files are parsed once
     try:
-        return _build(parsed, bvh.listing(spark, folder, pattern), pattern, folder, output, kind, representation, center, include_positions, position_space, position_centering, include_quaternions, include_velocities, include_foot_contacts, foot_joints, label, skip_errors, world_up, do_harmonize, {"world_up": target_world_up, "fps": target_fps, "rest_up": target_rest_up, "rest_forward": target_rest_forward, "euler_order": target_euler_order}, retarget)
+        return _build(parsed, listed, pattern, folder, output, kind, representation, center, include_positions, position_space, position_centering, include_quaternions, include_velocities, include_foot_contacts, foot_joints, label, skip_errors, world_up, do_harmonize, {"world_up": target_world_up, "fps": target_fps, "rest_up": target_rest_up, "rest_forward": target_rest_forward, "euler_order": target_euler_order}, retarget)
     finally:
         parsed.unpersist()
 
@@ -209,7 +211,7 @@ def block_moments(frames: DataFrame, position: str | None) -> DataFrame:
 
 def files_of(parsed: DataFrame, listed: DataFrame) -> DataFrame:
     """``clip_id, path, bytes, modified`` of the files that a build took, broken ones among them."""
-    return listed.join(parsed.select("clip_id"), "clip_id", "left_semi")
+    return listed.join(parsed.select("clip_id").hint("merge"), "clip_id", "left_semi")
 
 
 def extend(spark: SparkSession, folder: str, output: str, label: Callable[[Column], Column] | None = None, keep: Callable[[Column], Column] | None = None) -> dict:
@@ -231,14 +233,15 @@ def extend(spark: SparkSession, folder: str, output: str, label: Callable[[Colum
     listed = bvh.listing(spark, folder, how["pattern"])
     listed = listed if keep is None else listed.where(keep(F.col("clip_id")))
     was = known.select("clip_id", F.col("bytes").alias("_bytes"), F.col("modified").alias("_modified"))
-    changed = listed.join(was, "clip_id").where("bytes <> _bytes or modified <> _modified").orderBy("clip_id").limit(5).collect()
+    changed = listed.join(was.hint("merge"), "clip_id").where("bytes <> _bytes or modified <> _modified").orderBy("clip_id").limit(5).collect()
     if changed:
         raise ValueError("files changed since they were built: " + ", ".join(r["clip_id"] for r in changed))
-    new = written(listed.join(known, "clip_id", "left_anti"), "files")
-    paths = [r["path"] for r in new.select("path").toLocalIterator()]  # names of new files, as Spark's own listing holds them
-    if not paths:
+    new = written(listed.join(known.hint("merge"), "clip_id", "left_anti"), "files")
+    if new.isEmpty():
         return meta
-    parsed = bvh.scan(spark, paths, how["pattern"], None, how["skip_errors"]).persist(StorageLevel.DISK_ONLY)
+    # names of new files go to the driver only where Spark's own listing holds them there
+    files = new if bvh.by_tasks(spark, folder, how["pattern"]) else [r["path"] for r in new.select("path").toLocalIterator()]
+    parsed = bvh.scan(spark, files, how["pattern"], None, how["skip_errors"]).persist(StorageLevel.DISK_ONLY)
     try:
         if how["skip_errors"]:
             bvh.warn_skipped(parsed)

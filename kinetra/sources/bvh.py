@@ -1,12 +1,15 @@
 """Motion files: hierarchy and channels of BVH text, parsed by executors into one row per file.
 
-Files are listed, and filtered by name, before any is read. Spark's own reader opens them, so any store that
-Spark reads will do. A file is one row, since its frames are one block of text.
+Files are listed, and filtered by name, before any is read. Tasks list and open them through ``pyarrow.fs``, so that the driver
+holds no list of files, and tasks are as many as bytes need, not as there are files. A store that only Spark reaches is
+listed and opened by Spark's own reader, whose list of files lies in the driver. A file is one row, since its frames are
+one block of text.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 import uuid
 import warnings
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetra.functions.arrays import as_lists
+from kinetra.sources.shared import arrow_path, qualified, written
 
 SCHEMA = (
     "clip_id string, error string, frame_time double, n_frames int, names array<string>, parents array<int>, joint_idx array<int>, "
@@ -188,18 +192,112 @@ def stem_of(name: Column) -> Column:
     return F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
 
 
-def listing(spark: SparkSession, folder: str, pattern: str = "*.bvh") -> DataFrame:
-    """``clip_id, path, bytes, modified`` of the files, of which none is opened."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(stem_of(F.element_at(F.split("path", "/"), -1)).alias("clip_id"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+#: Bytes of files that a task is planned with; a file counts as so many more, for opening it.
+PARTITION_BYTES, FILE_BYTES = 16 << 20, 4 << 10
+#: Names that end so are unpacked by Spark's codecs alone.
+SPARK_CODECS = (".deflate", ".lz4", ".snappy")
+#: Tasks that list sub-folders.
+FOLDER_TASKS = 1000
+
+
+def by_tasks(spark: SparkSession, folder: str, pattern: str = "*.bvh") -> str | None:
+    """The qualified name of a folder that tasks can list and open, else None: globs, single files, packed files that only Spark
+    unpacks, and stores that Arrow does not open, or whose times it tells in whole seconds (HDFS)."""
+    if any(c in folder for c in "*?[]{}\\") or pattern.endswith(SPARK_CODECS):
+        return None
+    where = qualified(spark, folder)
+    try:
+        fs, inner = arrow_path(where)
+        return where if fs.type_name != "hdfs" and fs.get_file_info(inner).type == pafs.FileType.Directory else None
+    except (OSError, ValueError, pa.ArrowException):
+        return None
+
+
+def _inside(folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(name, whether it is a folder, bytes, nanoseconds of the last change) of what Spark would see in a folder. Local folders are
+    read a name at a time, however many there are."""
+    fs, inner = arrow_path(folder)
+    if fs.type_name == "local":
+        with os.scandir(inner) as found:
+            for e in found:
+                try:
+                    stat = e.stat()
+                except FileNotFoundError:  # gone since
+                    continue
+                if _seen(e.name):
+                    yield e.name, e.is_dir(), stat.st_size, stat.st_mtime_ns
+    else:
+        for i in fs.get_file_info(pafs.FileSelector(inner)):
+            if _seen(i.base_name):
+                yield i.base_name, i.type == pafs.FileType.Directory, i.size or 0, i.mtime_ns or 0
+
+
+def _seen(name: str) -> bool:
+    """Spark leaves out hidden names."""
+    return not (name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"))
+
+
+_ENTRY = pa.schema([("name", pa.string()), ("path", pa.string()), ("bytes", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("below", pa.bool_())])
+
+
+def _entries(folders: DataFrame, deep: bool) -> DataFrame:
+    """What lies in the folders: files with bytes, and sub-folders named key=value (``below``), or, if ``deep``, the files in these."""
+
+    def walk(folder: str) -> Iterator[tuple]:
+        for name, below, size, changed in _inside(folder):
+            path = f"{folder.rstrip('/')}/{name}"
+            if below and "=" in name:
+                if deep:
+                    yield from walk(path)
+                else:
+                    yield name, path, None, None, True
+            elif not below and size > 0:
+                yield name, path, size, changed // 1_000_000 * 1000, False  # to the millisecond, as Spark tells it
+
+    def run(batches):
+        for b in batches:
+            for folder in b.column("path").to_pylist():
+                held: list[tuple] = []
+                for entry in walk(folder):
+                    held.append(entry)
+                    if len(held) == 10_000:
+                        yield batch(held)
+                        held = []
+                yield batch(held)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ENTRY)], schema=_ENTRY)
 
+    return folders.select("path").mapInArrow(run, "name string, path string, bytes long, modified timestamp, below boolean")
 
-def scan(spark: SparkSession, folder: str | list[str], pattern: str = "*.bvh", keep: Callable[[Column], Column] | None = None, skip_errors: bool = False) -> DataFrame:
-    """One row per file of a folder, or of a list of files, see ``SCHEMA``; ``clip_id`` is the file's name without its ending.
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*.bvh") -> DataFrame:
+    """``clip_id, path, bytes, modified`` of the files, of which none is opened, as they are now; those in sub-folders named key=value are
+    among them. A task lists the folder into a table, others the sub-folders."""
+    where = by_tasks(spark, folder, pattern)
+    if where is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+        return files.select(stem_of(F.element_at(F.split("path", "/"), -1)).alias("clip_id"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    found = written(_entries(spark.createDataFrame([(where,)], "path string").coalesce(1), deep=False), "names")
+    below = found.where("below")
+    if n := below.count():
+        inner = written(_entries(below.repartition(min(n, FOLDER_TASKS), "path"), deep=True), "names")
+        found = found.unionByName(inner)
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()  # as Spark's pathGlobFilter reads it
+    return found.where(~F.col("below") & F.col("name").rlike(f"(?s)^(?:{glob})\\z")).select(stem_of(F.col("name")).alias("clip_id"), "path", "bytes", "modified")
+
+
+def scan(spark: SparkSession, folder: str | list[str] | DataFrame, pattern: str = "*.bvh", keep: Callable[[Column], Column] | None = None, skip_errors: bool = False) -> DataFrame:
+    """One row per file of a folder, of a list of files, or of a table of files that tasks can open (``listing``), see ``SCHEMA``;
+    ``clip_id`` is the file's name without its ending.
 
     ``keep(stem)`` is a condition on names; files it leaves out are not parsed. A broken file raises, or, with
     ``skip_errors``, stays as a row with ``error`` alone (``good`` leaves such rows out).
     """
+    if isinstance(folder, str) and by_tasks(spark, folder, pattern):
+        folder = listing(spark, folder, pattern)
+    if isinstance(folder, DataFrame):
+        return parse_files(folder if keep is None else folder.where(keep(F.col("clip_id"))), skip_errors)
     listed = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)  # no other file is opened
     stem = stem_of(F.col("_metadata.file_name"))
     files = listed.select(stem.alias("clip_id"), F.col("value"))
@@ -209,6 +307,23 @@ def scan(spark: SparkSession, folder: str | list[str], pattern: str = "*.bvh", k
     return parse_rows(files, skip_errors)
 
 
+def parse_files(files: DataFrame, skip_errors: bool = False) -> DataFrame:
+    """``files(clip_id, path, bytes)`` to rows of ``SCHEMA``; each is opened by the task that parses it."""
+    columns = ["clip_id", "error", *KINDS]
+    n, total = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(n, max(files.sparkSession.sparkContext.defaultParallelism, -(-(total + n * FILE_BYTES) // PARTITION_BYTES))))
+
+    def run(parts):
+        for part in parts:
+            for stem, path in zip(part.column("clip_id").to_pylist(), part.column("path").to_pylist()):
+                fs, inner = arrow_path(path)
+                with fs.open_input_stream(inner) as file:
+                    data = file.read()
+                yield _parsed_row(stem, data.decode, columns, skip_errors)
+
+    return files.select("clip_id", "path").repartition(tasks, "path").mapInArrow(run, SCHEMA)
+
+
 def parse_rows(files: DataFrame, skip_errors: bool = False) -> DataFrame:
     """``files(clip_id, value)``, a file's whole text each, to rows of ``SCHEMA``, one file at a time."""
     columns = ["clip_id", "error", *KINDS]
@@ -216,17 +331,21 @@ def parse_rows(files: DataFrame, skip_errors: bool = False) -> DataFrame:
     def run(parts):
         for part in parts:
             for stem, text in zip(part.column("clip_id").to_pylist(), part.column("value")):
-                try:
-                    error, clip = None, parse_arrays(text.as_py())
-                except (ValueError, IndexError) as e:
-                    if not skip_errors:
-                        raise ValueError(f"{stem}: {e}") from e
-                    error, clip = str(e), {}
-                yield one_row(stem, error, clip, columns)
+                yield _parsed_row(stem, text.as_py, columns, skip_errors)
 
     return files.select("clip_id", "value").mapInArrow(run, SCHEMA)
 
 
+def _parsed_row(stem: str, text: Callable[[], str], columns: list[str], skip_errors: bool) -> pa.RecordBatch:
+    try:
+        error, clip = None, parse_arrays(text())
+    except (ValueError, IndexError) as e:
+        if not skip_errors:
+            raise ValueError(f"{stem}: {e}") from e
+        error, clip = str(e), {}
+    return one_row(stem, error, clip, columns)
+
+
 class _ParseMotion:
     """Table function over a table of ``clip_id, value``: a row of ``SCHEMA`` for each; broken texts have ``error`` alone."""
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
@@ -20,9 +22,30 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own = _own or "file://" + tempfile.mkdtemp(prefix="kinetra-motion-")
         root = _own
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/kinetra-{name}-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+    return qualified(spark, f"{root.rstrip('/')}/kinetra-{name}-{uuid.uuid4().hex}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark names it."""
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return named.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+
+
+@lru_cache(maxsize=64)
+def _store(root: str) -> tuple[pafs.FileSystem, str]:
+    fs, inner = pafs.FileSystem.from_uri(root)
+    return fs, inner.rstrip("/")
+
+
+def arrow_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a qualified path, and the path within it; names may hold blanks and percent signs."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    scheme, _, rest = path.partition("://")
+    authority, slash, inner = rest.partition("/")
+    fs, root = _store(f"{scheme}://{authority}")
+    return fs, root + slash + inner
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
